@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.scalars import count_where, number, ratio, share_of_total
+from wardlens.functions.scalars import count_where, ratio, share_of_total
 from wardlens.functions.stats import exact_percentiles, value_frequencies
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -201,4 +201,3 @@ def daily_bed_demand_summary(beds) -> DataFrame:
     )
 
 
-__all__ = [name for name in dir() if not name.startswith("_") and name not in {"F", "DataFrame", "reduce", "number"}]

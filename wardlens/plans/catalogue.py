@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from wardlens.plans import explore, quality, reports  # noqa: F401
+from wardlens.plans import catalog, explore, quality, reports  # noqa: F401
 from wardlens.plans.registry import ORACLES, PLANS, bound_queries
 
 __all__ = ["ORACLES", "PLANS", "bound_queries"]
