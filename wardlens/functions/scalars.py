@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Whitespace as Python's str methods and \s see it, and the pattern that strips it.
-WHITESPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-STRIP = f"^{WHITESPACE}+|{WHITESPACE}+$"
+# Whitespace as Python's str methods and \s see it, as a character class and as a set to trim.
+WHITESPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHITESPACE_SET = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def col(value: str | Column) -> Column:
@@ -29,11 +29,27 @@ def timestamp(value: str | Column) -> Column:
 
 
 def strip(value: str | Column) -> Column:
-    return F.regexp_replace(col(value), STRIP, "")
+    """Trim any whitespace; looks at the ends only."""
+    return F.btrim(col(value), F.lit(WHITESPACE_SET))
 
 
 def collapse_whitespace(value: str | Column) -> Column:
-    return strip(F.regexp_replace(col(value), f"{WHITESPACE}+", " "))
+    return F.trim(F.regexp_replace(col(value), f"{WHITESPACE}+", " "))
+
+
+def explode_once(frame: DataFrame, keys: list[str | Column], array: str) -> DataFrame:
+    """``(keys, position, item)`` of an array column that is costly to compute.
+
+    An inner explode makes the optimizer repeat the array expression in a
+    non-empty filter below it; the outer form is computed once.
+    """
+    rows = frame.select(*keys, F.posexplode_outer(array).alias("position", "item"))
+    return rows.where("position IS NOT NULL")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body).getItem(0)
 
 
 def ratio(part: Column, whole: Column) -> Column:

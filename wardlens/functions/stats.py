@@ -103,15 +103,16 @@ def fill_values(frame: DataFrame, one_row: DataFrame, columns: list[str]) -> Dat
     return frame.withColumns({c: F.coalesce(F.col(c).cast("double"), values.getField(c)) for c in columns})
 
 
-def row_numbers(frame: DataFrame, keys: list[str], order: list[str], axis: str | None = None, name: str = "row_number", buckets: int = 64) -> DataFrame:
+def row_numbers(frame: DataFrame, keys: list[str], order: list[str], axis: str | None = None, name: str = "row_number", buckets: int = 64, span_of: DataFrame | None = None) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` with large keys split.
 
     ``axis`` (default: the first order column) is a numeric expression the order
     refines. Rows are numbered inside ``(keys, bucket)`` and shifted by the count
     of the earlier buckets, so a key with a third of all rows spreads out.
+    ``span_of`` is a cheaper frame with the same axis range, if there is one.
     """
     axis_value = F.expr(axis or order[0]).cast("double")
-    span = scalar(frame, F.struct(F.min(axis_value).alias("low"), F.max(axis_value).alias("high")))
+    span = scalar(frame if span_of is None else span_of, F.struct(F.min(axis_value).alias("low"), F.max(axis_value).alias("high")))
     split = frame.withColumn("bucket_", _bucket(axis_value, span.getField("low"), span.getField("high"), buckets))
     earlier = Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -129,12 +129,13 @@ for _name, _x in (("usage_vs_failures", "usage_hours"), ("maintenance_vs_failure
         return op.correlation(t.equipment, x, "failure_count")
 
 
-@query("department_activity", """WITH a AS (SELECT department_id, COUNT(admission_id) AS total_admissions FROM admissions WHERE department_id <> 3 GROUP BY 1),
-    b AS (SELECT department_id, COUNT(appointment_id) AS total_appointments FROM appointments WHERE department_id <> 7 GROUP BY 1)
+@query("department_activity", """WITH a AS (SELECT department_id, COUNT(admission_id) AS total_admissions FROM admissions GROUP BY 1),
+    b AS (SELECT department_id + 2 AS department_id, COUNT(appointment_id) AS total_appointments FROM appointments GROUP BY 1)
     SELECT department_id, department_name, total_admissions, total_appointments FROM a FULL JOIN b USING (department_id) LEFT JOIN departments USING (department_id)""")
 def _(t):
-    # One department is left out on each side, so both outer halves are exercised.
-    return op.department_activity(t.admissions.where("department_id <> 3"), t.appointments.where("department_id <> 7"), t.departments)
+    # Appointment departments are shifted by two, so both outer halves are exercised.
+    shifted = t.appointments.withColumn("department_id", F.col("department_id") + 2)
+    return op.department_activity(t.admissions, shifted, t.departments)
 
 
 @query("integer_distribution", "SELECT 'failure_count' AS column_name, failure_count AS value, COUNT(*) AS n FROM equipment GROUP BY 2 UNION ALL SELECT 'length_of_stay', length_of_stay, COUNT(*) FROM admissions GROUP BY 2")
