@@ -83,14 +83,14 @@ def centroid_sql(keys):
     c AS (SELECT label, {'side, ' if 'side' in keys else ''}list(x ORDER BY i) AS q FROM m GROUP BY ALL)"""
 
 
-@query("vector_search", f"""WITH {centroid_sql('label')}, s AS (SELECT label AS query_id, vec_id, ROUND(list_cosine_similarity(q, CAST(embedding AS DOUBLE[])), 6) AS score FROM c, embeddings)
+@query("vector_search", f"""WITH {centroid_sql('label')}, s AS (SELECT c.label AS query_id, vec_id, ROUND(list_cosine_similarity(q, CAST(embedding AS DOUBLE[])), 6) AS score FROM c, embeddings)
     SELECT query_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 5""")
 def _(t):
     queries = centroids(t, "label").select(F.col("label").cast("bigint").alias("query_id"), "embedding")
     return retrieval.vector_search(queries, t.embeddings)
 
 
-@query("vector_search_blocks", f"""WITH {centroid_sql('label')}, s AS (SELECT label AS query_id, vec_id, ROUND(list_cosine_similarity(q, CAST(embedding AS DOUBLE[])), 6) AS score FROM c, embeddings)
+@query("vector_search_blocks", f"""WITH {centroid_sql('label')}, s AS (SELECT c.label AS query_id, vec_id, ROUND(list_cosine_similarity(q, CAST(embedding AS DOUBLE[])), 6) AS score FROM c, embeddings)
     SELECT query_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 5""")
 def _(t):
     # The path for more queries than one matrix may hold.
