@@ -83,3 +83,9 @@ def any_of(conditions: list[Column]) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def compute_once(frame: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Costly columns behind a generator, so later filters cannot repeat them below it."""
+    packed = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return frame.select(*keep, F.inline(packed))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlens.functions import roles as rules
-from wardlens.functions.scalars import all_of, any_of, count_where, ratio, scalar
+from wardlens.functions.scalars import all_of, any_of, count_where, explode_once, ratio, scalar
 from wardlens.functions.stats import row_numbers
 
 
@@ -58,17 +58,16 @@ def dataset_type(catalog: DataFrame) -> DataFrame:
 def resolve_roles(catalog: DataFrame) -> DataFrame:
     """``(dataset_id, role, column_name)`` for every role some column can play.
 
-    Candidates are ranked by (kind of match, alias order, position); a minimum
-    keeps the best, so nothing is sorted and map tasks pre-aggregate. Bare names
-    count only where the same dataset has an equipment column.
+    The patterns are tested once per distinct name, of which a catalogue has far
+    fewer than columns, and joined back. Candidates are ranked by (kind of match,
+    alias order, position); a minimum keeps the best, so nothing is sorted and
+    map tasks pre-aggregate. Bare names count only where the same dataset has an
+    equipment column.
     """
-    name, position = F.col("name"), F.col("position")
+    name = F.col("name")
 
     def candidate(role: str, tier: int, rank: Column) -> Column:
-        return F.struct(
-            F.lit(role).alias("role"),
-            F.struct(F.lit(tier).alias("tier"), rank.cast("int").alias("rank"), position.alias("position"), name.alias("name")).alias("pick"),
-        )
+        return F.struct(F.lit(role).alias("role"), F.lit(tier).alias("tier"), rank.cast("int").alias("rank"))
 
     candidates = []
     for role, aliases in rules.ROLE_ALIASES.items():
@@ -80,10 +79,12 @@ def resolve_roles(catalog: DataFrame) -> DataFrame:
         candidates.append(best)
     candidates.append(F.when(name.rlike(rules.EQUIPMENT_WORDS), candidate("", 0, F.lit(0))))
 
+    names = catalog.select("name").distinct().select("name", F.array_compact(F.array(*candidates)).alias("c"))
+    playable = explode_once(names, ["name"], "c").select("name", "item.*")
     best = (
-        catalog.select("dataset_id", F.explode(F.array_compact(F.array(*candidates))).alias("c"))
-        .groupBy("dataset_id", "c.role")
-        .agg(F.min("c.pick").alias("pick"))
+        catalog.join(playable, "name")
+        .groupBy("dataset_id", "role")
+        .agg(F.min(F.struct("tier", "rank", "position", "name")).alias("pick"))
     )
     # At most one row per role is left per dataset.
     has_equipment = F.max(F.col("role") == "").over(Window.partitionBy("dataset_id"))
@@ -110,8 +111,9 @@ def feature_gate(catalog: DataFrame) -> DataFrame:
                 by_role.append(F.when(F.col("role") == source, entry))
             else:
                 by_name.append(F.when(name.isin(*source), entry))
-    named = catalog.select("dataset_id", F.explode(F.array_compact(F.array(*by_name))).alias("f")).select("dataset_id", "f.*")
-    played = resolve_roles(catalog).select("dataset_id", F.explode(F.array_compact(F.array(*by_role))).alias("f")).select("dataset_id", "f.*")
+    named = explode_once(catalog.select("dataset_id", F.array_compact(F.array(*by_name)).alias("f")), ["dataset_id"], "f")
+    played = explode_once(resolve_roles(catalog).select("dataset_id", F.array_compact(F.array(*by_role)).alias("f")), ["dataset_id"], "f")
+    named, played = named.select("dataset_id", "item.*"), played.select("dataset_id", "item.*")
     found = named.unionByName(played).distinct()
 
     needed = F.array(
@@ -143,9 +145,9 @@ def module_date_column(catalog: DataFrame) -> DataFrame:
         rank = F.array_position(F.lit(list(dates)), name)
         entries.append(F.when(rank > 0, F.struct(F.lit(module).alias("module"), F.struct(rank.alias("rank"), name.alias("name")).alias("pick"))))
     preferred = (
-        catalog.select("dataset_id", F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .groupBy("dataset_id", "e.module")
-        .agg(F.min("e.pick").getField("name").alias("preferred"))
+        explode_once(catalog.select("dataset_id", F.array_compact(F.array(*entries)).alias("e")), ["dataset_id"], "e")
+        .groupBy("dataset_id", "item.module")
+        .agg(F.min("item.pick").getField("name").alias("preferred"))
     )
     general = resolve_roles(catalog).where("role = 'date'").select("dataset_id", F.col("column_name").alias("general"))
     modules = detect_modules(catalog).where(F.col("module").isin(*rules.MODULE_DATES)).select("dataset_id", "module")

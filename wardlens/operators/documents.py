@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 
 from wardlens.functions.scalars import WHITESPACE, col, collapse_whitespace, explode_once, let, strip
 from wardlens.functions.stats import row_numbers
+from wardlens.session import ship_by_value
+
+ship_by_value(__name__)
 
 # Window sizes, shortest kept chunk, double-encoding markers, invisible characters.
 FIXED_SIZE, FIXED_OVERLAP = 1000, 200

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlens.functions import routing
-from wardlens.functions.scalars import any_of, collapse_whitespace, explode_once, scalar
+from wardlens.functions.scalars import any_of, collapse_whitespace, compute_once, explode_once, scalar
 from wardlens.operators import reports
 
 
@@ -40,15 +40,17 @@ def classify_questions(questions: DataFrame, key: str = "question_id", text: str
     def said(patterns) -> Column:
         return any_of([_says(F.col("text"), p) for p in patterns])
 
-    flagged = questions.select(F.col(key), clean.alias("text")).select(
-        key,
-        "text",
-        matches(routing.ML_PATTERNS).alias("ml"),
-        said(routing.DOCUMENT_PATTERNS).alias("document"),
-        said(routing.OPERATIONAL_PATTERNS).alias("operational"),
-        matches(routing.SQL_PATTERNS).alias("sql"),
-        said(routing.DATASET_PATTERNS).alias("dataset"),
-        _says(F.col("text"), routing.RAW_SQL).alias("statement"),
+    flagged = compute_once(
+        questions.select(F.col(key), clean.alias("text")),
+        [key, "text"],
+        {
+            "ml": matches(routing.ML_PATTERNS),
+            "document": said(routing.DOCUMENT_PATTERNS),
+            "operational": said(routing.OPERATIONAL_PATTERNS),
+            "sql": matches(routing.SQL_PATTERNS),
+            "dataset": said(routing.DATASET_PATTERNS),
+            "statement": _says(F.col("text"), routing.RAW_SQL),
+        },
     )
 
     def route(intent: str, confidence: float, model: Column | None = None) -> Column:
@@ -89,7 +91,7 @@ def question_words(questions: DataFrame, key: str = "question_id", text: str = "
     """Distinct words per question; words of up to two characters are ignored before punctuation is cut."""
     long = F.filter(F.split(collapse_whitespace(text), " "), lambda w: F.length(w) > 2)
     bare = F.transform(long, lambda w: F.btrim(F.lower(w), F.lit(routing.WORD_EDGES)))
-    return questions.select(key, F.array_distinct(bare).alias("words"))
+    return compute_once(questions, [key], {"words": F.array_distinct(bare)})
 
 
 def _matched(questions: DataFrame, key: str, labels: DataFrame, label_key: str, label: Column) -> DataFrame:
@@ -149,7 +151,8 @@ def kpi_phrase_lookup(questions: DataFrame, answers: DataFrame, key: str = "ques
     table = scalar(answers, F.map_from_entries(F.collect_list(F.struct("rule", F.struct("label", "value").alias("answer")))))
     lowered = F.lower(text)
     hits = [F.when(any_of([lowered.contains(p) for p in phrases]), F.lit(rule)) for rule, phrases, _, _ in routing.LOOKUPS]
-    asked = questions.select(key, F.array_compact(F.array(*hits)).alias("rules"), table.alias("answers")).where("size(rules) > 0")
+    matched = compute_once(questions, [key], {"rules": F.array_compact(F.array(*hits))})
+    asked = matched.where("size(rules) > 0").withColumn("answers", table)
     rule = F.get(F.filter("rules", lambda r: F.map_contains_key("answers", r)), F.lit(0))
     return (
         asked.select(key, "answers", rule.alias("rule"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -42,12 +44,26 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Materialise a small iterated table so later stages do not replay it.
+def stored(frame, label: str):
+    """Write an intermediate that several later steps read, and return it as a table scan.
 
-    Uses reliable checkpointing, so a lost executor costs nothing but a re-read.
+    The table lives in the shared folder, so it survives lost executors, and its
+    recorded size lets the planner choose join strategies by fact.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(work_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
+    path = work_dir(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def ship_by_value(module_name: str) -> None:
+    """Send a module's task code along with the task, so executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
+def spread(scan):
+    """Round-robin a scan that has fewer splits than there are cores, for costly per-row work.
+
+    Large inputs have many splits and pass through untouched.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

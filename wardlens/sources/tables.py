@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardlens.session import spread
 from wardlens.sources.fixtures import FIXTURES, inputs_of
 
 # Declared schemas: no footer-inference job per scan, and a wrong file fails early.
@@ -27,6 +28,10 @@ RAW_SCHEMAS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
+# Inputs whose queries do heavy work per row (text, pattern rules).
+TEXT_TABLES = ("documents", "conversations", "pages")
+RULE_FIXTURES = ("upload_catalog", "question_log")
+
 
 class Tables:
     """``tables.admissions`` etc. as unevaluated DataFrames over one data folder."""
@@ -45,8 +50,12 @@ class Tables:
 
     def _build(self, name: str) -> DataFrame:
         if name in RAW_SCHEMAS:
-            return self.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+            scan = self.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+            return spread(scan) if name in TEXT_TABLES else scan
         if name in FIXTURES:
             text = FIXTURES[name]
-            return self.spark.sql(text, **{d: getattr(self, d) for d in inputs_of(text)})
+            inputs = {d: getattr(self, d) for d in inputs_of(text)}
+            if name in RULE_FIXTURES:
+                inputs = {d: spread(frame) if d in ("lineitem", "orders") else frame for d, frame in inputs.items()}
+            return self.spark.sql(text, **inputs)
         raise AttributeError(name)
