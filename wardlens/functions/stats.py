@@ -118,12 +118,14 @@ def row_numbers(frame: DataFrame, keys: list[str], order: list[str], axis: str |
     offsets = (
         split.groupBy(*keys, "bucket_")
         .agg(F.count(F.lit(1)).alias("n_"))
-        .withColumn("offset_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)))
+        .withColumn("offset_", F.sum("n_").over(earlier))
+        # Keys that fit one bucket need no shift, which leaves few rows to join.
+        .where("offset_ > 0")
         .drop("n_")
     )
     same = reduce(lambda a, b: a & b, [split[k].eqNullSafe(offsets[k]) for k in [*keys, "bucket_"]])
     local = Window.partitionBy(*[split[k] for k in keys], split["bucket_"]).orderBy(*[split[o] for o in order])
-    return split.join(offsets, same).select(
+    return split.join(offsets, same, "left").select(
         *[split[c] for c in frame.columns],
-        (F.row_number().over(local) + F.col("offset_")).alias(name),
+        (F.row_number().over(local) + F.coalesce("offset_", F.lit(0))).alias(name),
     )

@@ -196,7 +196,7 @@ def stratified_split(frame: DataFrame, key: str, label: str | None = None, share
     within = Window.partitionBy("stratum", "prefix").orderBy("hash")
     cuts = hashed.join(marks, ["stratum", "prefix"]).withColumn("position", F.row_number().over(within)).where("position = rank")
     cut = scalar(cuts, F.map_from_entries(F.collect_list(F.struct("stratum", "hash"))))
-    return frame.withColumn("is_train", F.coalesce(split_hash(key) <= cut.getItem(stratum), F.lit(False)))
+    return frame.withColumn("is_train", F.coalesce(split_hash(key) <= cut[stratum], F.lit(False)))
 
 
 def time_split(periods: DataFrame, order: str, share: float = 0.8) -> DataFrame:
@@ -212,4 +212,4 @@ def balanced_weights(frame: DataFrame, label: str) -> DataFrame:
     totals = classes.select("class", "n", F.sum("n").over(Window.partitionBy()).alias("rows"), F.count(F.lit(1)).over(Window.partitionBy()).alias("kinds"))
     weight = F.col("rows").cast("double") / (F.col("kinds") * F.col("n"))
     table = scalar(totals, F.map_from_entries(F.collect_list(F.struct("class", weight.alias("weight")))))
-    return frame.withColumn("weight", table.getItem(F.col(label)))
+    return frame.withColumn("weight", table[F.col(label)])

@@ -4,6 +4,7 @@ from wardlens.functions import roles as rules
 from wardlens.operators import catalog as op
 from wardlens.plans.quality import COLUMNS, type_of
 from wardlens.plans.registry import query
+from wardlens.session import stored
 
 NAMES = """bases AS (SELECT *, COALESCE(NULLIF(trim(regexp_replace(lower(column_name), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unnamed') AS base FROM upload_catalog),
     copies AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset_id, base ORDER BY position) AS k FROM bases),
@@ -18,12 +19,13 @@ def fits_sql(alternatives, name="name"):
 
 
 def names(t):
-    return op.normalize_columns(t.upload_catalog)
+    """The normalised catalogue as the stored table the other operators read."""
+    return stored(op.normalize_columns(t.upload_catalog), "catalog")
 
 
 @query("normalize_columns", f"WITH {NAMES} SELECT * FROM cat")
 def _(t):
-    return names(t)
+    return op.normalize_columns(t.upload_catalog)
 
 
 FLAGS = "flags AS (SELECT dataset_id, " + ", ".join(

@@ -1,10 +1,11 @@
 """M: models (predictions are checked for shape and bounds, not against SQL)."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from wardlens.functions import roles as rules
-from wardlens.operators import catalog, charts, features, metrics, models
-from wardlens.plans.catalog import EXPLODED, FLAGS, LISTED, NAMES, NEEDED, ROLES, gate_parts
+from wardlens.operators import charts, features, metrics, models
+from wardlens.plans.catalog import EXPLODED, FLAGS, LISTED, NAMES, NEEDED, ROLES, gate_parts, names
 from wardlens.plans.registry import query
 from wardlens.session import work_dir
 from wardlens.sources.fixtures import AS_OF
@@ -39,8 +40,6 @@ def _(t):
 def _(t):
     numeric, categorical = models.LOS_FEATURES
     coded = models.encode(features.los_features(t.admissions), numeric, categorical)
-    from pyspark.ml.functions import vector_to_array
-
     return coded.select("admission_id", F.size(vector_to_array("features")).alias("width"))
 
 
@@ -111,4 +110,4 @@ def _(t):
     per_model = t.equipment.select(F.col("equipment_id").alias("dataset_id"), kinds.alias("model"), (F.col("maintenance_count") * 4).alias("observations"), F.col("usage_hours").alias("value"))
     trained = per_model.where("model IN ('admission_forecast', 'bed_forecast', 'equipment_failure') AND dataset_id % 5 <> 0")
     predictions = trained.select("dataset_id", "model", "value", F.lit("1999-07").alias("period"))
-    return models.prediction_status(catalog.normalize_columns(t.upload_catalog), predictions, per_model.drop("value"))
+    return models.prediction_status(names(t), predictions, per_model.drop("value"))

@@ -41,11 +41,11 @@ def normal_names(columns: list[str]) -> list[str]:
 def read_upload_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A headed CSV with inferred types and normal column names.
 
-    Bytes that are not UTF-8 decode to U+FFFD without an error, so one search
-    for it decides whether to read as Latin-1. Give ``schema`` for large inputs:
-    inference reads the file once more.
+    Bytes that are not UTF-8 raise no error in the reader, so one search for
+    such a line decides whether to read as Latin-1. Give ``schema`` for large
+    inputs: inference reads the file once more.
     """
-    damaged = spark.read.text(path).where(F.col("value").contains("�")).limit(1)
+    damaged = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     encoding = "UTF-8" if damaged.isEmpty() else "ISO-8859-1"
     reader = spark.read.option("header", True).option("encoding", encoding)
     frame = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
