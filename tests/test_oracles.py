@@ -17,5 +17,5 @@ def test_queries_without_sql_are_known():
     assert set(PLANS) - set(ORACLES) == {
         "actual_vs_predicted", "admission_demand_model", "bed_demand_model", "clean_table_cells_nfkc", "clean_text", "encode_features",
         "equipment_failure_model", "file_manifest", "forecast_beds_7d", "forecast_beds_7d_by_department", "forecast_next_month",
-        "history_plus_forecast", "los_model", "no_show_model", "save_load_model", "score_equipment",
+        "history_plus_forecast", "los_model", "no_show_model", "save_model", "score_equipment",
     }

@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 from wardlens.plans.catalogue import ORACLES, PLANS
 
 PACKAGE = pathlib.Path(__file__).resolve().parents[1] / "wardlens"
-TRAINING = ("_model", "forecast", "score_equipment", "actual_vs_predicted", "encode_features", "save_load")
+TRAINING = ("_model", "forecast", "score_equipment", "actual_vs_predicted", "encode_features", "save_model")
 
 
 def physical(frame):
@@ -56,7 +56,7 @@ def test_forecasts(tables):
 
 
 def test_saved_model_predicts_the_same(tables):
-    (row,) = PLANS["save_load_model"](tables).collect()
+    (row,) = PLANS["save_model"](tables).collect()
     assert row["saved"] == row["loaded"]
 
 

@@ -2,49 +2,88 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlens.functions.roles import MODULE_DATES, modules_of, roles_of
-from wardlens.functions.scalars import number, scalar, share_of_total, strip, timestamp
+from wardlens.functions.scalars import explode_once, number, scalar, share_of_total, strip, timestamp
 
 DEPARTMENT_DIMENSIONS = ("department", "department_id", "department_name", "dept_id", "dept_name")
 MISSED_LABELS = ("no show", "no shows", "missed")
 
 
-def _aggregate(value: str | None, aggregation: str) -> Column:
-    if not value:
-        return F.count(F.lit(1)).cast("double")
-    if aggregation == "count":
-        return F.count(value).cast("double")
-    if aggregation == "mean":
-        return F.avg(number(value))
-    return F.coalesce(F.sum(number(value)), F.lit(0.0))
+@dataclass(frozen=True)
+class Group:
+    """One group table or chart: a dimension and what is measured per value."""
+
+    title: str
+    dimension: str
+    metric: str | None = None
+    aggregation: str = "sum"
+    kind: str | Column = "bar"
+    unit: str | None = None
+    metric_name: str | None = None
+    only: Column | None = None
+
+    def entry(self, number_: int) -> Column:
+        """This group's contribution of one row."""
+        if not self.metric:
+            measured = F.lit(1.0)
+        elif self.aggregation == "count":
+            measured = F.col(self.metric).isNotNull().cast("double")
+        else:
+            measured = number(self.metric)
+        label = F.coalesce(F.col(self.dimension).cast("string"), F.lit("Unknown"))
+        entry = F.struct(F.lit(number_).alias("no"), label.alias("label"), measured.alias("x"))
+        return entry if self.only is None else F.when(self.only, entry)
+
+
+def grouped(table: DataFrame, groups: list[Group], top: int) -> DataFrame:
+    """``(no, ord, label, value)``: the largest values of every group, in one pass over the table.
+
+    A row contributes once per group and map tasks fold the contributions, so
+    the shuffle carries one row per distinct label, however many groups there are.
+    """
+    entries = F.array_compact(F.array(*[g.entry(i) for i, g in enumerate(groups)]))
+    totals = (
+        explode_once(table.select(entries.alias("entries")), [], "entries")
+        .groupBy("item.no", "item.label")
+        .agg(F.sum("item.x").alias("total"), F.count("item.x").alias("n"))
+    )
+    means = [i for i, g in enumerate(groups) if g.aggregation == "mean"]
+    raw = F.when(F.col("no").isin(means), F.col("total") / F.col("n")).otherwise(F.coalesce("total", F.lit(0.0)))
+    order = Window.partitionBy("no").orderBy(F.desc_nulls_last("raw"), "label")
+    ranked = totals.withColumn("raw", raw).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top)
+    return ranked.select("no", F.col("nth").alias("ord"), "label", F.round("raw", 2).alias("value"))
 
 
-def _top(table: DataFrame, dimension: str, value: str | None, aggregation: str, top: int) -> DataFrame:
-    """Largest groups; the limit is a top-k merge, so only ``top`` rows per task move."""
-    label = F.coalesce(F.col(dimension).cast("string"), F.lit("Unknown")).alias("label")
-    grouped = table.groupBy(label).agg(_aggregate(value, aggregation).alias("raw"))
-    return grouped.orderBy(F.desc_nulls_last("raw"), "label").limit(top).select("label", F.round("raw", 2).alias("value"))
+def _described(groups: list[Group], field) -> Column:
+    """A property of the group a row belongs to."""
+    values = [field(g) for g in groups]
+    return F.get(F.array(*[v if isinstance(v, Column) else F.lit(v).cast("string") for v in values]), F.col("no"))
 
 
 def group_table(table: DataFrame, dimension: str, value: str | None = None, aggregation: str = "sum", title: str = "", top: int = 20) -> DataFrame:
-    return _top(table, dimension, value, aggregation, top).select(F.lit(title).alias("title"), "label", "value")
+    return _tables(table, [Group(title, dimension, value, aggregation)], top)
+
+
+def _tables(table: DataFrame, groups: list[Group], top: int = 20) -> DataFrame:
+    return grouped(table, groups, top).select(_described(groups, lambda g: g.title).alias("title"), "label", "value")
 
 
 def group_tables(table: DataFrame, roles: dict | None = None) -> DataFrame:
     """Every group table the columns allow, as ``(title, label, value)``."""
     roles = roles or roles_of(table.columns)
     modules = modules_of(table.columns)
-    department, parts, titles = roles["department"], [], []
+    department = roles["department"]
+    groups: list[Group] = []
 
     def add(title, dimension, value, aggregation="sum"):
         if dimension:
-            titles.append(title)
-            parts.append(group_table(table, dimension, value, aggregation, title))
+            groups.append(Group(title, dimension, value, aggregation))
 
     def counted(module: str) -> tuple[str | None, str]:
         return (roles[f"{module}_count"], "sum") if roles[f"{module}_count"] else (roles[f"{module}_id"], "count")
@@ -61,22 +100,26 @@ def group_tables(table: DataFrame, roles: dict | None = None) -> DataFrame:
     if "Equipment Analytics" in modules:
         add("Equipment Status", roles["equipment_status"], None)
         add("Equipment by Type", roles["equipment_type"], None)
-    if "Department Analytics" in modules and not any("Department" in title for title in titles):
+    if "Department Analytics" in modules and not any("Department" in g.title for g in groups):
         add("Department Workload", department, None)
-    return reduce(DataFrame.unionByName, parts)
+    return _tables(table, groups)
 
 
-def _as_chart(points: DataFrame, order: list, title: str, kind: str | Column, dimension: str | Column, metric: str, unit: str | None) -> DataFrame:
-    """Chart rows; ``points`` is already cut to the few that are drawn."""
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return points.select(
-        F.lit(title.lower().replace(" ", "-")).alias("chart_id"),
-        F.lit(title).alias("title"),
-        lit(kind).alias("type"),
-        lit(dimension).alias("dimension"),
-        F.lit(metric).alias("metric"),
-        F.lit(unit).cast("string").alias("unit"),
-        F.row_number().over(Window.orderBy(*order)).alias("ord"),
+CHART_COLUMNS = ("chart_id", "title", "type", "dimension", "metric", "unit", "ord", "label", "value")
+
+
+def _charts(table: DataFrame, groups: list[Group], first: int = 0, top: int = 12) -> DataFrame:
+    """Chart rows of several groups; a label with nothing measured is not drawn."""
+    rows = grouped(table, groups, top).where("value IS NOT NULL")
+    return rows.select(
+        (F.col("no") + first).alias("chart_no"),
+        _described(groups, lambda g: g.title.lower().replace(" ", "-")).alias("chart_id"),
+        _described(groups, lambda g: g.title).alias("title"),
+        _described(groups, lambda g: g.kind).alias("type"),
+        _described(groups, lambda g: g.dimension).alias("dimension"),
+        _described(groups, lambda g: g.metric_name or g.metric or "records").alias("metric"),
+        _described(groups, lambda g: g.unit).alias("unit"),
+        "ord",
         "label",
         "value",
     )
@@ -87,8 +130,8 @@ def group_chart(
     kind: str | Column = "bar", unit: str | None = None, metric_name: str | None = None, top: int = 12,
 ) -> DataFrame:
     title = title or f"{dimension.replace('_', ' ').title()} breakdown"
-    points = _top(table, dimension, metric, aggregation, top).where("value IS NOT NULL")
-    return _as_chart(points, [F.desc("value"), "label"], title, kind, dimension, metric_name or metric or "records", unit)
+    group = Group(title, dimension, metric, aggregation, kind, unit, metric_name)
+    return _charts(table, [group], top=top).select(*CHART_COLUMNS)
 
 
 def time_chart(table: DataFrame, date: str, measure: str | Column | None = None, aggregation: str = "sum", metric: str = "records", periods: int = 120) -> DataFrame:
@@ -118,7 +161,17 @@ def time_chart(table: DataFrame, date: str, measure: str | Column | None = None,
         .withColumn("label", F.date_format("period", "yyyy-MM-dd"))
     )
     title = f"{metric.replace('_', ' ').title()} over time"
-    return _as_chart(points, ["period"], title, "line", F.col("dimension"), metric, None)
+    return points.select(
+        F.lit(title.lower().replace(" ", "-")).alias("chart_id"),
+        F.lit(title).alias("title"),
+        F.lit("line").alias("type"),
+        "dimension",
+        F.lit(metric).alias("metric"),
+        F.lit(None).cast("string").alias("unit"),
+        F.row_number().over(Window.orderBy("period")).alias("ord"),
+        "label",
+        "value",
+    )
 
 
 def module_time_chart(table: DataFrame, module: str, roles: dict) -> DataFrame | None:
@@ -141,39 +194,35 @@ def module_time_chart(table: DataFrame, module: str, roles: dict) -> DataFrame |
     return time_chart(table, date)
 
 
-def _counted_chart(table, module: str, dimension: str, roles: dict, title: str, kind="bar") -> DataFrame:
+def _counted(module: str, dimension: str, roles: dict, title: str, kind: str | Column = "bar") -> Group:
     count, key = roles[f"{module}_count"], roles[f"{module}_id"]
     metric, aggregation = (count, "sum") if count else (key, "count")
-    return group_chart(table, dimension, metric, aggregation, title, kind, f"{module}s", f"{module}s")
+    return Group(title, dimension, metric, aggregation, kind, f"{module}s", f"{module}s")
 
 
-def admission_charts(table: DataFrame, roles: dict | None = None) -> list[DataFrame]:
-    roles = roles or roles_of(table.columns)
-    charts = []
+def admission_groups(table: DataFrame, roles: dict) -> list[Group]:
+    groups = []
     if roles["department"]:
-        charts.append(_counted_chart(table, "admission", roles["department"], roles, "Admissions by Department"))
+        groups.append(_counted("admission", roles["department"], roles, "Admissions by Department"))
     if roles["admission_type"]:
-        charts.append(group_chart(table, roles["admission_type"], roles["admission_count"], "sum", "Admission type distribution", "donut", "admissions"))
-    return charts
+        groups.append(Group("Admission type distribution", roles["admission_type"], roles["admission_count"], "sum", "donut", "admissions"))
+    return groups
 
 
-def appointment_charts(table: DataFrame, roles: dict | None = None) -> list[DataFrame]:
-    roles = roles or roles_of(table.columns)
-    charts = []
+def appointment_groups(table: DataFrame, roles: dict) -> list[Group]:
+    groups = []
     if roles["appointment_status"]:
-        charts.append(group_chart(table, roles["appointment_status"], roles["appointment_count"], "sum", "Appointment status", "donut", "appointments"))
+        groups.append(Group("Appointment status", roles["appointment_status"], roles["appointment_count"], "sum", "donut", "appointments"))
     if roles["department"]:
-        charts.append(_counted_chart(table, "appointment", roles["department"], roles, "Appointments by Department"))
+        groups.append(_counted("appointment", roles["department"], roles, "Appointments by Department"))
     if roles["service"]:
         services = table.groupBy(roles["service"]).agg(F.count(F.lit(1)).alias("n"))
-        kinds = scalar(services, F.count(roles["service"]))
-        kind = F.when(kinds <= 8, "donut").otherwise("bar")
-        charts.append(_counted_chart(table, "appointment", roles["service"], roles, "Appointments by Service", kind))
-    return charts
+        kind = F.when(scalar(services, F.count(roles["service"])) <= 8, "donut").otherwise("bar")
+        groups.append(_counted("appointment", roles["service"], roles, "Appointments by Service", kind))
+    return groups
 
 
-def bed_charts(table: DataFrame, roles: dict | None = None) -> list[DataFrame]:
-    roles = roles or roles_of(table.columns)
+def bed_groups(table: DataFrame, roles: dict) -> list[Group]:
     titles = {
         "occupied_beds": ("Average occupied beds by Department", "beds"),
         "occupancy_rate": ("Average occupancy by Department", "percent"),
@@ -183,18 +232,30 @@ def bed_charts(table: DataFrame, roles: dict | None = None) -> list[DataFrame]:
     if not (role and roles["department"]):
         return []
     title, unit = titles[role]
-    return [group_chart(table, roles["department"], roles[role], "mean", title, "bar", unit)]
+    return [Group(title, roles["department"], roles[role], "mean", "bar", unit)]
 
 
-def equipment_charts(table: DataFrame, roles: dict | None = None) -> list[DataFrame]:
-    roles = roles or roles_of(table.columns)
-    charts = []
+def equipment_groups(table: DataFrame, roles: dict) -> list[Group]:
+    groups = []
     if roles["equipment_status"]:
-        charts.append(group_chart(table, roles["equipment_status"], None, title="Equipment status", kind="donut", unit="equipment"))
+        groups.append(Group("Equipment status", roles["equipment_status"], None, "sum", "donut", "equipment"))
     if roles["equipment_type"] and (roles["failure_count"] or roles["failure_event"]):
-        failed = table if roles["failure_count"] else table.where(F.col(roles["failure_event"]).isNotNull())
-        charts.append(group_chart(failed, roles["equipment_type"], roles["failure_count"], "sum", "Recorded failures by equipment type", "bar", "failures"))
-    return charts
+        only = None if roles["failure_count"] else F.col(roles["failure_event"]).isNotNull()
+        groups.append(Group("Recorded failures by equipment type", roles["equipment_type"], roles["failure_count"], "sum", "bar", "failures", only=only))
+    return groups
+
+
+MODULE_GROUPS = {
+    "Admission Analytics": admission_groups,
+    "Appointment Analytics": appointment_groups,
+    "Bed & Capacity Analytics": bed_groups,
+    "Equipment Analytics": equipment_groups,
+}
+
+
+def module_charts(table: DataFrame, module: str, roles: dict | None = None) -> DataFrame:
+    """The group charts of one module."""
+    return _charts(table, MODULE_GROUPS[module](table, roles or roles_of(table.columns))).select(*CHART_COLUMNS)
 
 
 def department_workload(table: DataFrame, roles: dict | None = None) -> DataFrame:
@@ -203,24 +264,18 @@ def department_workload(table: DataFrame, roles: dict | None = None) -> DataFram
 
 
 def dashboard_charts(table: DataFrame, roles: dict | None = None) -> DataFrame:
-    """All charts of one table, in display order (``chart_no``)."""
+    """All charts of one table in display order (``chart_no``): time charts, then groups in one pass."""
     roles = roles or roles_of(table.columns)
     modules = modules_of(table.columns)
-    charts = [module_time_chart(table, module, roles) for module in MODULE_DATES if module in modules]
-    builders = {
-        "Admission Analytics": admission_charts,
-        "Appointment Analytics": appointment_charts,
-        "Bed & Capacity Analytics": bed_charts,
-        "Equipment Analytics": equipment_charts,
-    }
-    groups = [c for module, build in builders.items() if module in modules for c in build(table, roles)]
-    if "Department Analytics" in modules and roles["department"] and not any(f"{m} Analytics" in modules for m in ("Admission", "Appointment")) and not (
-        "Bed & Capacity Analytics" in modules and bed_charts(table, roles)
-    ):
-        groups.append(department_workload(table, roles))
-    charts = [c for c in charts if c is not None] + groups
-    numbered = [c.select(F.lit(i).alias("chart_no"), "*") for i, c in enumerate(charts)]
-    return reduce(DataFrame.unionByName, numbered)
+    lines = [module_time_chart(table, module, roles) for module in MODULE_DATES if module in modules]
+    lines = [line for line in lines if line is not None]
+    groups = [g for module, build in MODULE_GROUPS.items() if module in modules for g in build(table, roles)]
+    if "Department Analytics" in modules and roles["department"] and not any("Department" in g.title for g in groups):
+        groups.append(Group("Department records", roles["department"], unit="records"))
+    parts = [line.select(F.lit(i).alias("chart_no"), "*") for i, line in enumerate(lines)]
+    if groups:
+        parts.append(_charts(table, groups, first=len(lines)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def trailing_range_filter(points: DataFrame, date: str, days: int) -> DataFrame:

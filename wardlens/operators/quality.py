@@ -192,6 +192,23 @@ def coerce_dates_keep_null(table: DataFrame, columns: list[str]) -> DataFrame:
     return table.withColumns({c: timestamp(col(c)).cast("date") for c in columns})
 
 
+def table_report(table: DataFrame, name: str, rules: dict[str, Column], departments: DataFrame) -> DataFrame:
+    """All rules of one table and its department references from a single scan.
+
+    Rules are counted per department id, so the references join a short list.
+    """
+    counted = table.groupBy("department_id").agg(
+        F.count(F.lit(1)).alias("rows_"), *[count_where(condition).alias(rule) for rule, condition in rules.items()]
+    )
+    known = departments.select("department_id", F.lit(True).alias("known")).distinct()
+    one = counted.join(known, "department_id", "left").agg(
+        *[F.sum(rule).alias(rule) for rule in rules],
+        F.sum(F.when(F.col("known"), 0).otherwise(F.col("rows_"))).alias("invalid_department"),
+    )
+    rows = stack(one, [(rule, F.coalesce(rule, F.lit(0))) for rule in (*rules, "invalid_department")], "rule", "violations", "bigint")
+    return rows.select(F.lit(name).alias("table_name"), "rule", "violations")
+
+
 def validation_report(admissions, appointments, beds, equipment, departments, scale: float = 1.0) -> DataFrame:
     checks = {
         "admissions": (admissions, admission_rules()),
@@ -199,6 +216,4 @@ def validation_report(admissions, appointments, beds, equipment, departments, sc
         "beds": (beds, bed_rules(scale)),
         "equipment": (equipment, equipment_rules()),
     }
-    parts = [violations(t, rules).select(F.lit(n).alias("table_name"), "rule", "violations") for n, (t, rules) in checks.items()]
-    references = invalid_department_refs({n: t for n, (t, _) in checks.items()}, departments)
-    return _union([*parts, references])
+    return _union([table_report(table, name, rules, departments) for name, (table, rules) in checks.items()])

@@ -100,8 +100,7 @@ ADMISSION_CHARTS = [
 
 @query("admission_charts", union(*[chart_sql(*c) for c in ADMISSION_CHARTS]))
 def _(t):
-    first, second = op.admission_charts(t.admissions)
-    return first.unionByName(second)
+    return op.module_charts(t.admissions, "Admission Analytics")
 
 
 APPOINTMENT_CHARTS = [
@@ -114,8 +113,7 @@ APPOINTMENT_CHARTS = [
 
 @query("appointment_charts", union(*[chart_sql(*c) for c in APPOINTMENT_CHARTS]))
 def _(t):
-    first, second, third = op.appointment_charts(t.appointments, appointment_roles(t))
-    return first.unionByName(second).unionByName(third)
+    return op.module_charts(t.appointments, "Appointment Analytics", appointment_roles(t))
 
 
 BED_CHART = ("Average occupied beds by Department", "beds", "department_id", "'bar'", "occupied_beds", "beds", "AVG(occupied_beds)")
@@ -123,7 +121,7 @@ BED_CHART = ("Average occupied beds by Department", "beds", "department_id", "'b
 
 @query("bed_chart", chart_sql(*BED_CHART))
 def _(t):
-    return op.bed_charts(t.beds)[0]
+    return op.module_charts(t.beds, "Bed & Capacity Analytics")
 
 
 EQUIPMENT_CHARTS = [
@@ -134,8 +132,7 @@ EQUIPMENT_CHARTS = [
 
 @query("equipment_charts", union(*[chart_sql(*c) for c in EQUIPMENT_CHARTS]))
 def _(t):
-    first, second = op.equipment_charts(t.equipment)
-    return first.unionByName(second)
+    return op.module_charts(t.equipment, "Equipment Analytics")
 
 
 def time_sql(metric, table, date, grain, value="CAST(COUNT(*) AS DOUBLE)", where="", number=None):

@@ -65,7 +65,7 @@ def _(t):
     return models.score_equipment(models.equipment_failure_model(t.equipment)[0], t.equipment, AS_OF)
 
 
-@query("save_load_model")
+@query("save_model")
 def _(t):
     model, predictions = models.admission_demand_model(t.admissions)
     path = work_dir(t.spark, "model")

@@ -58,14 +58,14 @@ def _(t):
     return t.spark.read.schema(t.equipment.schema).parquet(path).groupBy("equipment_type", "equipment_status").agg(F.count(F.lit(1)).alias("units"))
 
 
-@query("chunk_store", f"WITH {FIXED} SELECT doc_id, chunk_id, chunk_count, text, {WORKSPACE} AS workspace_id FROM fixed")
+@query("write_chunk_store", f"WITH {FIXED} SELECT doc_id, chunk_id, chunk_count, text, {WORKSPACE} AS workspace_id FROM fixed")
 def _(t):
     path = work_dir(t.spark, "chunks")
     io.write_chunk_store(documents.fixed_chunks(t.documents).withColumn("workspace_id", F.expr(WORKSPACE)), path)
     return io.read_chunk_store(t.spark, path, CHUNK_SCHEMA)
 
 
-@query("embeddings_store", "SELECT vec_id, label, 'encoder-a' AS model_name, 64 AS dimension, ROUND(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings")
+@query("write_embeddings", "SELECT vec_id, label, 'encoder-a' AS model_name, 64 AS dimension, ROUND(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings")
 def _(t):
     path = work_dir(t.spark, "vectors")
     io.write_embeddings(t.embeddings, path, "encoder-a", 64)
