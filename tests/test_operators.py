@@ -56,11 +56,12 @@ def test_priority_golden(spark):
     ]
 
 
-def test_hot_key_row_numbers(spark):
+@pytest.mark.parametrize("hot_rows", [1, 40, 1000, 100_000])
+def test_hot_key_row_numbers(spark, hot_rows):
     rows = [("hot", i, (i * 7919) % 100_003) for i in range(3000)] + [("cold", i, i) for i in range(50)] + [(None, i, i) for i in range(5)]
     random.Random(1).shuffle(rows)
     frame = spark.createDataFrame(rows, "k string, id int, position bigint")
-    got = row_numbers(frame, ["k"], ["position", "id"], name="n", buckets=16).collect()
+    got = row_numbers(frame, ["k"], ["position", "id"], name="n", hot_rows=hot_rows, buckets=16).collect()
     assert len(got) == len(rows)
     for key in ("hot", "cold", None):
         mine = sorted((r for r in got if r["k"] == key), key=lambda r: (r["position"], r["id"]))

@@ -23,7 +23,7 @@ def _axis(value: Column) -> Column:
 def _bucket(value: Column, low: Column, high: Column, buckets: int) -> Column:
     width = F.nullif(high - low, F.lit(0.0))
     share = F.coalesce((value - low) / width, F.lit(0.0))
-    return F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
+    return F.when(low.isNotNull(), F.least(F.floor(share * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
 
 
 def value_frequencies(frame: DataFrame, columns: list[str]) -> DataFrame:
@@ -103,29 +103,40 @@ def fill_values(frame: DataFrame, one_row: DataFrame, columns: list[str]) -> Dat
     return frame.withColumns({c: F.coalesce(F.col(c).cast("double"), values.getField(c)) for c in columns})
 
 
-def row_numbers(frame: DataFrame, keys: list[str], order: list[str], axis: str | None = None, name: str = "row_number", buckets: int = 64, span_of: DataFrame | None = None) -> DataFrame:
+def row_numbers(
+    frame: DataFrame, keys: list[str], order: list[str], axis: str | None = None, name: str = "row_number",
+    hot_share: float = 0.001, hot_rows: int = 100_000, buckets: int = 64,
+) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` with large keys split.
 
-    ``axis`` (default: the first order column) is a numeric expression the order
-    refines. Rows are numbered inside ``(keys, bucket)`` and shifted by the count
-    of the earlier buckets, so a key with a third of all rows spreads out.
-    ``span_of`` is a cheaper frame with the same axis range, if there is one.
+    A key is large when it holds more than ``hot_share`` of all rows (and more
+    than ``hot_rows``), so there are fewer than ``1 / hot_share`` of them and
+    their tables may be broadcast. Their rows are numbered inside ranges of
+    ``axis`` (default: the first order column; a numeric expression the order
+    refines) and shifted by the count of the earlier ranges. Other keys are
+    numbered in one piece.
     """
     axis_value = F.expr(axis or order[0]).cast("double")
-    span = scalar(frame if span_of is None else span_of, F.struct(F.min(axis_value).alias("low"), F.max(axis_value).alias("high")))
-    split = frame.withColumn("bucket_", _bucket(axis_value, span.getField("low"), span.getField("high"), buckets))
-    earlier = Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    copies = [f"key_{i}_" for i in range(len(keys))]
+    renamed = [F.col(k).alias(c) for k, c in zip(keys, copies, strict=True)]
+    is_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(c)) for k, c in zip(keys, copies, strict=True)])
+
+    per_key = frame.groupBy(*renamed).agg(F.count(F.lit(1)).alias("n_"), F.min(axis_value).alias("low_"), F.max(axis_value).alias("high_"))
+    limit = F.greatest(scalar(per_key, F.sum("n_")) * F.lit(hot_share), F.lit(hot_rows))
+    hot = F.broadcast(per_key.where(F.col("n_") > limit).drop("n_"))
+    bucket = _bucket(axis_value, F.col("low_"), F.col("high_"), buckets).alias("bucket_")
+    split = frame.join(hot, is_key, "left").select(*frame.columns, bucket)
+
+    earlier = Window.partitionBy(*copies).orderBy("of_bucket_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        split.groupBy(*keys, "bucket_")
+        frame.join(hot, is_key)
+        .groupBy(*copies, bucket.alias("of_bucket_"))
         .agg(F.count(F.lit(1)).alias("n_"))
         .withColumn("offset_", F.sum("n_").over(earlier))
-        # Keys that fit one bucket need no shift, which leaves few rows to join.
         .where("offset_ > 0")
-        .drop("n_")
     )
-    same = reduce(lambda a, b: a & b, [split[k].eqNullSafe(offsets[k]) for k in [*keys, "bucket_"]])
-    local = Window.partitionBy(*[split[k] for k in keys], split["bucket_"]).orderBy(*[split[o] for o in order])
-    return split.join(offsets, same, "left").select(
-        *[split[c] for c in frame.columns],
-        (F.row_number().over(local) + F.coalesce("offset_", F.lit(0))).alias(name),
+    local = Window.partitionBy(*keys, "bucket_").orderBy(*order)
+    in_range = is_key & (F.col("bucket_") == F.col("of_bucket_"))
+    return split.join(F.broadcast(offsets), in_range, "left").select(
+        *frame.columns, (F.row_number().over(local) + F.coalesce("offset_", F.lit(0))).alias(name)
     )

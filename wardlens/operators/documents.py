@@ -149,11 +149,11 @@ def paragraph_chunks(documents: DataFrame, key: str = "doc_id", text: str = "tex
 def page_chunks(pages: DataFrame, document: str, page: str, text: str = "text", packed: bool = False) -> DataFrame:
     """Chunks of every page, numbered through the pages of their document.
 
-    Numbering splits a document of very many pages by page range.
+    Numbering splits a document that dominates the collection by page range.
     """
     windows = packed_windows(text) if packed else fixed_windows(text)
     rows = _chunk_rows(pages, [document, page], windows).withColumnRenamed("chunk_id", "page_chunk")
-    numbered = row_numbers(rows, [document], [page, "page_chunk"], axis=page, name="chunk_id", span_of=pages)
+    numbered = row_numbers(rows, [document], [page, "page_chunk"], axis=page, name="chunk_id")
     return numbered.select(document, "chunk_id", F.col(page).alias("page_number"), "text")
 
 

@@ -80,7 +80,7 @@ CHART = "chart_id, title, type, dimension, metric, unit, ord, label, value"
 
 def chart_sql(title, table, dimension, kind, metric, unit, value="CAST(COUNT(*) AS DOUBLE)", where="", number=None):
     label = f"COALESCE(CAST({dimension} AS VARCHAR), 'Unknown')"
-    unit = "NULL" if unit is None else f"'{unit}'"
+    unit = "CAST(NULL AS VARCHAR)" if unit is None else f"'{unit}'"
     first = "" if number is None else f"{number} AS chart_no, "
     return f"""SELECT {first}'{title.lower().replace(' ', '-')}' AS chart_id, '{title}' AS title, {kind} AS type, '{dimension}' AS dimension, '{metric}' AS metric,
         {unit} AS unit, ROW_NUMBER() OVER (ORDER BY value DESC, label) AS ord, label, value FROM (SELECT label, {r2('raw')} AS value FROM
@@ -140,7 +140,7 @@ def time_sql(metric, table, date, grain, value="CAST(COUNT(*) AS DOUBLE)", where
     dimension = {"month": "month", "week": "week", "day": "date"}[grain]
     first = "" if number is None else f"{number} AS chart_no, "
     return f"""SELECT {first}'{title.lower().replace(' ', '-')}' AS chart_id, '{title}' AS title, 'line' AS type, '{dimension}' AS dimension, '{metric}' AS metric,
-        NULL AS unit, ROW_NUMBER() OVER (ORDER BY period) AS ord, strftime(period, '%Y-%m-%d') AS label, value FROM
+        CAST(NULL AS VARCHAR) AS unit, ROW_NUMBER() OVER (ORDER BY period) AS ord, strftime(period, '%Y-%m-%d') AS label, value FROM
         (SELECT CAST(date_trunc('{grain}', {date}) AS DATE) AS period, {r2(value)} AS value FROM {table} {where} GROUP BY 1 ORDER BY 1 DESC LIMIT 120)"""
 
 

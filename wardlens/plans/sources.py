@@ -21,7 +21,7 @@ def _(t):
     return io.read_upload_csv(t.spark, path)
 
 
-@query("read_clean_table", "SELECT * FROM appointments")
+@query("read_clean_table", "SELECT * REPLACE (CAST(wait_time_days AS DOUBLE) AS wait_time_days) FROM appointments")
 def _(t):
     path = work_dir(t.spark, "clean")
     io.write_processed({"appointments": t.appointments}, path, "csv")
