@@ -69,7 +69,7 @@ BARE_NAMES = {"equipment_status": ("status", "state", "condition"), "equipment_t
 
 FAILURE_EVENT_PATTERNS = [["fail", "date|event|type|id"]]
 
-# Module signals, in display order. ``None`` marks a list of alternatives that must all hold on one column.
+# Module signals, in display order, in the form of the role patterns.
 MODULES = (
     ("Admission Analytics", [["admission|admit_date|admitted|length_of_stay|los_days"]]),
     ("Appointment Analytics", [["appointment|appt_|no_show|noshow"]]),

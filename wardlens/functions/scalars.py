@@ -66,6 +66,11 @@ def scalar(frame: DataFrame, expression: Column) -> Column:
     return frame.select(expression.alias("value")).scalar()
 
 
+def lookup(frame: DataFrame, key: str, value: Column) -> Column:
+    """A short keyed table (one row per label or column name) as a map-valued scalar subquery."""
+    return scalar(frame, F.map_from_entries(F.collect_list(F.struct(F.col(key).alias("key"), value.alias("value")))))
+
+
 def share_of_total(grouped: DataFrame, rows: str) -> Column:
     """Sum of ``rows`` over all groups, sharing the shuffle that built them."""
     return scalar(grouped, F.sum(rows))

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.functions.scalars import number, scalar
+from wardlens.functions.scalars import lookup, number, scalar
+from wardlens.session import stored
 
 
 def _axis(value: Column) -> Column:
@@ -30,16 +31,12 @@ def value_frequencies(frame: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_name, value, n)`` for the non-null values of several columns.
 
     Repeated values collapse before the shuffle, so a value held by a third of
-    the rows arrives as one row per task.
+    the rows arrives as one row per task. The counts are stored: every later
+    step reads them, and the facts are scanned once.
     """
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), number(c).alias("value")) for c in columns])
-    return (
-        frame.select(F.explode(entries).alias("entry"))
-        .select("entry.*")
-        .where("value IS NOT NULL")
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    long = frame.select(F.explode(entries).alias("entry")).select("entry.*").where("value IS NOT NULL")
+    return stored(long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")), "frequencies")
 
 
 def exact_percentiles(frequencies: DataFrame, shares: dict[str, float], buckets: int = 512) -> DataFrame:
@@ -51,8 +48,10 @@ def exact_percentiles(frequencies: DataFrame, shares: dict[str, float], buckets:
     spans = frequencies.groupBy("column_name").agg(
         F.min(_axis(F.col("value"))).alias("low"), F.max(_axis(F.col("value"))).alias("high")
     )
-    bucketed = frequencies.join(spans, "column_name").select(
-        "column_name", "value", "n", _bucket(_axis(F.col("value")), F.col("low"), F.col("high"), buckets).alias("bucket")
+    # One entry per column, so the values are not shuffled to meet it.
+    span = lookup(spans, "column_name", F.struct("low", "high"))[F.col("column_name")]
+    bucketed = frequencies.withColumn("span", span).select(
+        "column_name", "value", "n", _bucket(_axis(F.col("value")), F.col("span.low"), F.col("span.high"), buckets).alias("bucket")
     )
     totals = bucketed.groupBy("column_name", "bucket").agg(F.sum("n").alias("bucket_n"))
     upto = Window.partitionBy("column_name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -77,8 +76,11 @@ def exact_percentiles(frequencies: DataFrame, shares: dict[str, float], buckets:
         .orderBy("value")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
+    # At most two buckets per wanted percentile hold a rank; only their values go on.
+    holding = scalar(targets, F.collect_set(F.struct("column_name", "bucket")))
     hits = (
-        bucketed.join(targets, ["column_name", "bucket"])
+        bucketed.where(F.array_contains(holding, F.struct("column_name", "bucket")))
+        .join(targets, ["column_name", "bucket"])
         .withColumn("through", F.sum("n").over(within) + F.col("before"))
         .where("rank < through AND rank >= through - n")
     )

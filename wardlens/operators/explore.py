@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.functions.scalars import count_where, ratio, share_of_total
+from wardlens.functions.scalars import count_where, lookup, ratio, share_of_total
 from wardlens.functions.stats import exact_percentiles, value_frequencies
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -45,7 +45,7 @@ def describe_numeric(table: DataFrame, columns: list[str]) -> DataFrame:
     )
     # Deviations are summed about the mean, not by the cancelling sum-of-squares formula.
     spread = (
-        frequencies.join(moments.select("column_name", "mean"), "column_name")
+        frequencies.withColumn("mean", lookup(moments, "column_name", F.col("mean"))[F.col("column_name")])
         .groupBy("column_name")
         .agg(F.sqrt(ratio(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))), F.sum(n) - 1)).alias("std"))
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.functions.scalars import scalar
+from wardlens.functions.scalars import lookup, scalar
 from wardlens.functions.stats import fill_values, medians
 
 SPLIT_SEED = "42"
@@ -193,9 +193,15 @@ def stratified_split(frame: DataFrame, key: str, label: str | None = None, share
         .where("target > through - n AND target <= through")
         .select("stratum", "prefix", (F.col("target") - F.col("through") + F.col("n")).alias("rank"))
     )
-    within = Window.partitionBy("stratum", "prefix").orderBy("hash")
-    cuts = hashed.join(marks, ["stratum", "prefix"]).withColumn("position", F.row_number().over(within)).where("position = rank")
-    cut = scalar(cuts, F.map_from_entries(F.collect_list(F.struct("stratum", "hash"))))
+    mark = lookup(marks, "stratum", F.struct("prefix", "rank"))[F.col("stratum")]
+    within = Window.partitionBy("stratum").orderBy("hash")
+    cuts = (
+        hashed.withColumn("mark", mark)
+        .where("prefix = mark.prefix")
+        .withColumn("position", F.row_number().over(within))
+        .where("position = mark.rank")
+    )
+    cut = lookup(cuts, "stratum", F.col("hash"))
     return frame.withColumn("is_train", F.coalesce(split_hash(key) <= cut[stratum], F.lit(False)))
 
 
@@ -211,5 +217,4 @@ def balanced_weights(frame: DataFrame, label: str) -> DataFrame:
     classes = frame.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("n")).where("class IS NOT NULL")
     totals = classes.select("class", "n", F.sum("n").over(Window.partitionBy()).alias("rows"), F.count(F.lit(1)).over(Window.partitionBy()).alias("kinds"))
     weight = F.col("rows").cast("double") / (F.col("kinds") * F.col("n"))
-    table = scalar(totals, F.map_from_entries(F.collect_list(F.struct("class", weight.alias("weight")))))
-    return frame.withColumn("weight", table[F.col(label)])
+    return frame.withColumn("weight", lookup(totals, "class", weight)[F.col(label)])

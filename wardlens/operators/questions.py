@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlens.functions import routing
-from wardlens.functions.scalars import any_of, collapse_whitespace, compute_once, explode_once, scalar
+from wardlens.functions.scalars import any_of, collapse_whitespace, compute_once, explode_once, lookup, scalar
 from wardlens.operators import reports
 
 
@@ -148,7 +148,7 @@ def lookup_answers(kpis: DataFrame, charts: DataFrame) -> DataFrame:
 
 def kpi_phrase_lookup(questions: DataFrame, answers: DataFrame, key: str = "question_id", text: str = "question") -> DataFrame:
     """The first rule whose phrase the question contains and that has an answer."""
-    table = scalar(answers, F.map_from_entries(F.collect_list(F.struct("rule", F.struct("label", "value").alias("answer")))))
+    table = lookup(answers, "rule", F.struct("label", "value"))
     lowered = F.lower(text)
     hits = [F.when(any_of([lowered.contains(p) for p in phrases]), F.lit(rule)) for rule, phrases, _, _ in routing.LOOKUPS]
     matched = compute_once(questions, [key], {"rules": F.array_compact(F.array(*hits))})
