@@ -221,6 +221,18 @@ def test_vector_search_paths_agree(spark):
     assert len(rows(1000)) == 21 * 5
 
 
+def test_prototype_acceptance(spark):
+    def unit(angle):
+        return [float(np.cos(np.radians(angle))), float(np.sin(np.radians(angle)))]
+
+    prototypes = spark.createDataFrame([(1, unit(0)), (1, unit(10)), (2, unit(90))], "label int, embedding array<double>")
+    vectors = spark.createDataFrame([(0, unit(20)), (1, unit(50)), (2, unit(200)), (3, unit(0)), (4, [0.0, 0.0])], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r for r in retrieval.prototype_classify(vectors, prototypes).collect()}
+    # Close and clear; halfway between labels; far from both; identical (confidence is capped); no direction.
+    assert [got[i]["label"] for i in range(5)] == [1, None, None, 1, None]
+    assert got[3]["confidence"] == 0.86 and got[0]["score"] == round(float(np.cos(np.radians(10))), 6)
+
+
 def test_summary_sample_places(spark):
     frame = spark.range(1, 13).select(F.col("id").cast("int").alias("chunk_id"), F.lit(12).alias("chunk_count"))
     assert sorted(r["chunk_id"] - 1 for r in retrieval.summary_sample(frame).collect()) == [round(i * 11 / 4) for i in range(5)]
