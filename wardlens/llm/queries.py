@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardlens.llm import exact, mixing
+from wardlens.llm import bpe, exact, mixing, secrets
 from wardlens.sources.tables import RAW_SCHEMAS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +74,15 @@ FROM bodies b JOIN grouped g ON b.body = g.body
 @query("op7_exact_dedup", EXACT_SQL)
 def op7_exact_dedup(spark, folder):
     return exact.exact_groups(table(spark, folder, "documents"))
+
+
+@query("op5_bpe_round_trip")
+def op5_bpe_round_trip(spark, folder):
+    return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark, folder):
+    found = secrets.scan(table(spark, folder, "documents"))
+    digest = F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans", "n_confirmed")
