@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import bpe, exact, mixing, secrets
+from wardlens.llm import bpe, exact, minhash, mixing, secrets
 from wardlens.sources.tables import RAW_SCHEMAS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op10_secret_scan(spark, folder):
     found = secrets.scan(table(spark, folder, "documents"))
     digest = F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans", "n_confirmed")
+
+
+@query("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(spark, folder):
+    return minhash.near_groups(table(spark, folder, "documents"), shingle=4, percent=80)
