@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import bpe, exact, minhash, mixing, secrets
+from wardlens.llm import bpe, exact, minhash, mixing, quality, samples, secrets, toxicity
 from wardlens.sources.tables import RAW_SCHEMAS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,23 @@ def op10_secret_scan(spark, folder):
 @query("op9_minhash_near_dedup")
 def op9_minhash_near_dedup(spark, folder):
     return minhash.near_groups(table(spark, folder, "documents"), shingle=4, percent=80)
+
+
+def toxicity_chain(spark, folder, docs):
+    """The chain of the pipeline and of its own query: at most 20,000 labelled documents, all three categories."""
+    return toxicity.fit_chain(docs, table(spark, folder, "labels"), toxicity.standard_categories(), sample=20_000)
+
+
+@query("op8_toxicity_chain")
+def op8_toxicity_chain(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity_chain(spark, folder, docs))
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = F.coalesce(samples.id_crc(F.col("doc_id")) % 5 == 0, F.lit(False))
+    intercept, rules = quality.fit_rules(docs, labels, F.col("quality"), where=~held_out, sample=20_000)
+    scored = quality.score(docs, intercept, rules, threshold=0.3)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
