@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import bpe, exact, minhash, mixing, quality, samples, secrets, toxicity
+from wardlens.llm import bpe, exact, hnsw, minhash, mixing, quality, samples, secrets, toxicity
 from wardlens.sources.tables import RAW_SCHEMAS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op6_quality_rules(spark, folder):
     intercept, rules = quality.fit_rules(docs, labels, F.col("quality"), where=~held_out, sample=20_000)
     scored = quality.score(docs, intercept, rules, threshold=0.3)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op1_vector_near_dedup")
+def op1_vector_near_dedup(spark, folder):
+    return hnsw.linked_vectors(table(spark, folder, "embeddings"), threshold=0.93)
