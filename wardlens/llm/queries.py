@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import bpe, exact, hnsw, minhash, mixing, quality, samples, secrets, toxicity
+from wardlens.llm import bpe, exact, hnsw, minhash, mixing, quality, samples, secrets, substrings, toxicity
 from wardlens.sources.tables import RAW_SCHEMAS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op6_quality_rules(spark, folder):
 @query("op1_vector_near_dedup")
 def op1_vector_near_dedup(spark, folder):
     return hnsw.linked_vectors(table(spark, folder, "embeddings"), threshold=0.93)
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark, folder):
+    return substrings.remove_repeats(table(spark, folder, "documents"), window=50, digest=True)
