@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import bpe, exact, hnsw, minhash, mixing, quality, samples, secrets, substrings, toxicity
+from wardlens.llm import bpe, exact, hnsw, minhash, mixing, quality, samples, secrets, substrings, suffix_tree, toxicity
 from wardlens.sources.tables import RAW_SCHEMAS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ def op1_vector_near_dedup(spark, folder):
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark, folder):
     return substrings.remove_repeats(table(spark, folder, "documents"), window=50, digest=True)
+
+
+@query("op4_suffix_tree_score")
+def op4_suffix_tree_score(spark, folder):
+    return suffix_tree.score(table(spark, folder, "documents"))
