@@ -79,6 +79,32 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, id_column:
     return texts.mapInArrow(run, f"id {kind}, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>")
 
 
+#: 64 bits each: a sketch has one bit per signature value.
+SKETCH_LONGS = 8
+
+
+def most_different(percent: int) -> int:
+    """Differing sketch bits of a pair at the bound, plus five standard deviations."""
+    n, p = 64 * SKETCH_LONGS, (1 - percent / 100) / 2
+    return int(n * p + 5 * (n * p * (1 - p)) ** 0.5) + 1
+
+
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """``id, s0, s1, ...``: the lowest bit of each value of a longer min-max signature."""
+    kind = texts.schema["id"].dataType.simpleString()
+    names = [f"s{i}" for i in range(SKETCH_LONGS)]
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                sets = shingle_sets(part.column("text"), shingle)
+                some = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
+                packed = np.packbits((min_max(some, 32 * SKETCH_LONGS) & np.uint32(1)).astype(bool), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(packed[:, i]) for i in range(SKETCH_LONGS)]], ["id", *names])
+
+    return texts.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names))
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets have 100 * intersection >= percent * union. ``texts`` has ``id, text`` of all of them."""
     kind = texts.schema["id"].dataType.simpleString()
@@ -109,7 +135,9 @@ def near_groups(
     Words are lower-cased in A-Z; a document's set holds its distinct shingles, or all its words as one if it has fewer.
     Two documents are linked when their sets share at least ``percent`` of a hundred of their union; ``component_id``
     is the smallest id reachable. With 32 bands of 4 values a link at the bound is proposed with probability
-    1 - 5e-8, one above it still more surely. Proposed links are confirmed on full sets taken from whole texts.
+    1 - 5e-8, one above it still more surely. A pair that is not yet connected may be passed over when 512 sketch bits
+    differ by more than five standard deviations from what they would at the bound (3e-7 of such pairs). Proposed links
+    are confirmed on full sets taken from whole texts.
 
     * Null and empty texts, and texts of white space, have no set and link with nothing: they are their own component.
     * A row without an id takes no part and is returned with null ``component_id`` and ``kept`` true.
@@ -121,36 +149,33 @@ def near_groups(
     classes = stored(
         named.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"), F.first("n_shingles").alias("n")), "set-classes"
     )
-    # Every band of every class, and the smallest member of each band with company.
+    # Every band of every class, where the band has company.
     places = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    hubs = stored(places.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub < far"), "bands")
-    shared = stored(places.join(hubs, "key").select("key", "rep", "n", "hub", "far"), "shared-bands")
-    wanted = shared.select(F.col("rep").alias("id")).distinct()
+    company = stored(places.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "bands")
+    shared = stored(places.join(company, "key"), "shared-bands")
+    # The hub of a band is its member with most company over all its bands: what copies were made from rather than one of them.
+    weight = stored(shared.groupBy("rep").agg(F.sum("members").alias("weight")), "weights")
+    hubs = stored(shared.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", "rep")).alias("hub")), "hubs")
     texts = stored(
         docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-        .join(wanted, "id", "left_semi"),
+        .join(weight.select(F.col("rep").alias("id")), "id", "left_semi"),
         "candidate-texts",
     )
 
-    def tested(pairs):
-        close = "100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)".format(p=percent)
-        return similar_pairs(pairs.where(close).select("a", "b").distinct(), texts, shingle, percent)
-
-    # First each member against its band's smallest and greatest: that joins almost all that belongs together.
-    sizes = classes.select(F.col("rep").alias("other"), F.col("n").alias("n_b"))
-    ends = F.explode(F.array("hub", "far")).alias("other")
-    stars = shared.select("rep", "n", ends).where("rep <> other").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
-    stars = stars.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-    found = stored(tested(stars), "star-links")
+    # First each member against its hubs: that joins almost all that belongs together.
+    stars = shared.join(hubs, "key").where("rep <> hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    found = stored(similar_pairs(stars, texts, shingle, percent), "star-links")
     grouped = stored(components(found), "star-components").toDF("rep", "component")
-    # Then, in bands that still hold several components, the pairs across components that no star has tested.
-    placed = shared.join(grouped, "rep", "left").select("key", "rep", "n", "hub", "far", F.coalesce("component", "rep").alias("component"))
+    # Then, in bands that still hold several components, pairs across components, unless their sketches rule them out.
+    placed = shared.join(grouped, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     split = stored(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "split-bands")
-    rest = stored(placed.join(split, "key", "left_semi"), "split-places")
-    one = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"), "hub", "far")
-    two = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    across = one.join(two, "key").where("a > b AND of_a <> of_b AND NOT (a IN (hub, far) OR b IN (hub, far))").select("a", "b", "n_a", "n_b").distinct()
-    links = found.union(stored(tested(across), "cross-links"))
+    bits = [f"s{i}" for i in range(SKETCH_LONGS)]
+    rest = stored(placed.join(split, "key", "left_semi").join(sketches(texts, shingle), F.col("rep") == F.col("id")).drop("id"), "split-places")
+    one, two = (rest.select("key", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "component", *bits)]) for x in "ab")
+    differ = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in bits)
+    likely = f"a > b AND component_a <> component_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {differ} <= {most_different(percent)}"
+    pair = one.join(two, (one["key"] == two["key"]) & F.expr(likely)).select("a", "b").distinct()
+    links = found.union(stored(similar_pairs(pair, texts, shingle, percent), "cross-links"))
     # An id that occurs with several texts belongs to several classes: its classes are one document's.
     of_ids = named.select("id", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
     repeated = named.groupBy("id").count().where("count > 1").select("id")
