@@ -135,9 +135,9 @@ def meet(rows: DataFrame, make, parts: int, smaller: bool) -> DataFrame:
         def deal(some: np.ndarray, part: np.ndarray, known: bool):
             order = np.argsort(part, kind="stable")
             some, part = some[order], part[order]
-            numbers, first = np.unique(part, return_index=True)
-            for p, a, b in zip(numbers.tolist(), first, np.append(first[1:], len(part)), strict=True):
-                mine = some[a:b]
+            edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                p, mine = int(part[a]), some[a:b]
                 row = packed(p, keys[mine], check[mine], text[mine], pos[mine], doc, own)
                 out.append(row | {"keys": b"", "check": b""} if known else row)
 
