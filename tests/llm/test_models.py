@@ -33,10 +33,12 @@ def test_chain_finds_words_and_stems(make_docs, spark):
     got = {r.doc_id: r for r in toxicity.score(docs, chain).collect()}
     assert all(r.toxic == (i % 5 == 0) for i, r in got.items())
     fresh = make_docs([*ODD, (90, "RASCALESQUE!"), (91, "a kind word")])
-    flags = {(r.doc_id, r.toxic) for r in toxicity.score(fresh, chain).collect()}
-    assert (90, True) in flags and (91, False) in flags and (1, False) in flags and (None, False) in flags
-    kept = toxicity.drop_toxic(fresh, chain)
-    assert kept.columns == fresh.columns and kept.count() == len(ODD) + 1
+    scored = toxicity.score(fresh, chain).collect()
+    chance = {r.doc_id: r.score for r in scored}
+    # The stem of known words raises the chance of a new one; texts without words stay clean.
+    assert len(scored) == len(ODD) + 2 and chance[90] > 3 * chance[91] and max(chance[i] for i in (None, 1, 91)) < 0.4
+    kept = toxicity.drop_toxic(fresh, chain, threshold=3 * chance[91])
+    assert kept.columns == fresh.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in ODD} | {91}
 
 
 def test_chain_uses_earlier_probabilities():

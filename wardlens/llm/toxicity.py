@@ -206,8 +206,9 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.4, id_column: str
     Null and empty texts are scored like texts without words. Every row is scored on its own, with or without an id,
     repeated or not; texts are read whole. With ``carried``, those columns of ``docs`` come back too, in a struct ``row``.
     """
-    row = [F.struct(*[F.col(c) for c in carried]).alias("row")] if carried else []
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), *row)
+    columns = [F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")]
+    more = ["row"] if carried else []
+    rows = docs.select(*columns, *[F.struct(*[F.col(c) for c in carried]).alias("row") for _ in more])
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     outputs = [f"p_{c}" for c in chain.categories]
 
@@ -217,11 +218,11 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.4, id_column: str
                 part = batch.slice(at, 256)
                 found = shared.value.probabilities(part.column("text").to_pylist())
                 columns = [pa.array(found[:, k]) for k in range(found.shape[1])]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *columns, *[part.column("row") for _ in row]], ["id", *outputs, *["row" for _ in row]])
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns, *[part.column(m) for m in more]], ["id", *outputs, *more])
 
-    schema = StructType([rows.schema["id"], *[StructField(o, DoubleType()) for o in outputs], *[rows.schema["row"] for _ in row]])
+    schema = StructType([rows.schema["id"], *[StructField(o, DoubleType()) for o in outputs], *[rows.schema[m] for m in more]])
     scored = rows.mapInArrow(run, schema)
-    return scored.select(F.col("id").alias(id_column), *outputs, F.col(outputs[0]).alias("score"), (F.col(outputs[0]) >= threshold).alias("toxic"), *["row" for _ in row])
+    return scored.select(F.col("id").alias(id_column), *outputs, F.col(outputs[0]).alias("score"), (F.col(outputs[0]) >= threshold).alias("toxic"), *more)
 
 
 def standard_categories() -> dict[str, Column]:
