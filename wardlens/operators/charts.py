@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wardlens.functions.roles import MODULE_DATES, modules_of, roles_of
 from wardlens.functions.scalars import explode_once, number, scalar, share_of_total, strip, timestamp
+from wardlens.operators.catalog import fallback_category_chart
 
 DEPARTMENT_DIMENSIONS = ("department", "department_id", "department_name", "dept_id", "dept_name")
 MISSED_LABELS = ("no show", "no shows", "missed")
@@ -47,6 +48,8 @@ def grouped(table: DataFrame, groups: list[Group], top: int) -> DataFrame:
     A row contributes once per group and map tasks fold the contributions, so
     the shuffle carries one row per distinct label, however many groups there are.
     """
+    if not groups:
+        return table.sparkSession.createDataFrame([], "no int, ord int, label string, value double")
     entries = F.array_compact(F.array(*[g.entry(i) for i, g in enumerate(groups)]))
     totals = (
         explode_once(table.select(entries.alias("entries")), [], "entries")
@@ -62,6 +65,8 @@ def grouped(table: DataFrame, groups: list[Group], top: int) -> DataFrame:
 
 def _described(groups: list[Group], field) -> Column:
     """A property of the group a row belongs to."""
+    if not groups:
+        return F.lit(None).cast("string")
     values = [field(g) for g in groups]
     return F.get(F.array(*[v if isinstance(v, Column) else F.lit(v).cast("string") for v in values]), F.col("no"))
 
@@ -264,7 +269,10 @@ def department_workload(table: DataFrame, roles: dict | None = None) -> DataFram
 
 
 def dashboard_charts(table: DataFrame, roles: dict | None = None) -> DataFrame:
-    """All charts of one table in display order (``chart_no``): time charts, then groups in one pass."""
+    """All charts of one table in display order (``chart_no``): time charts, then groups in one pass.
+
+    A table that allows none of them shows its first suitable category column instead.
+    """
     roles = roles or roles_of(table.columns)
     modules = modules_of(table.columns)
     lines = [module_time_chart(table, module, roles) for module in MODULE_DATES if module in modules]
@@ -275,7 +283,17 @@ def dashboard_charts(table: DataFrame, roles: dict | None = None) -> DataFrame:
     parts = [line.select(F.lit(i).alias("chart_no"), "*") for i, line in enumerate(lines)]
     if groups:
         parts.append(_charts(table, groups, first=len(lines)))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else _fallback(table)
+
+
+def _fallback(table: DataFrame) -> DataFrame:
+    counted = fallback_category_chart(table)
+    order = Window.orderBy(F.desc("value"), "label")  # at most twelve rows
+    return counted.select(
+        F.lit(0).alias("chart_no"), F.lit("category-distribution").alias("chart_id"), F.lit("Category distribution").alias("title"), F.lit("bar").alias("type"),
+        F.col("column_name").alias("dimension"), F.lit("records").alias("metric"), F.lit("records").alias("unit"), F.row_number().over(order).alias("ord"),
+        "label", F.col("value").cast("double").alias("value"),
+    )
 
 
 def trailing_range_filter(points: DataFrame, date: str, days: int) -> DataFrame:

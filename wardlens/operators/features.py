@@ -100,7 +100,7 @@ def equipment_features(equipment: DataFrame, as_of: str | None = None) -> DataFr
         F.date_diff(F.col("next_maintenance_date"), reference).alias("days_until_next_maintenance"),
         "usage_hours",
         "maintenance_count",
-        (F.col("failure_count") > 0).cast("int").alias("failure_risk"),
+        (F.coalesce("failure_count", F.lit(0)) > 0).cast("int").alias("failure_risk"),
     )
 
 
@@ -202,7 +202,8 @@ def stratified_split(frame: DataFrame, key: str, label: str | None = None, share
         .where("position = mark.rank")
     )
     cut = lookup(cuts, "stratum", F.col("hash"))
-    return frame.withColumn("is_train", F.coalesce(split_hash(key) <= cut[stratum], F.lit(False)))
+    # A row without a stratum is in neither part.
+    return frame.withColumn("is_train", F.when(stratum.isNotNull(), F.coalesce(split_hash(key) <= cut[stratum], F.lit(False))))
 
 
 def time_split(periods: DataFrame, order: str, share: float = 0.8) -> DataFrame:

@@ -213,7 +213,7 @@ def avg_los_for_department(admissions, departments, department: str) -> DataFram
         """SELECT ROUND(AVG(a.length_of_stay), 2) AS average_length_of_stay
            FROM {admissions} a JOIN {departments} d ON a.department_id = d.department_id
            WHERE LOWER(d.department_name) = LOWER(:department)""",
-        args={"department": department[:80]},
+        args={"department": department},
         admissions=admissions,
         departments=departments,
     )

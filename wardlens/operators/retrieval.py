@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from wardlens.functions.scalars import col, explode_once, strip
 from wardlens.operators.documents import clean_document_text
@@ -26,6 +29,8 @@ SUMMARY_WORDS = ("summarize", "summarise", "summary", "overview", "overall")
 PHRASE_BONUS, MATCH_WEIGHT = 2.0, 0.5
 ACCEPT, LEAD, CONFIDENCE_CAP = 0.62, 0.05, 0.86
 EXCERPT, EXCERPTS = 700, 3
+# Query vectors held by a task at a time, and rows a partition may number beside a score of six digits.
+BLOCK_BYTES, PLACES = 32_000_000, 1 << 40
 
 
 def tokens(text: str | Column) -> Column:
@@ -187,98 +192,100 @@ def summary_sample(chunks: DataFrame, keep: int = TOP) -> DataFrame:
     return chunks.where((F.col("chunk_count") <= keep) | F.array_contains(places, F.col("chunk_id") - 1))
 
 
-def _matrix(rows: list) -> np.ndarray:
-    matrix = np.array([r["embedding"] for r in rows], dtype="float64")
+def _unit_rows(vectors) -> np.ndarray:
+    matrix = np.stack(vectors).astype("float64")
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _unit_rows(column: pa.Array) -> np.ndarray:
-    vectors = np.stack(column.to_numpy(zero_copy_only=False)).astype("float64")
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+def _blocks(rows, key: str, size: int = BLOCK_BYTES) -> Iterator[tuple[list, np.ndarray]]:
+    """Keys and unit vectors of a streamed frame, in blocks of at most ``size`` bytes."""
+    keys, vectors, held = [], [], 0
+    for row in rows.toLocalIterator():
+        keys.append(row[key])
+        vectors.append(np.array(row["embedding"], dtype="float64"))
+        held += vectors[-1].nbytes
+        if held >= size:
+            yield keys, _unit_rows(vectors)
+            keys, vectors, held = [], [], 0
+    if keys:
+        yield keys, _unit_rows(vectors)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, top: int = TOP, small: int = 10_000) -> DataFrame:
-    """Cosine top ``top``: ``(query_id, rank, vec_id, score)``; a zero vector scores 0.
+def vector_search(queries: DataFrame, vectors: DataFrame, top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Cosine top ``top``: ``(query_id, rank, vec_id, score)``; a zero vector scores 0. Ids may have any type.
 
-    Up to ``small`` queries travel to the tasks as one matrix; each Arrow batch of
-    vectors is multiplied by it and keeps its own best. More queries are split
-    into blocks joined to the vectors, so neither side is ever held whole.
+    Queries are streamed in blocks of a fixed size in bytes. A block is
+    broadcast; each partition of the vectors multiplies its batches by tiles of
+    the block and keeps one running best per query, so a task returns at most
+    ``top`` rows per query and never holds a score for every pair.
     """
-    held = queries.select("query_id", "embedding").limit(small + 1).collect()
-    if not held:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if len(held) <= small:
-        ids = np.array([r["query_id"] for r in held])
-        shared = queries.sparkSession.sparkContext.broadcast((ids, _matrix(held)))
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, matrix = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                scores = np.round(_unit_rows(batch.column("embedding")) @ matrix.T, 6)
-                vec_ids = batch.column("vec_id").to_numpy()
-                order = np.lexsort((np.broadcast_to(vec_ids[:, None], scores.shape), -scores), axis=0)[:top]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "query_id": np.tile(query_ids, len(order)),
-                        "vec_id": vec_ids[order].ravel(),
-                        "score": np.take_along_axis(scores, order, axis=0).ravel(),
-                    }
-                )
-
-        scored = vectors.select("vec_id", "embedding").mapInArrow(best, "query_id bigint, vec_id bigint, score double")
-    else:
-        blocks = max(1, queries.count() // small)
-        left = vectors.select("vec_id", _unit("embedding").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        right = queries.select("query_id", _unit("embedding").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
-        scored = left.join(right, "block").select("query_id", "vec_id", F.round(_dot(F.col("v"), F.col("q")), 6).alias("score"))
+    # In id order within a partition, so that the place breaks ties as the id does.
+    rows = vectors.select("vec_id", "embedding").sortWithinPartitions("vec_id")
+    kinds = StructType([queries.schema["query_id"], vectors.schema["vec_id"], StructField("score", DoubleType())])
+    parts = [rows.mapInArrow(_best_of(queries.sparkSession.sparkContext.broadcast(block), top, kinds), kinds) for block in _blocks(queries.select("query_id", "embedding"), "query_id", block_bytes)]
+    scored = reduce(DataFrame.unionAll, parts) if parts else queries.sparkSession.createDataFrame([], kinds)
     return _ranked(scored, "query_id", ["vec_id"], top)
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, p: total + p)
-
-
-def _unit(vector: str) -> Column:
-    wide = F.col(vector).cast("array<double>")
-    norm = F.sqrt(_dot(wide, wide))
-    return F.transform(wide, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+def _best_of(shared, top: int, kinds: StructType):
+    query_type, vec_type = (to_arrow_type(f.dataType) for f in kinds.fields[:2])
 
-
-def prototype_classify(vectors: DataFrame, prototypes: DataFrame, small: int = 10_000) -> DataFrame:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, matrix = shared.value
+        # A score of six digits and the place, packed so that the largest number is the best pair.
+        held = np.full((len(keys), top), np.iinfo(np.int64).min)
+        ids, seen = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                unit = _unit_rows(part.column("embedding").to_numpy(zero_copy_only=False))
+                place = PLACES - 1 - (seen + np.arange(part.num_rows))
+                for q in range(0, len(keys), 256):
+                    packed = np.rint(np.round(matrix[q : q + 256] @ unit.T, 6) * 1_000_000).astype(np.int64) * PLACES + place
+                    both = np.concatenate((held[q : q + 256], packed), axis=1)
+                    held[q : q + 256] = np.partition(both, both.shape[1] - top, axis=1)[:, -top:]
+                seen += part.num_rows
+            ids.append(batch.column("vec_id"))
+        if seen:
+            q, _ = np.nonzero(held > np.iinfo(np.int64).min)
+            score, place = np.divmod(held[held > np.iinfo(np.int64).min], PLACES)
+            found = pa.chunked_array(ids).take(pa.array(PLACES - 1 - place)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, query_type).take(pa.array(q)), found.cast(vec_type), pa.array(score / 1_000_000)], kinds.names)
+
+    return best
+
+
+def prototype_classify(vectors: DataFrame, prototypes: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Label of the most similar prototype, accepted when close enough and clearly ahead.
 
-    ``prototypes`` (label, embedding) is a fixed example set and its size is
-    checked; a label scores as its best example.
+    ``prototypes`` (label, embedding) may have labels of any orderable type, structs too; a label scores as its best
+    example. They are streamed in blocks like the queries of :func:`vector_search`. Each block names its two best labels
+    per vector; a label that is among the two best of all is among the two best of the block that holds its best example.
     """
-    held = prototypes.select("label", "embedding").limit(small + 1).collect()
-    if len(held) > small:
-        raise ValueError(f"more than {small} prototypes; use vector_search per label instead")
-    labels = np.array([r["label"] for r in held])
-    order = np.argsort(labels, kind="stable")
-    names, starts = np.unique(labels[order], return_index=True)
-    shared = vectors.sparkSession.sparkContext.broadcast((names, starts, _matrix(held)[order]))
-
-    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, first, matrix = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            scores = np.round(np.maximum.reduceat(_unit_rows(batch.column("embedding")) @ matrix.T, first, axis=1), 6)
-            ranked = np.argsort(-scores, axis=1, kind="stable")
-            top = np.take_along_axis(scores, ranked[:, :1], axis=1)[:, 0]
-            second = np.take_along_axis(scores, ranked[:, 1:2], axis=1)[:, 0] if len(kinds) > 1 else np.full(len(top), -1.0)
-            yield pa.RecordBatch.from_pydict(
-                {"vec_id": batch.column("vec_id"), "best_label": kinds[ranked[:, 0]].astype("int64"), "score": top, "runner_up": second}
-            )
-
-    scored = vectors.select("vec_id", "embedding").mapInArrow(classify, "vec_id bigint, best_label bigint, score double, runner_up double")
+    spark = vectors.sparkSession
+    label = prototypes.schema["label"]
+    named = StructType([vectors.schema["vec_id"], StructField("label_no", LongType()), StructField("score", DoubleType())])
+    rows, parts, labels = vectors.select("vec_id", "embedding"), [], []
+    for keys, matrix in _blocks(prototypes.select("label", "embedding").orderBy("label"), "label", block_bytes):
+        starts = [i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
+        # A label may go on in the next block, under the same number.
+        first = len(labels) - (1 if labels and labels[-1] == keys[0] else 0)
+        labels[first:] = [keys[i] for i in starts]
+        parts.append(rows.mapInArrow(_two_best(spark.sparkContext.broadcast((first, np.array(starts), matrix)), named), named))
+    if not parts:
+        scored = spark.createDataFrame([], named)
+    else:
+        scored = parts[0] if len(parts) == 1 else reduce(DataFrame.unionAll, parts).groupBy("vec_id", "label_no").agg(F.max("score").alias("score"))
+    order = F.struct((-F.col("score")).alias("s"), "label_no")
+    best = scored.groupBy("vec_id").agg(F.array_sort(F.collect_list(order)).alias("order")).select(  # at most two per block
+        "vec_id", F.col("order")[0]["label_no"].alias("label_no"), (-F.col("order")[0]["s"]).alias("score"),
+        F.coalesce(-F.get("order", F.lit(1))["s"], F.lit(-1.0)).alias("runner_up"),
+    )
+    names = spark.createDataFrame([(i, k) for i, k in enumerate(labels)], StructType([StructField("label_no", LongType()), StructField("best_label", label.dataType)]))
     lead = F.round(F.col("score") - F.col("runner_up"), 6)
     accepted = (F.col("score") >= ACCEPT) & ((lead >= LEAD) | (F.col("runner_up") == -1.0))
-    return scored.select(
+    return best.join(names, "label_no", "left").select(
         "vec_id",
         F.when(accepted, F.col("best_label")).alias("label"),
         "score",
@@ -287,6 +294,22 @@ def prototype_classify(vectors: DataFrame, prototypes: DataFrame, small: int = 1
     )
 
 
+def _two_best(shared, named: StructType):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, starts, matrix = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                near = _unit_rows(part.column("embedding").to_numpy(zero_copy_only=False)) @ matrix.T
+                scores = np.round(np.maximum.reduceat(near, starts, axis=1), 6)
+                ranked = np.argsort(-scores, axis=1, kind="stable")[:, :2]
+                row = np.repeat(np.arange(part.num_rows), ranked.shape[1])
+                found = np.take_along_axis(scores, ranked, axis=1).ravel()
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(row)), pa.array(first + ranked.ravel()), pa.array(found)], named.names)
+
+    return best
+
+
 def _place(otherwise: str) -> Column:
     """Where a passage stands: page, table, paragraph or elsewhere."""
     page, section, table = F.col("page_number"), F.col("section"), F.col("table_number")

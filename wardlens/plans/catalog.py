@@ -1,5 +1,9 @@
 """U: schema understanding."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+
 from wardlens.functions import roles as rules
 from wardlens.operators import catalog as op
 from wardlens.plans.quality import COLUMNS, type_of
@@ -129,7 +133,7 @@ def _(t):
     return op.profile_dataset(t.appointments, "appointments")
 
 
-PROFILED = ("appointments", "equipment", "departments")
+PROFILED = ("admissions", "appointments", "beds", "departments", "equipment")
 TARGET = "NOT (column_name LIKE '%\\_id' ESCAPE '\\' OR distinct_values = row_count) AND NOT is_date AND distinct_values BETWEEN 2 AND 20"
 
 
@@ -143,10 +147,8 @@ TARGET = "NOT (column_name LIKE '%\\_id' ESCAPE '\\' OR distinct_values = row_co
       CASE WHEN n >= 20 AND k >= 2 AND targets >= 1 THEN 'Machine learning candidate analysis' END], lambda x: x IS NOT NULL) AS c FROM s)
     SELECT dataset_id, unnest(range(len(c))) AS capability_order, unnest(c) AS capability FROM l""")
 def _(t):
-    profiles = op.profile_dataset(t.appointments, "appointments")
-    for name in PROFILED[1:]:
-        profiles = profiles.unionByName(op.profile_dataset(getattr(t, name), name))
-    return op.dataset_capabilities(profiles)
+    profiles = [op.profile_dataset(getattr(t, name), name) for name in PROFILED]
+    return op.dataset_capabilities(reduce(DataFrame.unionByName, profiles))
 
 
 @query("safe_preview", """SELECT appointment_id, department_id, appointment_date, appointment_type, booking_date, wait_time_days, appointment_status

@@ -210,6 +210,17 @@ def _(t):
     return op.dashboard_charts(t.equipment)
 
 
+@query("dashboard_charts_fallback", """SELECT 0 AS chart_no, 'category-distribution' AS chart_id, 'Category distribution' AS title, 'bar' AS type, 'event_type' AS dimension, 'records' AS metric,
+    'records' AS unit, ROW_NUMBER() OVER (ORDER BY n DESC, event_type) AS ord, event_type AS label, CAST(n AS DOUBLE) AS value FROM (SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1) QUALIFY ord <= 12""")
+def _(t):
+    return op.dashboard_charts(t.events)
+
+
+@query("group_tables_unknown", "SELECT '' AS title, event_type AS label, 0.0::DOUBLE AS value FROM events WHERE FALSE")
+def _(t):
+    return op.group_tables(t.events)
+
+
 TREND = """SELECT chart_no, title, arg_min(value, ord) AS first_value, arg_max(value, ord) AS last_value,
     CASE WHEN arg_max(value, ord) > arg_min(value, ord) THEN 'increased' WHEN arg_max(value, ord) < arg_min(value, ord) THEN 'decreased' ELSE 'was unchanged' END AS direction
     FROM charts WHERE type = 'line' GROUP BY 1, 2 HAVING COUNT(*) >= 2"""

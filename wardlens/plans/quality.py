@@ -48,11 +48,14 @@ def duplicates_sql(name, source=None):
     return f"SELECT '{name}' AS table_name, (SELECT COUNT(*) FROM {source or name}) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {source or name})) AS duplicate_rows"
 
 
-@query("duplicate_rows", duplicates_sql("visits", "(SELECT patient_id, department_id, admission_date, admission_type FROM admissions)")
-       + " UNION ALL " + duplicates_sql("appointments") + " UNION ALL " + duplicates_sql("equipment"))
+FIVE = ("admissions", "appointments", "beds", "departments", "equipment")
+VISITS = "(SELECT patient_id, department_id, admission_date, admission_type FROM admissions)"
+
+
+@query("duplicate_rows", " UNION ALL ".join([duplicates_sql("visits", VISITS), *map(duplicates_sql, FIVE)]))
 def _(t):
     visits = t.admissions.select("patient_id", "department_id", "admission_date", "admission_type")
-    return op.duplicate_rows({"visits": visits, "appointments": t.appointments, "equipment": t.equipment})
+    return op.duplicate_rows({"visits": visits, **{name: getattr(t, name) for name in FIVE}})
 
 
 def type_of(column):

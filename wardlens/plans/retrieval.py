@@ -93,9 +93,15 @@ def _(t):
 @query("vector_search_blocks", f"""WITH {centroid_sql('label')}, s AS (SELECT c.label AS query_id, vec_id, ROUND(list_cosine_similarity(q, CAST(embedding AS DOUBLE[])), 6) AS score FROM c, embeddings)
     SELECT query_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 5""")
 def _(t):
-    # The path for more queries than one matrix may hold.
+    # Blocks of a few queries instead of one.
     queries = centroids(t, "label").select(F.col("label").cast("bigint").alias("query_id"), "embedding")
-    return retrieval.vector_search(queries, t.embeddings, small=4)
+    return retrieval.vector_search(queries, t.embeddings, block_bytes=1_500)
+
+
+@query("vector_search_all", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, ROUND(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v)
+    SELECT query_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 5""")
+def _(t):
+    return retrieval.vector_search(t.embeddings.withColumnRenamed("vec_id", "query_id"), t.embeddings)
 
 
 @query("prototype_classify", f"""WITH {centroid_sql('label, vec_id % 2 AS side')}, s AS (SELECT vec_id, c.label, MAX(ROUND(list_cosine_similarity(q, CAST(embedding AS DOUBLE[])), 6)) AS score FROM c, embeddings GROUP BY ALL),

@@ -17,10 +17,18 @@ CHUNK_SCHEMA = "doc_id bigint, chunk_id int, chunk_count int, text string, works
 def _(t):
     path = work_dir(t.spark, "upload")
     messy = t.appointments.toDF("Appointment ID", " Patient No.", "DEPT-ID", "Appt Date", "Type", "type!", "Waiting Time (d)", "--")
-    messy.write.option("header", True).csv(path)
+    messy.write.options(**io.CSV).csv(path)
     return io.read_upload_csv(t.spark, path)
 
 
+@query("read_upload_csv_text", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def _(t):
+    # Texts with quotes, commas and line breaks come back as they were written.
+    path = work_dir(t.spark, "upload-text")
+    t.documents.write.options(**io.CSV).csv(path)
+    return io.read_upload_csv(t.spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
 @query("read_clean_table", "SELECT * REPLACE (CAST(wait_time_days AS DOUBLE) AS wait_time_days) FROM appointments")
 def _(t):
     path = work_dir(t.spark, "clean")
@@ -43,11 +51,24 @@ def _(t):
     return io.scan_equipment(t.equipment)
 
 
-@query("write_processed", "SELECT * FROM beds")
+@query("write_processed", "SELECT b.*, d.department_name, d.department_type FROM beds b LEFT JOIN departments d USING (department_id)")
 def _(t):
     path = work_dir(t.spark, "processed")
     io.write_processed({"beds": t.beds, "departments": t.departments}, path)
-    return t.spark.read.schema(io.HOSPITAL_SCHEMAS["beds"]).parquet(f"{path}/beds")
+    back = {name: t.spark.read.schema(io.HOSPITAL_SCHEMAS[name]).parquet(f"{path}/{name}") for name in ("beds", "departments")}
+    return back["beds"].join(back["departments"], "department_id", "left")
+
+
+def raw_table(name):
+    @query(f"read_raw_table_{name}", f"SELECT * FROM {name}")
+    def _(t):
+        path = work_dir(t.spark, "raw")
+        io.write_processed({n: getattr(t, n) for n in io.HOSPITAL_SCHEMAS}, path, "csv")
+        return io.read_raw_tables(t.spark, path)[name]
+
+
+for name in io.HOSPITAL_SCHEMAS:
+    raw_table(name)
 
 
 @query("append_table", "SELECT equipment_type, equipment_status, COUNT(*) * 2 AS units FROM equipment GROUP BY ALL")

@@ -19,10 +19,9 @@ HOSPITAL_SCHEMAS = {
     "equipment": "equipment_id bigint, department_id int, equipment_type string, installation_date date, last_maintenance_date date, "
     "next_maintenance_date date, equipment_status string, usage_hours double, maintenance_count int, failure_count int",
 }
-EQUIPMENT_COLUMNS = (
-    "equipment_id", "department_id", "equipment_type", "equipment_status", "usage_hours", "maintenance_count", "failure_count",
-    "last_maintenance_date", "next_maintenance_date", "installation_date",
-)
+EQUIPMENT_COLUMNS = tuple(field.split()[0] for field in HOSPITAL_SCHEMAS["equipment"].split(", "))
+# A quote inside a quoted field is doubled, and white space belongs to its field.
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 CHUNK_FIELDS = "chunk_id int, page_number int, page_end int, section string, table_number int, document_name string, source_type string, text string"
 LIST_FIELDS = "page_start int, page_end int, section string, table_number int, document_name string, source_type string, text string"
 
@@ -38,34 +37,36 @@ def normal_names(columns: list[str]) -> list[str]:
     return names
 
 
-def read_upload_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_upload_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
     """A headed CSV with inferred types and normal column names.
 
     Bytes that are not UTF-8 raise no error in the reader, so one search for
     such a line decides whether to read as Latin-1. Give ``schema`` for large
-    inputs: inference reads the file once more.
+    inputs: inference reads the file once more. Fields may hold line breaks; a
+    file known to have none can be split between tasks with ``multi_line=False``.
     """
     damaged = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     encoding = "UTF-8" if damaged.isEmpty() else "ISO-8859-1"
-    reader = spark.read.option("header", True).option("encoding", encoding)
+    reader = spark.read.options(**CSV, multiLine=multi_line, encoding=encoding)
     frame = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     if frame.limit(1).isEmpty():
         raise ValueError("the uploaded dataset has no rows")
     return frame.toDF(*normal_names(frame.columns))
 
 
-def read_clean_table(spark: SparkSession, path: str, name: str, date_columns: list[str] | None = None) -> DataFrame:
+def read_clean_table(spark: SparkSession, path: str, name: str, date_columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """A cleaned table under its declared schema; the named columns are parsed as dates."""
     fields = [f.strip().rsplit(" ", 1) for f in HOSPITAL_SCHEMAS[name].split(",")]
     dates = date_columns if date_columns is not None else [f for f, kind in fields if kind == "date"]
     schema = ", ".join(f"{f} {'string' if f in dates else kind}" for f, kind in fields)
-    table = spark.read.option("header", True).schema(schema).csv(path)
+    table = spark.read.options(**CSV, multiLine=multi_line).schema(schema).csv(path)
     return table.withColumns({d: F.col(d).try_cast("date") for d in dates})
 
 
-def read_raw_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+def read_raw_tables(spark: SparkSession, base: str, multi_line: bool = True) -> dict[str, DataFrame]:
     """The five raw tables, one folder each."""
-    return {name: spark.read.option("header", True).schema(schema).csv(f"{base}/{name}") for name, schema in HOSPITAL_SCHEMAS.items()}
+    reader = spark.read.options(**CSV, multiLine=multi_line)
+    return {name: reader.schema(schema).csv(f"{base}/{name}") for name, schema in HOSPITAL_SCHEMAS.items()}
 
 
 def scan_equipment(equipment: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def write_processed(tables: dict[str, DataFrame], base: str, kind: str = "parque
     """One folder per table, replaced as a whole."""
     for name, table in tables.items():
         writer = table.write.mode("overwrite").format(kind)
-        (writer.option("header", True) if kind == "csv" else writer).save(f"{base}/{name}")
+        (writer.options(**CSV) if kind == "csv" else writer).save(f"{base}/{name}")
 
 
 def append_table(table: DataFrame, columns: list[str], path: str, kind: str = "parquet", **options) -> None:
