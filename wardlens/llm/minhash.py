@@ -80,7 +80,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, id_column:
 
 
 #: 64 bits each: a sketch has one bit per signature value.
-SKETCH_LONGS = 8
+SKETCH_LONGS = 32
 
 
 def most_different(percent: int) -> int:
@@ -89,20 +89,21 @@ def most_different(percent: int) -> int:
     return int(n * p + 5 * (n * p * (1 - p)) ** 0.5) + 1
 
 
-def sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """``id, s0, s1, ...``: the lowest bit of each value of a longer min-max signature."""
+def sketches(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """``id, keys, s0, s1, ...``: the band keys, and the lowest bit of each value of a longer min-max signature."""
     kind = texts.schema["id"].dataType.simpleString()
     names = [f"s{i}" for i in range(SKETCH_LONGS)]
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                sets = shingle_sets(part.column("text"), shingle)
-                some = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
-                packed = np.packbits((min_max(some, 32 * SKETCH_LONGS) & np.uint32(1)).astype(bool), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(packed[:, i]) for i in range(SKETCH_LONGS)]], ["id", *names])
+                sets = [s if len(s) else np.zeros(1, np.uint64) for s in shingle_sets(part.column("text"), shingle)]
+                packed = np.packbits((min_max(sets, 32 * SKETCH_LONGS) & np.uint32(1)).astype(bool), axis=1).view(np.int64)
+                keys = band_keys(min_max(sets, bands * rows // 2), rows).view(np.int64)
+                lists = pa.array(list(keys), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, *[pa.array(packed[:, i]) for i in range(SKETCH_LONGS)]], ["id", "keys", *names])
 
-    return texts.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names))
+    return texts.mapInArrow(run, f"id {kind}, keys array<bigint>, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -135,7 +136,7 @@ def near_groups(
     Words are lower-cased in A-Z; a document's set holds its distinct shingles, or all its words as one if it has fewer.
     Two documents are linked when their sets share at least ``percent`` of a hundred of their union; ``component_id``
     is the smallest id reachable. With 32 bands of 4 values a link at the bound is proposed with probability
-    1 - 5e-8, one above it still more surely. A pair that is not yet connected may be passed over when 512 sketch bits
+    1 - 5e-8, one above it still more surely. A pair that is not yet connected may be passed over when 2048 sketch bits
     differ by more than five standard deviations from what they would at the bound (3e-7 of such pairs). Proposed links
     are confirmed on full sets taken from whole texts.
 
@@ -170,11 +171,12 @@ def near_groups(
     placed = shared.join(grouped, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     split = stored(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "split-bands")
     bits = [f"s{i}" for i in range(SKETCH_LONGS)]
-    rest = stored(placed.join(split, "key", "left_semi").join(sketches(texts, shingle), F.col("rep") == F.col("id")).drop("id"), "split-places")
-    one, two = (rest.select("key", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "component", *bits)]) for x in "ab")
+    rest = stored(placed.join(split, "key", "left_semi").join(sketches(texts, shingle, bands, rows), F.col("rep") == F.col("id")).drop("id"), "split-places")
+    one, two = (rest.select("key", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "component", "keys", *bits)]) for x in "ab")
     differ = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in bits)
     likely = f"a > b AND component_a <> component_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {differ} <= {most_different(percent)}"
-    pair = one.join(two, (one["key"] == two["key"]) & F.expr(likely)).select("a", "b").distinct()
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == one["key"]  # in one of the bands they share
+    pair = one.join(two, (one["key"] == two["key"]) & F.expr(likely) & once).select("a", "b").distinct()
     links = found.union(stored(similar_pairs(pair, texts, shingle, percent), "cross-links"))
     # An id that occurs with several texts belongs to several classes: its classes are one document's.
     of_ids = named.select("id", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"])
