@@ -38,6 +38,7 @@ LOS_FEATURES = (["age", "admission_dayofweek", "admission_month"], ["department_
 MONTH_FEATURES = (["time_index", "year", "month", "lag_1", "lag_2", "lag_3"], [])
 DAY_FEATURES = (["time_index", "dayofweek", "month", "dayofyear", "lag_1", "lag_7", "lag_30"], [])
 FORECAST_DAYS, HISTORY_DAYS = 7, 30
+DEEPEST = 30  # the deepest tree Spark grows
 
 
 def preprocessing(train: DataFrame, numeric: list[str], categorical: list[str]) -> list:
@@ -87,8 +88,8 @@ def fit_forest(train: DataFrame, features: tuple[list[str], list[str]], estimato
         held.unpersist()
 
 
-def classifier(label: str, trees: int = 100, depth: int = 10) -> RandomForestClassifier:
-    """Balanced forest; depth is bounded because trees are grown level by level on the cluster."""
+def classifier(label: str, trees: int = 100, depth: int = DEEPEST) -> RandomForestClassifier:
+    """Balanced forest, as deep as the library allows unless a caller wants shallower trees."""
     return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=512)
 
 
@@ -102,7 +103,7 @@ def _train_and_test(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
     return frame.where("is_train"), frame.where("NOT is_train")
 
 
-def equipment_failure_model(equipment: DataFrame, trees: int = 100, depth: int = 10) -> tuple[PipelineModel, DataFrame]:
+def equipment_failure_model(equipment: DataFrame, trees: int = 100, depth: int = DEEPEST) -> tuple[PipelineModel, DataFrame]:
     """Model and its predictions on the held-out fifth."""
     rows = stratified_split(equipment_impute(equipment_features(equipment)), "equipment_id", "failure_risk")
     train, test = _train_and_test(rows)
@@ -110,7 +111,7 @@ def equipment_failure_model(equipment: DataFrame, trees: int = 100, depth: int =
     return model, model.transform(test).select("equipment_id", F.col("failure_risk").alias("label"), F.col("prediction").cast("int").alias("prediction"))
 
 
-def no_show_model(appointments: DataFrame, trees: int = 100, depth: int = 10) -> tuple[PipelineModel, DataFrame]:
+def no_show_model(appointments: DataFrame, trees: int = 100, depth: int = DEEPEST) -> tuple[PipelineModel, DataFrame]:
     rows = stratified_split(no_show_features(appointments), "appointment_id", "no_show")
     train, test = _train_and_test(rows)
     model = fit_forest(balanced_weights(train, "no_show"), NO_SHOW_FEATURES, classifier("no_show", trees, depth))

@@ -56,7 +56,7 @@ def _(t):
 @query("forecast_beds_7d_by_department")
 def _(t):
     rows = features.daily_lag_features(t.beds, ["department_id"])
-    model = models.fit_forest(rows, models.DAY_FEATURES, models.regressor("occupied_beds", 20, 8))
+    model = models.fit_forest(rows, models.DAY_FEATURES, models.regressor("occupied_beds", 100, 12))
     return models.forecast_beds(model, t.beds, ["department_id"])
 
 
