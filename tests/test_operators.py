@@ -211,14 +211,37 @@ def test_lexical_search_is_exact(spark):
     assert got == {k: v for k, v in brute_search(asked, chunks).items() if v}
 
 
-def test_vector_search_paths_agree(spark):
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_vector_search_in_blocks_equals_brute_force(spark, kind):
     generator = np.random.default_rng(5)
-    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(generator.normal(size=(300, 8)).astype("float32"))] + [(300, [0.0] * 8)]
-    frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
-    asked = frame.where("vec_id >= 280").select(F.col("vec_id").alias("query_id"), "embedding")
-    rows = lambda small: sorted(tuple(r) for r in retrieval.vector_search(asked, frame, small=small).collect())
-    assert rows(1000) == rows(5)
-    assert len(rows(1000)) == 21 * 5
+    data = generator.normal(size=(300, 8)).astype("float32")
+    data[250:260] = data[0]  # ties, broken by the id
+    vectors = [(f"{i:03}" if kind == "string" else i, [float(x) for x in v]) for i, v in enumerate(data)] + [("300" if kind == "string" else 300, [0.0] * 8)]
+    frame = spark.createDataFrame(vectors, f"vec_id {kind}, embedding array<float>").repartition(3)
+    asked = frame.select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = lambda size: sorted(tuple(r) for r in retrieval.vector_search(asked, frame, block_bytes=size).collect())
+    names, matrix = [v[0] for v in vectors], np.array([v[1] for v in vectors])
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+    scores = np.round(unit @ unit.T, 6)
+    want = []
+    for q, name in enumerate(names):
+        best = sorted(range(len(names)), key=lambda v: (-scores[q, v], names[v]))[:5]
+        want += [(name, rank, names[v], float(scores[q, v])) for rank, v in enumerate(best, 1)]
+    got = rows(10**9)
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and np.allclose([r[3] for r in got], [r[3] for r in sorted(want)])
+    assert rows(700) == got
+    assert retrieval.vector_search(asked.where("false"), frame).count() == 0
+
+
+def test_prototypes_with_other_labels(spark):
+    kinds = [("rag", None, [0.0, 1.0]), ("sql", "beds", [1.0, 0.0]), ("sql", "beds", [0.99, 0.1]), ("sql", "los", [-1.0, 0.0])]
+    prototypes = spark.createDataFrame([((a, b), v) for a, b, v in kinds], "label struct<intent:string,model:string>, embedding array<double>")
+    vectors = spark.createDataFrame([("x", [1.0, 0.05]), ("y", [0.0, 2.0]), ("z", [0.68, 0.73])], "vec_id string, embedding array<double>")
+    for size in (10**9, 16, 40):
+        got = {r.vec_id: r.label and tuple(r.label) for r in retrieval.prototype_classify(vectors, prototypes, block_bytes=size).collect()}
+        assert got == {"x": ("sql", "beds"), "y": ("rag", None), "z": None}
+    assert retrieval.prototype_classify(vectors, prototypes.where("false")).count() == 0
 
 
 def test_prototype_acceptance(spark):
@@ -308,3 +331,29 @@ def test_month_gaps_are_filled(spark):
     frame = spark.createDataFrame([(datetime.date(2024, 1, 5),), (datetime.date(2024, 4, 1),), (None,)], "d date")
     assert [r["admissions"] for r in features.monthly_series(frame, "d").orderBy("month_start").collect()] == [1, 0, 0, 1]
     assert features.next_month_row(features.monthly_series(frame.limit(1), "d")).isEmpty()
+
+
+def test_csv_keeps_quotes_commas_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,Full Text,k\n1,"he said ""hi"", ok",2\n3,"two\nlines, one field",4\n5, spaced ,6\n')
+    got = [tuple(r) for r in io.read_upload_csv(spark, str(tmp_path / "a.csv")).collect()]
+    assert got == [(1, 'he said "hi", ok', 2), (3, "two\nlines, one field", 4), (5, " spaced ", 6)]
+    (tmp_path / "b.csv").write_bytes("n,text\n1,caf\xe9\n".encode("latin-1"))
+    assert [tuple(r) for r in io.read_upload_csv(spark, str(tmp_path / "b.csv")).collect()] == [(1, "caf\xe9")]
+
+
+def test_missing_failure_count_is_no_failure_and_rows_without_stratum_are_in_no_part(spark):
+    units = spark.createDataFrame(
+        [(1, 1, "x", "2020-01-01", "2021-01-01", 1.0, 1, None), (2, 1, "x", "2020-01-01", "2021-01-01", 1.0, 1, 3)],
+        "equipment_id bigint, department_id int, equipment_type string, installation_date string, next_maintenance_date string, usage_hours double, maintenance_count int, failure_count int",
+    )
+    assert [r.failure_risk for r in features.equipment_features(units).orderBy("equipment_id").collect()] == [0, 1]
+    frame = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(200)], "id bigint, label int")
+    parts = {r.id: r.is_train for r in features.stratified_split(frame, "id", "label").collect()}
+    assert all((parts[i] is None) == (i % 4 == 0) for i in parts) and {True, False} <= set(parts.values())
+
+
+def test_tables_that_match_no_module(spark):
+    frame = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(9)], "k bigint, colour string")
+    assert charts.group_tables(frame).count() == 0
+    got = [(r.ord, r.label, r.value, r.dimension) for r in charts.dashboard_charts(frame).orderBy("ord").collect()]
+    assert got == [(1, "a", 5.0, "colour"), (2, "b", 4.0, "colour")]
