@@ -33,6 +33,7 @@ BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 WORDS = ("password", "passwd", "secret", "token", "api")
 OPENSSH = b"openssh-key-v1\0"
+OPENSSH64 = base64.b64encode(OPENSSH).decode()
 
 
 def elements(data: bytes, start: int, end: int):
@@ -131,8 +132,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 found.append((m.start(), 3, m.end()))
     for m in BASE64.finditer(text):
         body = m[0]
-        # A key starts with a long sequence tag or the mark; other candidates need no decoding.
-        if body.startswith(("MI", "MH", "ME", "MF", "MG", "MC", "MD", "b3BlbnNzaC1rZXktdjEA")) and is_key(from_base64(body + "=" * (-len(body) % 4))):
+        # A sequence tag and a length of 16 or more encode to M and B to I; other candidates need no decoding.
+        if (body[0] == "M" and "B" <= body[1] <= "I" or body.startswith(OPENSSH64)) and is_key(from_base64(body + "=" * (-len(body) % 4))):
             found.append((m.start(), 4, m.end()))
     for m in ANY_HEX.finditer(text):
         if is_key(bytes.fromhex(m[0])):
