@@ -166,7 +166,8 @@ def fit_chain(
     for k, name in enumerate(names):
         inputs = VectorAssembler(inputCols=["words", *[f"p_{n}" for n in names[:k]]], outputCol="features")
         model = LogisticRegression(labelCol=name, regParam=penalty, maxIter=40, standardization=False, probabilityCol="probability")
-        ready = inputs.transform(table)
+        # The sample is bounded, so a fit needs no more than one partition; more would only add tasks to each iteration.
+        ready = inputs.transform(table.coalesce(1))
 
         def fit(part, model=model, name=name):
             found = part.agg(F.count(F.lit(1)).alias("n"), F.sum(name).alias("on")).first()
