@@ -18,7 +18,7 @@ from wardlens.session import ship_by_value
 ship_by_value(__name__)
 
 #: Bytes of text hashed at a time; a longer text is hashed alone and whole.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 BYTE_BASE, WORD_BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9  # odd, so they have inverses
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
