@@ -192,3 +192,21 @@ def test_graph_recall_at_size():
     beam = hnsw.audited(graph, unit, np.float32(0.93), 64, 0.999)
     found = sum(len(x) for x in graph.within(unit, np.float32(0.93), beam))
     assert found >= 0.99 * int((unit @ unit.T >= 0.93).sum())
+
+
+def test_no_link_is_lost_beside_a_large_clique(spark):
+    """Pairs far from a clique keep their links, and so do the clique, repeated rows and pairs between shards."""
+    draw = np.random.default_rng(21)
+    base = draw.normal(size=(3000, 64)).astype(np.float32)
+    base[:2000] = base[0] + draw.normal(size=(2000, 64)).astype(np.float32) * 0.01
+    base[2100:2900:2] = base[2101:2901:2] + draw.normal(size=(400, 64)).astype(np.float32) * 0.2
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(base)] + [(2950, base[2950].tolist(), 1)] * 30
+    ids, wide = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    one, two = np.nonzero(np.triu(unit @ unit.T >= 0.93, 1))
+    root = union_find(ids.tolist(), list(zip(ids[one].tolist(), ids[two].tolist(), strict=True)))
+    degree = np.bincount(np.concatenate((ids[one], ids[two])), minlength=len(base))
+    want = sorted((i, int(degree[i]), root[i], root[i] == i) for i in ids.tolist())
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    for shard in (16_384, 700):
+        assert sorted(map(tuple, hnsw.linked_vectors(frame, shard_rows=shard).collect())) == want

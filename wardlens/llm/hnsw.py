@@ -1,10 +1,10 @@
-"""Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
+"""Near-duplicate vectors, exact within each label, and a navigable small-world graph for approximate search.
 
-A shard is a bounded part of one label. Its graph is built inside one task and
-asked for every vector of the label; beams widen until they have passed the
-threshold and an audit against brute force finds nothing missing. Similarities
-are confirmed in double precision. A task returns counts and a spanning forest
-of its links, so a clique of n vectors costs n rows, not n squared.
+A shard is a bounded part of one label. A task holds two shards and compares
+them whole by tiles of products; a walk through a graph can miss links at any
+beam, and at this shard size costs more than the products do. A task returns
+counts and the least id that its links reach from each vector, so a clique of n
+vectors costs n rows, not n squared. ``linked_vectors`` does not use ``Graph``.
 """
 
 from __future__ import annotations
@@ -201,31 +201,62 @@ def audited(graph: Graph, vectors: np.ndarray, threshold: float, audit: int, wan
     return beam
 
 
-def confirmed(base: np.ndarray, queries: np.ndarray, members: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Query and member numbers of the pairs whose cosine in double precision reaches the threshold."""
-    q = np.repeat(np.arange(len(queries)), [len(m) for m in members])
-    m = np.concatenate(members) if len(q) else np.zeros(0, int)
+def confirmed(base: np.ndarray, queries: np.ndarray, q: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of a query and a member have a cosine in double precision that reaches the threshold."""
     keep = np.zeros(len(q), bool)
     for at in range(0, len(q), 50_000):
-        a, b = queries[q[at : at + 50_000]], base[m[at : at + 50_000]]
+        a, b = queries[q[at : at + 50_000]].astype(np.float64), base[m[at : at + 50_000]].astype(np.float64)
         cosine = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
         keep[at : at + 50_000] = cosine >= threshold
-    return q[keep], m[keep]
+    return keep
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least id reachable from each distinct id of the links (a, b): a row of (id, least) each."""
-    ids, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
-    one, two = flat[: len(a)], flat[len(a) :]
-    root = np.arange(len(ids))
+def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node reachable from each node when the links (a, b) are added to those already in ``root``."""
     while True:
-        low = root.copy()
-        np.minimum.at(low, one, root[two])
-        np.minimum.at(low, two, root[one])
-        low = low[low]
-        if (low == root).all():
-            return np.stack((ids, ids[root]), 1)
-        root = low
+        one, two = root[a], root[b]
+        apart = one != two
+        if not apart.any():
+            return root
+        a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def compared(rows: np.ndarray, times: np.ndarray, n_one: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of all occurrences of each row, and the number of its component.
+
+    Each of the first ``n_one`` rows meets each of the others, or each of the first where there are no others. Equal rows
+    are compared once, and a row counts as often as ``times`` says. Products in single precision decide but for the pairs
+    that their rounding leaves open.
+    """
+    raw = np.ascontiguousarray(rows + np.float32(0)).view(np.dtype((np.void, rows.shape[1] * 4))).ravel()  # -0.0 becomes 0.0
+    _, first, same = np.unique(raw, return_index=True, return_inverse=True)
+    single = rows[first]
+    wide = single.astype(np.float64)
+    unit = (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
+    left = np.bincount(same[:n_one], times[:n_one], len(first))
+    right = left if n_one == len(rows) else np.bincount(same[n_one:], times[n_one:], len(first))
+    a, b = np.flatnonzero(left), np.flatnonzero(right)
+    slack = 1e-6 + (rows.shape[1] + 4) * 2.0**-23
+    links_a, links_b, root = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), np.arange(len(first))
+    for at in range(0, len(a), 256):
+        part = a[at : at + 256]
+        near = unit[part] @ unit[b].T
+        hit = near >= threshold + slack
+        q, m = np.nonzero((near >= threshold - slack) & ~hit)
+        hit[q, m] = confirmed(single, single, part[q], b[m], threshold)
+        q, m = np.nonzero(hit)
+        links_a[part] += np.bincount(q, right[b[m]], len(part)).astype(np.int64)
+        links_b[b] += np.bincount(m, left[part[q]], len(b)).astype(np.int64)
+        root = merged(root, part[q], b[m])
+    if n_one == len(rows):
+        itself = np.arange(len(first))
+        links = (links_a - confirmed(single, single, itself, itself, threshold))[same]
+    else:
+        links = np.concatenate((links_a[same[:n_one]], links_b[same[n_one:]]))
+    return links * times, root[same]
 
 
 def usable(embedding: str) -> str:
@@ -233,7 +264,7 @@ def usable(embedding: str) -> str:
 
 
 def linked_vectors(
-    vectors: DataFrame, threshold: float = 0.93, shard_rows: int = 16_384, degree: int = 16, beam: int = 64, audit: int = 64, wanted: float = 0.999,
+    vectors: DataFrame, threshold: float = 0.93, shard_rows: int = 16_384, shard_bytes: int = 4 << 20,
     id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
 ) -> DataFrame:
     """One row per vector: ``id, n_links, component_id, kept``.
@@ -245,46 +276,38 @@ def linked_vectors(
       nothing. Vectors of different lengths are not compared.
     * Rows that repeat an id are one vector each: they link with each other like any two vectors, and every row gets the
       links of all rows of its id. A row without an id takes no part; its component is null and it is kept.
-    * A label is cut into shards of about ``shard_rows`` vectors by a hash of the id, so a label with a third of all rows
-      has more shards, not larger ones. Each shard answers for all vectors of its label.
+    * A label is cut into shards of about ``shard_rows`` vectors and ``shard_bytes`` by a hash of id and vector, so a label
+      with a third of all rows has more shards, not larger ones. Each pair of shards is compared whole by one task, which
+      holds these two and nothing else of the label. Rows equal in label, id and vector are one row with a count.
     * Other columns are not read. An empty table gives an empty result.
     """
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<float>").alias("v"), F.col(label_column).alias("label"))
-    good = rows.where(f"id IS NOT NULL AND label IS NOT NULL AND {usable('v')}").withColumn("dim", F.size("v"))
-    shards = good.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
-    number = F.pmod(F.xxhash64("id"), F.col("shards").cast("long")).cast("int")
+    good = rows.where(f"id IS NOT NULL AND label IS NOT NULL AND {usable('v')}")
+    good = good.groupBy("label", "id", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("v"))
+    most = F.greatest(F.least(F.lit(shard_rows), F.floor(F.lit(shard_bytes) / (4 * F.col("dim")))), F.lit(1))
+    shards = good.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("shards"))
+    number = F.pmod(F.xxhash64("id", "v"), F.col("shards").cast("long")).cast("int")
     # Few rows, one per label and length; adaptive execution broadcasts them when they are small.
     placed = good.join(shards, ["label", "dim"]).withColumn("own", number)
-    asked = placed.select("label", "dim", "id", "v", "own", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    # Shard s is the first of the pairs (s, s) to (s, last) and the second of (0, s) to (s - 1, s).
+    pairs = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.struct(F.least(s, "own").alias("one"), F.greatest(s, "own").alias("two")))
+    asked = placed.select("label", "dim", "id", "v", "n", "own", F.explode(pairs).alias("pair")).select("label", "dim", "id", "v", "n", "own", "pair.*")
 
     def run(key, table):
         ids = table.column("id").to_numpy()
-        whole = np.array(table.column("v").combine_chunks().flatten(), np.float32).reshape(len(ids), -1).astype(np.float64)
-        mine = np.flatnonzero(table.column("own").to_numpy() == key[2].as_py())
-        order = mine[np.argsort(ids[mine], kind="stable")]
-        unit = (whole / np.linalg.norm(whole, axis=1, keepdims=True)).astype(np.float32)
-        slack = np.float32(threshold - 1e-4)
-        found: list[pa.Table] = []
-        if len(order):
-            base = unit[order]
-            graph = Graph(base, degree, beam)
-            width = audited(graph, base, slack, audit, wanted)
-            for at in range(0, len(ids), 1024):
-                part = np.arange(at, min(at + 1024, len(ids)))
-                q, m = confirmed(whole[order], whole[part], graph.within(unit[part], slack, width), threshold)
-                other = part[q] != order[m]
-                q, m = part[q[other]], order[m[other]]
-                if not len(q):
-                    continue
-                counted = np.bincount(q - at, minlength=len(part))
-                some = np.flatnonzero(counted)
-                tree = forest(ids[q], ids[m])
-                found.append(pa.table({"id": ids[part[some]], "links": counted[some].astype(np.int64), "other": pa.nulls(len(some), pa.int64())}))
-                found.append(pa.table({"id": tree[:, 0], "links": np.zeros(len(tree), np.int64), "other": tree[:, 1]}))
-        empty = pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-        return pa.concat_tables([empty, *found])
-
-    answers = stored(asked.groupBy("label", "dim", "shard").applyInArrow(run, "id long, links long, other long"), "vector-links")
+        rows = np.array(table.column("v").combine_chunks().flatten(), np.float32).reshape(len(ids), -1)
+        second = table.column("own").to_numpy() != key[2].as_py()
+        order = np.argsort(second, kind="stable")
+        ids, n_one = ids[order], int((~second).sum())
+        if key[2] != key[3] and n_one in (0, len(ids)):  # one of the two shards got no vector
+            return pa.table({c: pa.array([], pa.int64()) for c in ("id", "links", "other")})
+        links, root = compared(rows[order], table.column("n").to_numpy()[order], n_one, threshold)
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, ids)
+        some = links > 0
+        return pa.table({"id": ids[some], "links": links[some], "other": least[root][some]})
+
+    answers = stored(asked.groupBy("label", "dim", "one", "two").applyInArrow(run, "id long, links long, other long"), "vector-links")
     counts = answers.groupBy("id").agg(F.sum("links").alias("n_links"))
     joined = components(answers.where("other IS NOT NULL"), "id", "other").toDF("id", "component")
     return (
