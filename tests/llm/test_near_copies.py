@@ -210,3 +210,20 @@ def test_no_link_is_lost_beside_a_large_clique(spark):
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
     for shard in (16_384, 700):
         assert sorted(map(tuple, hnsw.linked_vectors(frame, shard_rows=shard).collect())) == want
+
+
+def test_a_task_holds_two_shards(spark, monkeypatch):
+    """However many vectors a label has, and whatever their length."""
+    draw = np.random.default_rng(22)
+    rows = [(i, draw.normal(size=16).tolist(), 1) for i in range(1200)] + [(5000, [1.0] * 16, 1)] * 400
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    plain = hnsw.compared
+
+    def watched(rows, *rest):
+        assert len(rows) <= 2 * 150
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(hnsw, "compared", watched)
+    got = {r.vec_id: r.n_links for r in hnsw.linked_vectors(frame, shard_rows=100).collect()}
+    assert len(got) == 1201 and got[5000] == 400 * 399
+    assert hnsw.linked_vectors(frame, shard_bytes=100 * 64).count() == len(rows)
