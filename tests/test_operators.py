@@ -234,6 +234,23 @@ def test_vector_search_in_blocks_equals_brute_force(spark, kind):
     assert retrieval.vector_search(asked.where("false"), frame).count() == 0
 
 
+def test_vector_search_keeps_queries_off_the_driver(spark, monkeypatch):
+    """No query passes the driver, and repeated rows stay bounded without changing the result."""
+    frame = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id bigint, embedding array<double>")
+    asked = frame.select(F.col("vec_id").alias("query_id"), "embedding")
+
+    def refused(*_):
+        raise AssertionError("rows pass the driver")
+
+    monkeypatch.setattr(type(frame), "toLocalIterator", refused)
+    found = retrieval.vector_search(asked, frame, block_bytes=200, vector_bytes=400)
+    plain = sorted(map(tuple, found.collect()))
+    assert len(plain) == 300 and all(r[2:] == (i, 1.0) for i, r in enumerate(r for r in plain if r[1] == 1 and r[0] < 21))
+    many = frame.union(frame.where("vec_id = 3").crossJoin(spark.range(50)).drop("id"))
+    got = [(r.rank, r.vec_id) for r in retrieval.vector_search(asked.where("query_id = 3"), many, vector_bytes=400).collect()]
+    assert sorted(got) == [(rank, 3) for rank in range(1, 6)]
+
+
 def test_prototypes_with_other_labels(spark):
     kinds = [("rag", None, [0.0, 1.0]), ("sql", "beds", [1.0, 0.0]), ("sql", "beds", [0.99, 0.1]), ("sql", "los", [-1.0, 0.0])]
     prototypes = spark.createDataFrame([((a, b), v) for a, b, v in kinds], "label struct<intent:string,model:string>, embedding array<double>")

@@ -29,8 +29,8 @@ SUMMARY_WORDS = ("summarize", "summarise", "summary", "overview", "overall")
 PHRASE_BONUS, MATCH_WEIGHT = 2.0, 0.5
 ACCEPT, LEAD, CONFIDENCE_CAP = 0.62, 0.05, 0.86
 EXCERPT, EXCERPTS = 700, 3
-# Query vectors held by a task at a time, and rows a partition may number beside a score of six digits.
-BLOCK_BYTES, PLACES = 32_000_000, 1 << 40
+# Vectors and queries held by a task at a time, vectors that are worth a task, and rows a block may number beside a score of six digits.
+BLOCK_BYTES, QUERY_BYTES, TASK_BYTES, PLACES = 32_000_000, 2_000_000, 1_000_000, 1 << 40
 
 
 def tokens(text: str | Column) -> Column:
@@ -212,46 +212,64 @@ def _blocks(rows, key: str, size: int = BLOCK_BYTES) -> Iterator[tuple[list, np.
         yield keys, _unit_rows(vectors)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Cosine top ``top``: ``(query_id, rank, vec_id, score)``; a zero vector scores 0. Ids may have any type.
+def _packed(rows: DataFrame, key: str, blocks: int, copies: int) -> DataFrame:
+    """``block, members``: all rows in blocks of bounded size, each an array in the order of the key.
 
-    Queries are streamed in blocks of a fixed size in bytes. A block is
-    broadcast; each partition of the vectors multiplies its batches by tiles of
-    the block and keeps one running best per query, so a task returns at most
-    ``top`` rows per query and never holds a score for every pair.
+    Of rows equal in key and vector no more than ``copies`` can be in a result; the others are dropped before.
     """
-    # In id order within a partition, so that the place breaks ties as the id does.
-    rows = vectors.select("vec_id", "embedding").sortWithinPartitions("vec_id")
+    single = rows.groupBy(key, "embedding").agg(F.least(F.count(F.lit(1)), F.lit(copies)).cast("int").alias("n_"))
+    each = single.select(F.struct(F.col(key).alias("key"), "embedding").alias("member"), F.pmod(F.xxhash64(key, "embedding"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(1), F.col("n_"))))
+    return each.groupBy("block").agg(F.sort_array(F.collect_list("member")).alias("members"))
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, top: int = TOP, block_bytes: int = QUERY_BYTES, vector_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Cosine top ``top``: ``(query_id, rank, vec_id, score)``; a zero vector scores 0. Ids may have any orderable type.
+
+    Queries and vectors are packed into blocks of about ``block_bytes`` and at most about ``vector_bytes`` (as doubles),
+    written to the shared folder, and every pair of blocks meets in one task. A task multiplies tiles of its two blocks
+    and keeps one running best per query, so it returns at most ``top`` rows per query and never holds a score for every
+    pair. The driver sees two sizes and no vector.
+    """
+    size = lambda rows: rows.agg(F.sum(F.size("embedding").cast("long") * 8)).first()[0] or 0
+    asked, given = size(queries), size(vectors)
+    query_blocks = max(1, -(-asked // block_bytes))
+    # Few queries: more, smaller blocks of vectors, so that there are tasks enough.
+    vector_blocks = max(1, -(-given // vector_bytes), -(-given // (TASK_BYTES * query_blocks)))
     kinds = StructType([queries.schema["query_id"], vectors.schema["vec_id"], StructField("score", DoubleType())])
-    parts = [rows.mapInArrow(_best_of(queries.sparkSession.sparkContext.broadcast(block), top, kinds), kinds) for block in _blocks(queries.select("query_id", "embedding"), "query_id", block_bytes)]
-    scored = reduce(DataFrame.unionAll, parts) if parts else queries.sparkSession.createDataFrame([], kinds)
+    left = stored(_packed(queries.select("query_id", "embedding"), "query_id", query_blocks, top), "query-blocks")
+    right = stored(_packed(vectors.select("vec_id", "embedding"), "vec_id", vector_blocks, top), "vector-blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.select(F.col("block").cast("int").alias("q"), every(vector_blocks).alias("v"), "members")
+    right = right.select(every(query_blocks).alias("q"), F.col("block").cast("int").alias("v"), "members")
+    scored = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(_best_of(top, kinds), kinds)
     return _ranked(scored, "query_id", ["vec_id"], top)
 
 
-def _best_of(shared, top: int, kinds: StructType):
+def _members(block: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    rows = block.column("members").combine_chunks().flatten()
+    return rows.field("key"), _unit_rows(rows.field("embedding").to_numpy(zero_copy_only=False))
+
+
+def _best_of(top: int, kinds: StructType):
     query_type, vec_type = (to_arrow_type(f.dataType) for f in kinds.fields[:2])
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, matrix = shared.value
-        # A score of six digits and the place, packed so that the largest number is the best pair.
+    def best(asked: pa.Table, given: pa.Table) -> pa.Table:
+        if not asked.num_rows or not given.num_rows:
+            return pa.table([pa.array([], t) for t in (query_type, vec_type, pa.float64())], kinds.names)
+        (keys, matrix), (ids, unit) = _members(asked), _members(given)
+        # A score of six digits and the place, packed so that the largest number is the best pair; ids are in order, so the
+        # place breaks ties as the id does.
         held = np.full((len(keys), top), np.iinfo(np.int64).min)
-        ids, seen = [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                unit = _unit_rows(part.column("embedding").to_numpy(zero_copy_only=False))
-                place = PLACES - 1 - (seen + np.arange(part.num_rows))
-                for q in range(0, len(keys), 256):
-                    packed = np.rint(np.round(matrix[q : q + 256] @ unit.T, 6) * 1_000_000).astype(np.int64) * PLACES + place
-                    both = np.concatenate((held[q : q + 256], packed), axis=1)
-                    held[q : q + 256] = np.partition(both, both.shape[1] - top, axis=1)[:, -top:]
-                seen += part.num_rows
-            ids.append(batch.column("vec_id"))
-        if seen:
-            q, _ = np.nonzero(held > np.iinfo(np.int64).min)
-            score, place = np.divmod(held[held > np.iinfo(np.int64).min], PLACES)
-            found = pa.chunked_array(ids).take(pa.array(PLACES - 1 - place)).combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, query_type).take(pa.array(q)), found.cast(vec_type), pa.array(score / 1_000_000)], kinds.names)
+        for q in range(0, len(keys), 256):
+            for at in range(0, len(ids), 1024):
+                part = unit[at : at + 1024]
+                place = PLACES - 1 - (at + np.arange(len(part)))
+                packed = np.rint(np.round(matrix[q : q + 256] @ part.T, 6) * 1_000_000).astype(np.int64) * PLACES + place
+                both = np.concatenate((held[q : q + 256], packed), axis=1)
+                held[q : q + 256] = np.partition(both, both.shape[1] - top, axis=1)[:, -top:]
+        q, _ = np.nonzero(held > np.iinfo(np.int64).min)
+        score, place = np.divmod(held[held > np.iinfo(np.int64).min], PLACES)
+        return pa.table([keys.take(pa.array(q)).cast(query_type), ids.take(pa.array(PLACES - 1 - place)).cast(vec_type), pa.array(score / 1_000_000)], kinds.names)
 
     return best
 
@@ -260,7 +278,7 @@ def prototype_classify(vectors: DataFrame, prototypes: DataFrame, block_bytes: i
     """Label of the most similar prototype, accepted when close enough and clearly ahead.
 
     ``prototypes`` (label, embedding) may have labels of any orderable type, structs too; a label scores as its best
-    example. They are streamed in blocks like the queries of :func:`vector_search`. Each block names its two best labels
+    example. They are streamed through the driver in blocks, each of them a broadcast. Each block names its two best labels
     per vector; a label that is among the two best of all is among the two best of the block that holds its best example.
     """
     spark = vectors.sparkSession
