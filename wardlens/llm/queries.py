@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import bpe, exact, hnsw, minhash, mixing, quality, samples, secrets, substrings, suffix_tree, toxicity
+from wardlens.llm import bpe, exact, hnsw, minhash, mixing, quality, samples, secrets, substrings, suffix_tree, token_counts, toxicity
 from wardlens.sources.tables import RAW_SCHEMAS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ def op2_substring_dedup(spark, folder):
 @query("op4_suffix_tree_score")
 def op4_suffix_tree_score(spark, folder):
     return suffix_tree.score(table(spark, folder, "documents"))
+
+
+@query("op13_token_counts")
+def op13_token_counts(spark, folder):
+    return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
