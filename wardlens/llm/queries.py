@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import bpe, exact, hnsw, minhash, mixing, quality, samples, secrets, substrings, suffix_tree, token_counts, toxicity
+from wardlens.llm import bpe, conversation_repair, exact, hnsw, minhash, mixing, prefix_trie, quality, samples, secrets, substrings, suffix_tree, token_counts, toxicity
 from wardlens.sources.tables import RAW_SCHEMAS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,13 @@ def op4_suffix_tree_score(spark, folder):
 @query("op13_token_counts")
 def op13_token_counts(spark, folder):
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark, folder):
+    return conversation_repair.repair_report(conversation_repair.damage(table(spark, folder, "conversations")))
+
+
+@query("op12_conversation_trie")
+def op12_conversation_trie(spark, folder):
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
