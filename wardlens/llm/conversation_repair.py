@@ -13,7 +13,6 @@ join-free minimum per digest, and the repaired lines are hashed as a stream of c
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -73,12 +72,22 @@ def advance(matrix, ahead):
     return tuple(min(m + v for m, v in zip(row, ahead, strict=True)) for row in matrix)
 
 
-@lru_cache(maxsize=None)
+#: Matrices by (symbol, k), and solved conversations of few rows; plain tables, as cached functions do not travel by value.
+POWERS: dict[tuple[int, int], tuple] = {}
+SOLVED: dict[bytes, tuple[int, str]] = {}
+SOLVED_ROWS, SOLVED_MOST = 32, 100_000
+
+
 def power(symbol: int, k: int):
     """Cheapest costs from state to state over 2**k rows of one symbol, inserts before each row included."""
-    if k:
-        half = power(symbol, k - 1)
-        return product(half, half)
+    found = POWERS.get((symbol, k))
+    if found is None:
+        half = power(symbol, k - 1) if k else None
+        found = POWERS[symbol, k] = product(half, half) if k else one_row(symbol)
+    return found
+
+
+def one_row(symbol: int):
     inserted = [[FAR] * 4 for _ in range(4)]
     for state in range(4):
         at, cost = state, 0
@@ -133,14 +142,18 @@ def solve(symbols: bytes) -> tuple[int, str]:
     return ahead[0][START], "".join(out)
 
 
-@lru_cache(maxsize=100_000)
 def solve_short(symbols: bytes) -> tuple[int, str]:
-    return solve(symbols)
+    found = SOLVED.get(symbols)
+    if found is None:
+        if len(SOLVED) >= SOLVED_MOST:
+            SOLVED.clear()
+        found = SOLVED[symbols] = solve(symbols)
+    return found
 
 
 def judged(symbols: bytes) -> dict:
     """Faults, illegal neighbours, cost and audit of a conversation's symbols."""
-    cost, audit = solve_short(symbols) if len(symbols) <= 32 else solve(symbols)
+    cost, audit = solve_short(symbols) if len(symbols) <= SOLVED_ROWS else solve(symbols)
     codes = np.frombuffer(symbols, np.uint8)
     kinds, faults = codes >> 2, np.bincount(codes & 3, minlength=4)
     pairs = np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16) if len(codes) > 1 else np.zeros(16, np.int64)
