@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -136,19 +137,20 @@ def fit_chain(
 
     Fitted on at most ``sample`` labelled documents. Lexicon, models and folds depend on ids, texts and labels only, so a
     rerun gives the same chain up to rounding. A category without both outcomes in the sample gets its constant rate.
-    Null texts count as empty; labels without a document, and null ids, are left out; an empty sample predicts 0.
+    Null texts count as empty; labels without a document, null ids and labels for which a category is null are left out;
+    of several documents with one id the least text counts; an empty sample predicts 0.
     """
     names = tuple(categories)
-    chosen = labelled_sample(labels, sample, id_column).select(
-        F.col(id_column).alias("id"), *[F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories.items()]
-    )
-    # At most ``sample`` rows, so the broadcast has a bound.
-    rows = stored(
-        docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(F.broadcast(chosen), "id"), "toxicity-sample"
-    )
+    known = reduce(lambda a, b: a & b, [c.isNotNull() for c in categories.values()])
+    chosen = labelled_sample(labels, sample, id_column, known).select(F.col(id_column).alias("id"), *[c.cast("int").alias(n) for n, c in categories.items()])
+    # At most ``sample`` rows, so the broadcast has a bound, and so has the table that one text per id makes.
+    texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = stored(texts.join(F.broadcast(chosen), "id").groupBy("id", *names).agg(F.min("text").alias("text")), "toxicity-sample")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first().asDict()
     n_rows = totals.pop("n")
-    lexicon = choose_lexicon(count_features(rows, names), totals, n_rows, lexicon_size, least) if n_rows else {}
+    if not n_rows:
+        return Chain(names, {}, (-math.log(1e6),) * len(names), np.zeros((len(names), 1)), tuple((0.0,) * k for k in range(len(names))))
+    lexicon = choose_lexicon(count_features(rows, names), totals, n_rows, lexicon_size, least)
     width = max(len(lexicon), 1)
 
     def vectors(batches):
@@ -202,7 +204,7 @@ def fit_chain(
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.4, id_column: str = "doc_id", text_column: str = "text", carried: list[str] | None = None) -> DataFrame:
-    """``id``, one probability ``p_<category>`` each, ``score`` (the first category's) and ``toxic`` (score >= threshold).
+    """``id``, one probability ``p_<category>`` each, ``score`` (the last category's, the end of the chain) and ``toxic`` (score >= threshold).
 
     Null and empty texts are scored like texts without words. Every row is scored on its own, with or without an id,
     repeated or not; texts are read whole. With ``carried``, those columns of ``docs`` come back too, in a struct ``row``.
@@ -210,26 +212,28 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.4, id_column: str
     columns = [F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")]
     more = ["row"] if carried else []
     rows = docs.select(*columns, *[F.struct(*[F.col(c) for c in carried]).alias("row") for _ in more])
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    # Plain values only: a broadcast is unpickled by name, and executors need not have this package.
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(getattr(chain, f.name) for f in fields(chain)))
     outputs = [f"p_{c}" for c in chain.categories]
 
     def run(batches):
+        fitted = Chain(*shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = shared.value.probabilities(part.column("text").to_pylist())
+                found = fitted.probabilities(part.column("text").to_pylist())
                 columns = [pa.array(found[:, k]) for k in range(found.shape[1])]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *columns, *[part.column(m) for m in more]], ["id", *outputs, *more])
 
     schema = StructType([rows.schema["id"], *[StructField(o, DoubleType()) for o in outputs], *[rows.schema[m] for m in more]])
     scored = rows.mapInArrow(run, schema)
-    return scored.select(F.col("id").alias(id_column), *outputs, F.col(outputs[0]).alias("score"), (F.col(outputs[0]) >= threshold).alias("toxic"), *more)
+    return scored.select(F.col("id").alias(id_column), *outputs, F.col(outputs[-1]).alias("score"), (F.col(outputs[-1]) >= threshold).alias("toxic"), *more)
 
 
 def standard_categories() -> dict[str, Column]:
-    """Toxic at all; then toxic inside good prose and toxic inside junk, which build on the first."""
-    toxic = F.col("toxic") == 1
-    return {"toxic": toxic, "in_prose": toxic & (F.col("quality") == 1), "in_junk": toxic & (F.col("quality") == 0)}
+    """Toxic inside good prose, toxic inside junk, then toxic at all, which builds on both and decides."""
+    toxic, good = F.col("toxic") == 1, F.coalesce(F.col("quality") == 1, F.lit(False))
+    return {"in_prose": toxic & good, "in_junk": toxic & ~good, "toxic": toxic}
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = 0.4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
