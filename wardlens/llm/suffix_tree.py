@@ -12,7 +12,7 @@ share. All other words meet their counts in a join.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm.samples import id_crc
-from wardlens.llm.words import OTHER_BASE, Words, mixed, text_slices
+from wardlens.llm.words import Words, mixed, text_slices
 from wardlens.session import ship_by_value, stored
 
 ship_by_value(__name__)
@@ -42,7 +42,7 @@ class Tokens:
         self.hash = np.full(len(self.text), END, np.uint64)
         self.hash[np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)] = words.hash
         self.counts = counts + 1
-        self.own = words.of(words.sums(OTHER_BASE), words.first[:-1], counts, OTHER_BASE).view(np.int64)
+        self.own = words.texts()
         self.train = ~part.column("held_out").to_numpy(zero_copy_only=False)
 
 
@@ -265,12 +265,13 @@ def score(
 
     vocabulary = stored(counted(rows, single, ["c", "n_all"]), "word-counts")
     tree = fit(rows, vocabulary, word_share, state_share, follower_share)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    # Arrays only: a broadcast is unpickled by name, and executors need not have this package.
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(getattr(tree, f.name) for f in fields(tree)))
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", "held_out", "own", "key", "n", "rows", "n_tokens", "n_known", "base", "more"]
 
     def run(batches):
-        tree = shared.value
+        tree = Tree(*shared.value)
         base = tree.base()
         for batch in batches:
             for part in text_slices(batch, "text"):

@@ -1,12 +1,16 @@
 """Hashes of words and word windows over whole Arrow slices, without a Python step per word.
 
-A word's hash is a polynomial in its bytes, a window's a polynomial in its word
-hashes, both modulo 2**64 and taken as differences of running sums, so every
-window costs the same whatever its length.
+A word has two hashes of 64 bits, each a chain of a bijective mixing over its
+bytes, eight at a time (BLAKE2 for long words). A window's hash is a polynomial
+in one of them modulo 2**64, taken as a difference of running sums, so every
+window costs the same whatever its length; it is meant for windows of less than
+a thousand words. Whole texts of any length are hashed with one random odd
+factor per place.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +23,11 @@ ship_by_value(__name__)
 
 #: Bytes of text hashed at a time; a longer text is hashed alone and whole.
 SLICE_BYTES = 500_000
-BYTE_BASE, WORD_BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9  # odd, so they have inverses
+WORD_BASE, OTHER_BASE = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9  # odd, so they have inverses
+#: Start and factor of the two chains over a word's bytes.
+CHAINS = ((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)), (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xA0761D6478BD642F)))
+#: Longer words are hashed one by one.
+LONG_WORD = 512
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -37,7 +45,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each word. Words that differ in one step of eight bytes or in length stay apart in it."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    size = end - start
+    hashes = [np.full(len(start), seed) ^ (size.astype(np.uint64) * factor) for seed, factor in CHAINS]
+    active, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(active):
+        left = size[active] - at
+        lane = eight[start[active] + at]
+        short = left < 8
+        lane = np.where(short, lane & ((np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1)), lane)
+        for h, (seed, factor) in zip(hashes, CHAINS, strict=True):
+            h[active] = mixed((h[active] ^ lane) * factor + seed)
+        at += 8
+        active = active[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=16).digest()
+        hashes[0][i], hashes[1][i] = np.frombuffer(digest, np.uint64)
+    return hashes[0], hashes[1]
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +131,7 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         #: Text i has the words first[i] to first[i + 1].
         self.first = np.searchsorted(self.start, self.text_starts)
-        sums = running(BYTE_VALUE[LOWER[data] if lower else data], BYTE_BASE)
-        self.hash = mixed(between(sums, self.start, self.end, BYTE_BASE))
+        self.hash, self.other = word_hashes(LOWER[data] if lower else data, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.hash)
@@ -114,7 +140,15 @@ class Words:
         return np.diff(self.first)
 
     def sums(self, base: int = WORD_BASE) -> np.ndarray:
-        return running(self.hash, base)
+        return running(self.hash if base == WORD_BASE else self.other, base)
+
+    def texts(self) -> np.ndarray:
+        """A hash of all words of each text, for texts of any length."""
+        counts = self.counts()
+        place = np.arange(len(self)) - np.repeat(self.first[:-1], counts)
+        factor = mixed((place.astype(np.uint64) + np.uint64(1)) * np.uint64(OTHER_BASE)) | np.uint64(1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.other * factor)))
+        return mixed(sums[self.first[1:]] - sums[self.first[:-1]] + counts.astype(np.uint64)).view(np.int64)
 
     def of(self, sums: np.ndarray, start: np.ndarray, size, base: int = WORD_BASE) -> np.ndarray:
         """Hashes of the windows of ``size`` words that start at the given words."""
