@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wardlens.operators import documents, retrieval
+from wardlens.operators import documents, retrieval, vector_index
 from wardlens.plans.documents import CLEAN, FIXED, STRIP
 from wardlens.plans.registry import query
 
@@ -104,6 +104,12 @@ def _(t):
     return retrieval.vector_search(t.embeddings.withColumnRenamed("vec_id", "query_id"), t.embeddings)
 
 
+@query("vector_search_indexed", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, ROUND(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v)
+    SELECT query_id, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s QUALIFY rank <= 5""")
+def _(t):
+    return vector_index.search_all(t.embeddings.withColumnRenamed("vec_id", "query_id"), t.embeddings, block_bytes=32_000)[0]
+
+
 @query("prototype_classify", f"""WITH {centroid_sql('label, vec_id % 2 AS side')}, s AS (SELECT vec_id, c.label, MAX(ROUND(list_cosine_similarity(q, CAST(embedding AS DOUBLE[])), 6)) AS score FROM c, embeddings GROUP BY ALL),
     r AS (SELECT vec_id, label, score, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS k, LEAD(score) OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS second FROM s)
     SELECT vec_id, CASE WHEN score >= 0.62 AND ROUND(score - second, 6) >= 0.05 THEN label END AS label, score, ROUND(score - second, 6) AS lead,
