@@ -12,150 +12,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from wardlens.functions.scalars import col, explode_once, strip
+from wardlens.functions.scalars import col, strip
+from wardlens.functions.tokens import STOPWORDS, TOKEN, tokens  # noqa: F401
+from wardlens.operators import text_index
 from wardlens.operators.documents import clean_document_text
 from wardlens.session import ship_by_value, stored, work_dir
 
 ship_by_value(__name__)
 
-# Word pattern, ignored words, result size, summary words, acceptance thresholds.
-TOKEN = "[A-Za-z0-9][A-Za-z0-9'-]+"
-STOPWORDS = (
-    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "from", "is", "are", "was", "were", "what", "which", "how",
-    "why", "when", "where", "this", "that", "these", "those", "about", "hospital", "report", "document",
-)
+# Result size, summary words, acceptance thresholds.
 TOP = 5
 SUMMARY_WORDS = ("summarize", "summarise", "summary", "overview", "overall")
-PHRASE_BONUS, MATCH_WEIGHT = 2.0, 0.5
 ACCEPT, LEAD, CONFIDENCE_CAP = 0.62, 0.05, 0.86
 EXCERPT, EXCERPTS = 700, 3
 # Vectors and queries held by a task at a time, vectors that are worth a task, and rows a block may number beside a score of six digits.
 BLOCK_BYTES, QUERY_BYTES, TASK_BYTES, PLACES = 32_000_000, 2_000_000, 1_000_000, 1 << 40
 
 
-def tokens(text: str | Column) -> Column:
-    words = F.regexp_extract_all(F.lower(col(text)), F.lit(TOKEN), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
-
-
 def tokenize(table: DataFrame, key: str, text: str = "text") -> DataFrame:
     listed = table.select(key, tokens(text).alias("words"))
     return listed.select(key, F.size("words").alias("token_count"), F.array_join("words", " ").alias("tokens"))
 
 
-def term_frequencies(table: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
-    words = explode_once(table.select(*keys, tokens(text).alias("words")), keys, "words")
-    return words.groupBy(*keys, F.col("item").alias("token")).agg(F.count(F.lit(1)).alias(name))
-
-
-def _sum_scores(matches: DataFrame, question: str, keys: list[str]) -> DataFrame:
-    return matches.groupBy(question, *keys).agg(F.sum(F.least("query_n", "chunk_n")).alias("overlap"), F.count(F.lit(1)).alias("matched"))
-
-
-def _lookup_scores(pairs: DataFrame, query_terms: DataFrame, chunk_terms: DataFrame, question: str, keys: list[str]) -> DataFrame:
-    """Word scores of given (question, chunk) pairs: one lookup per question word and pair."""
-    return _sum_scores(pairs.join(query_terms, question).join(chunk_terms, [*keys, "token"]), question, keys)
-
-
-def write_term_index(chunks: DataFrame, keys: list[str], path: str, text: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
-    """Word counts per chunk as a stored table, read once per search step instead of re-tokenising.
-
-    ``vocabulary`` limits the table to the words of a known batch of questions.
-    """
-    words = explode_once(chunks.select(*keys, tokens(text).alias("words")), keys, "words").select(*keys, F.col("item").alias("token"))
-    if vocabulary is not None:
-        words = words.join(vocabulary, "token", "left_semi")
-    words.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("chunk_n")).write.mode("overwrite").parquet(path)
-    return chunks.sparkSession.read.parquet(path)
-
-
 def lexical_search(
-    questions: DataFrame, chunks: DataFrame, question: str, keys: list[str], question_text: str = "text", text: str = "text",
-    top: int = TOP, chunk_terms: DataFrame | None = None,
+    questions: DataFrame, chunks: DataFrame, question: str, keys: list[str], question_text: str = "text", text: str = "text", top: int = TOP, path: str | None = None,
 ) -> DataFrame:
-    """The ``top`` chunks of every question: ``(question, rank, keys, score)``.
-
-    Score = sum of min(word counts) + half the distinct words in common + 2 when
-    the question's words, joined, occur in the chunk's words, joined. Only
-    chunks sharing a word are scored; ties go to the smaller key.
-
-    Words are taken from rarest to commonest. Chunks holding the question's
-    rarest usable word are scored first; their ``top``-th score is a floor for
-    the result. The commonest words whose contributions (plus the bonus) sum to
-    less than the floor propose no chunks: one matching nothing else cannot be a
-    result. The other words' scores are accumulated, which gives a higher floor,
-    and only chunks that can still reach it are completed with the skipped words
-    and compared as text. Nothing is capped, so the result is exact.
-
-    ``chunk_terms`` is a term index written earlier; without one, an index of
-    this batch's words is written to the session's shared folder.
-    """
-    query_terms = stored(term_frequencies(questions, [question], question_text, "query_n"), "query-terms")
-    if chunk_terms is None:
-        vocabulary = query_terms.select("token").distinct()
-        chunk_terms = write_term_index(chunks, keys, work_dir(chunks.sparkSession, "terms"), text, vocabulary)
-
-    spread = chunk_terms.groupBy("token").agg(F.count(F.lit(1)).alias("chunks_with"))
-    rarest = Window.partitionBy(question).orderBy("chunks_with", "token")
-    from_here = rarest.rowsBetween(0, Window.unboundedFollowing)
-    # A question has a bounded number of distinct words.
-    weighted = (
-        query_terms.join(spread, "token")
-        .withColumn("reach", F.sum(F.col("query_n") + MATCH_WEIGHT).over(from_here))
-        .withColumn("usable", F.col("chunks_with") >= top)
-    )
-    seed_words = weighted.where("usable").groupBy(question).agg(F.min_by("token", F.struct("chunks_with", "token")).alias("token"))
-    seeds = seed_words.join(chunk_terms, "token").select(question, *keys)
-    first_floor = _floor(_lookup_scores(seeds, query_terms, chunk_terms, question, keys), question, top, "floor")
-
-    skip = F.coalesce(F.col("reach") + PHRASE_BONUS < F.col("floor"), F.lit(False))
-    judged = stored(weighted.join(first_floor, question, "left").select(question, "token", "query_n", "reach", skip.alias("skip")), "judged")
-    proposing = judged.where("NOT skip").select(question, "token", "query_n")
-    skipped = judged.where("skip").select(question, "token", "query_n")
-    left_over = judged.where("skip").groupBy(question).agg(F.max("reach").alias("rest"))
-
-    partial = stored(_sum_scores(proposing.join(chunk_terms, "token"), question, keys), "partial")
-    second_floor = _floor(partial, question, top, "floor")
-    base = F.col("overlap") + MATCH_WEIGHT * F.col("matched")
-    reachable = base + F.coalesce("rest", F.lit(0.0)) + PHRASE_BONUS
-    survivors = stored(
-        partial.join(left_over, question, "left")
-        .join(second_floor, question, "left")
-        .where(F.col("floor").isNull() | (reachable >= F.col("floor")))
-        .select(question, *keys, "overlap", "matched"),
-        "survivors",
-    )
-    completing = _lookup_scores(survivors.select(question, *keys), skipped, chunk_terms, question, keys)
-    scored = (
-        survivors.unionByName(completing)
-        .groupBy(question, *keys)
-        .agg(F.sum("overlap").alias("overlap"), F.sum("matched").alias("matched"))
-    )
-    return _ranked(_with_phrase(scored, questions, chunks, question, keys, question_text, text), question, keys, top)
-
-
-def _floor(scores: DataFrame, question: str, top: int, name: str) -> DataFrame:
-    """The ``top``-th best word score per question, NULL where fewer chunks are known."""
-    nth = F.row_number().over(Window.partitionBy(question).orderBy(F.desc("base")))
-    best = scores.select(question, (F.col("overlap") + MATCH_WEIGHT * F.col("matched")).alias("base")).withColumn("nth", nth)
-    return best.where(F.col("nth") <= top).groupBy(question).agg(F.when(F.count(F.lit(1)) == top, F.min("base")).alias(name))
-
-
-def _with_phrase(scored: DataFrame, questions: DataFrame, chunks: DataFrame, question: str, keys: list[str], question_text: str, text: str) -> DataFrame:
-    """Adds the phrase bonus. All inner words of the phrase must be matched before any text is compared."""
-    phrases = questions.select(question, tokens(question_text).alias("words")).select(
-        question,
-        F.array_join("words", " ").alias("phrase"),
-        # The first and last word may match inside a longer word.
-        F.size(F.array_distinct(F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0))))).alias("inner"),
-    )
-    possible = scored.join(phrases, question).where(F.col("matched") >= F.col("inner"))
-    # Words are rebuilt after the join, for the few chunks still in question.
-    said = F.array_join(tokens(F.col("chunk_text")), " ").contains(F.col("phrase"))
-    compared = possible.join(chunks.select(*keys, F.col(text).alias("chunk_text")), keys)
-    hits = compared.where(said).select(question, *keys, F.lit(PHRASE_BONUS).alias("bonus"))
-    score = F.col("overlap") + MATCH_WEIGHT * F.col("matched") + F.coalesce("bonus", F.lit(0.0))
-    return scored.join(hits, [question, *keys], "left").select(question, *keys, F.round(score, 4).alias("score"))
+    """Index ``chunks`` at ``path`` (default: the shared folder) and search the index once; see ``text_index``."""
+    index = text_index.write_text_index(chunks, keys, path or work_dir(chunks.sparkSession, "text-index"), text)
+    return text_index.search(index, questions, question, question_text, top)
 
 
 def _ranked(scored: DataFrame, question: str, keys: list[str], top: int) -> DataFrame:

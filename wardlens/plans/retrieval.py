@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from wardlens.operators import documents, retrieval, vector_index
+from wardlens.operators import documents, retrieval, text_index, vector_index
 from wardlens.plans.documents import CLEAN, FIXED, STRIP
 from wardlens.plans.registry import query
+from wardlens.session import work_dir
 
 STOP = ", ".join(f"'{w}'" for w in retrieval.STOPWORDS)
 TOKEN = retrieval.TOKEN.replace("'", "''")
@@ -34,8 +35,15 @@ HITS = f"""{FIXED}, cw AS (SELECT doc_id, chunk_id, text, {words_sql('text')} AS
       QUALIFY rank <= 5)"""
 
 
+#: Index folder by application and data folder: one index serves every query of a session.
+INDEXES: dict[tuple[str, str], text_index.TextIndex] = {}
+
+
 def hits(t):
-    return retrieval.lexical_search(t.benchmark, chunks(t), "item_id", ["doc_id", "chunk_id"])
+    place = (t.spark.sparkContext.applicationId, t.folder)
+    if place not in INDEXES:
+        INDEXES[place] = text_index.write_text_index(chunks(t), ["doc_id", "chunk_id"], work_dir(t.spark, "text-index"))
+    return text_index.search(INDEXES[place], t.benchmark, "item_id")
 
 
 @query("lexical_search", f"WITH {HITS} SELECT item_id, rank, doc_id, chunk_id, score FROM hits")
