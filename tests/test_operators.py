@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wardlens.functions import roles
-from wardlens.functions.stats import exact_percentiles, row_numbers, value_frequencies
+from wardlens.functions.stats import exact_percentiles, row_numbers
 from wardlens.operators import charts, documents, features, kpis, priority, questions, retrieval
 from wardlens.sources import io
 
@@ -68,11 +68,33 @@ def test_hot_key_row_numbers(spark, hot_rows):
         assert [r["n"] for r in mine] == list(range(1, len(mine) + 1))
 
 
-@pytest.mark.parametrize("values", [[5.0] * 40 + [1.0, 9.0], list(np.random.default_rng(3).lognormal(3, 3, 501)), [-4.0, 7.5], [3.0]])
-def test_percentiles_match_numpy(spark, values):
-    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
-    (got,) = exact_percentiles(value_frequencies(frame, ["v"]), {"a": 0.25, "b": 0.5, "c": 0.9}, buckets=16).collect()
-    assert np.allclose([got["a"], got["b"], got["c"]], np.percentile(values, [25, 50, 90]), rtol=1e-12)
+VALUES = {
+    "ties": [5.0] * 40 + [1.0, 9.0], "long tail": list(np.random.default_rng(3).lognormal(3, 3, 501)), "two": [-4.0, 7.5], "one": [3.0],
+    "outlier": [*range(3_000), 1e300, -1e300], "nearly one value": [7.0] * 9_500 + list(range(500)), "many": list(np.random.default_rng(4).normal(size=30_011)),
+}
+
+
+@pytest.mark.parametrize("accuracy", [100, 20_000])
+def test_percentiles_match_numpy(spark, accuracy):
+    rows = [tuple(float(v[i]) if i < len(v) else None for v in VALUES.values()) for i in range(max(map(len, VALUES.values())))]
+    names = [f"c{i}" for i in range(len(VALUES))]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(7).withColumn("none", F.lit(None).cast("double"))
+    shares = {"a": 0.25, "b": 0.5, "c": 0.9, "d": 0.0, "e": 1.0}
+    plan = exact_percentiles(frame, [*names, "none"], shares, accuracy)
+    got = {r["column_name"]: r for r in plan.collect()}
+    assert set(got) == set(names)
+    for name, (kind, values) in zip(names, VALUES.items(), strict=True):
+        assert np.allclose([got[name][s] for s in shares], np.percentile(values, [25, 50, 90, 0, 100]), rtol=1e-12), kind
+
+
+def test_row_numbers_and_percentiles_store_nothing(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a table is written")
+
+    monkeypatch.setattr("wardlens.session.work_dir", refused)
+    frame = spark.range(1_000).selectExpr("id", "id % 3 AS k")
+    assert exact_percentiles(frame, ["id"], {"m": 0.5}).first()["m"] == 499.5
+    assert row_numbers(frame, ["k"], ["id"]).count() == 1_000
 
 
 def test_split_is_exact_and_stable(spark):

@@ -1,8 +1,9 @@
 """Exact order statistics and row numbers that no single task has to hold.
 
-Both cut the ordered axis into buckets by a rule that depends only on the data
-(minimum and maximum), so every branch of a plan, and every re-run of a lost
-task, puts a row into the same bucket.
+Percentiles read borders from a mergeable summary and count between them; row
+numbers cut the ordered axis into buckets by a rule that depends only on the
+data (minimum and maximum), so every branch of a plan, and every re-run of a
+lost task, puts a row into the same bucket.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlens.functions.scalars import lookup, number, scalar
-from wardlens.session import stored
 
 
 def _axis(value: Column) -> Column:
@@ -27,75 +27,61 @@ def _bucket(value: Column, low: Column, high: Column, buckets: int) -> Column:
     return F.when(low.isNotNull(), F.least(F.floor(share * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
 
 
-def value_frequencies(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column_name, value, n)`` for the non-null values of several columns.
+#: Rank error of the summary that gives the borders, as a share of the rows: 1 / ACCURACY; borders lie MARGIN errors from a wanted rank.
+ACCURACY, MARGIN = 20_000, 4
 
-    Repeated values collapse before the shuffle, so a value held by a third of
-    the rows arrives as one row per task. The counts are stored: every later
-    step reads them, and the facts are scanned once.
-    """
+
+def long_values(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column_name, value)`` for the non-null values of several columns."""
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), number(c).alias("value")) for c in columns])
-    long = frame.select(F.explode(entries).alias("entry")).select("entry.*").where("value IS NOT NULL")
-    return stored(long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")), "frequencies")
+    return frame.select(F.explode(entries).alias("entry")).select("entry.*").where("value IS NOT NULL")
 
 
-def exact_percentiles(frequencies: DataFrame, shares: dict[str, float], buckets: int = 512) -> DataFrame:
-    """Linear-interpolated percentiles as ``(column_name, <one column per share>)``.
+def exact_percentiles(frame: DataFrame, columns: list[str], shares: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
+    """Linear-interpolated percentiles as ``(column_name, <one column per share>)``; columns without values have no row.
 
-    Buckets are totalled first; only the buckets that hold a wanted rank are
-    then sorted, each on its own.
+    A mergeable quantile summary (one pass, bounded state per task) gives two borders around every wanted rank. A second pass
+    counts what lies below the lower border and collapses the values between both, so what is sorted is at most some
+    ``2 * MARGIN / accuracy`` of the rows, and one row where a value is repeated. Outliers move no border and nothing is
+    stored. A rank outside its borders, which the summary's guarantee excludes, stops the query.
     """
-    spans = frequencies.groupBy("column_name").agg(
-        F.min(_axis(F.col("value"))).alias("low"), F.max(_axis(F.col("value"))).alias("high")
-    )
-    # One entry per column, so the values are not shuffled to meet it.
-    span = lookup(spans, "column_name", F.struct("low", "high"))[F.col("column_name")]
-    bucketed = frequencies.withColumn("span", span).select(
-        "column_name", "value", "n", _bucket(_axis(F.col("value")), F.col("span.low"), F.col("span.high"), buckets).alias("bucket")
-    )
-    totals = bucketed.groupBy("column_name", "bucket").agg(F.sum("n").alias("bucket_n"))
-    upto = Window.partitionBy("column_name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("column_name")
-    wanted = F.array(
-        *[
-            F.struct(F.lit(name).alias("share"), F.lit(side).alias("side"), (F.lit(p) * (F.col("total_n") - 1)).alias("position"))
-            for name, p in shares.items()
-            for side in ("lower", "upper")
-        ]
-    )
-    targets = (
-        totals.withColumn("through", F.sum("bucket_n").over(upto))
-        .withColumn("total_n", F.sum("bucket_n").over(whole))
-        .select("*", F.explode(wanted).alias("target"))
-        .withColumn("rank", F.when(F.col("target.side") == "lower", F.floor("target.position")).otherwise(F.ceil("target.position")))
-        .where("rank < through AND rank >= through - bucket_n")
-        .select("column_name", "bucket", "rank", "target", (F.col("through") - F.col("bucket_n")).alias("before"))
-    )
-    within = (
-        Window.partitionBy("column_name", "bucket", "target.share", "target.side")
-        .orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, 0)
+    long, margin = long_values(frame, columns), MARGIN / accuracy
+    points = [min(max(p + side * margin, 0.0), 1.0) for p in shares.values() for side in (-1, 1)]
+    spans = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", points, accuracy).alias("borders"))
+    # One row per column, read by the second pass as a map, so the values are not shuffled to meet it.
+    span = lookup(spans, "column_name", F.struct("n", "borders"))[F.col("column_name")]
+    wanted = F.array(*[F.struct(F.lit(name).alias("share"), F.lit(2 * i).alias("at")) for i, name in enumerate(shares)])
+    placed = long.withColumn("span", span).select("column_name", "value", "span", F.explode(wanted).alias("wanted"))
+    low, high = F.get("span.borders", F.col("wanted.at")), F.get("span.borders", F.col("wanted.at") + 1)
+    # Of the values below and above only the count and the nearest one go on: a rank may be one off the borders.
+    zone = F.when(F.col("value") < low, -1).when(F.col("value") > high, 1).otherwise(0)
+    between = (
+        placed.select("column_name", "wanted.share", zone.alias("zone"), "value")
+        .groupBy("column_name", "share", "zone", F.when(F.col("zone") == 0, F.col("value")).alias("inside"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
     )
-    # At most two buckets per wanted percentile hold a rank; only their values go on.
-    holding = scalar(targets, F.collect_set(F.struct("column_name", "bucket")))
-    hits = (
-        bucketed.where(F.array_contains(holding, F.struct("column_name", "bucket")))
-        .join(targets, ["column_name", "bucket"])
-        .withColumn("through", F.sum("n").over(within) + F.col("before"))
-        .where("rank < through AND rank >= through - n")
+    order = Window.partitionBy("column_name", "share").orderBy("zone", "inside").rowsBetween(Window.unboundedPreceding, 0)
+    total = span.getField("n")  # the same subquery again, so that it runs once
+    probability = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("share")]
+    ranked = between.withColumn("through", F.sum("n").over(order)).withColumn("position", probability * (total - 1))
+
+    def holds(rank):
+        here = (rank < F.col("through")) & (rank >= F.col("through") - F.col("n"))
+        return here & ((F.col("zone") == 0) | ((F.col("zone") < 0) & (rank == F.col("through") - 1)) | ((F.col("zone") > 0) & (rank == F.col("through") - F.col("n"))))
+
+    nearest = F.when(F.col("zone") < 0, F.col("most")).otherwise(F.col("least"))
+    first, last = F.floor("position"), F.ceil("position")
+    hits = ranked.groupBy("column_name", "share").agg(
+        F.max(F.when(holds(first), nearest)).alias("first"), F.max(F.when(holds(last), nearest)).alias("last"), F.max(F.col("position") - first).alias("fraction")
     )
-    results = []
-    for name in shares:
-        side = lambda s, c: F.max(F.when((F.col("target.share") == name) & (F.col("target.side") == s), F.col(c)))  # noqa: B023, E731
-        low, high = side("lower", "value"), side("upper", "value")
-        fraction = side("lower", "target.position") - side("lower", "rank")
-        results.append((low + (high - low) * fraction).alias(name))
-    return hits.groupBy("column_name").agg(*results)
+    missed = F.raise_error(F.lit("a percentile lies outside the borders of its summary")).cast("double")
+    exact = hits.select("column_name", "share", F.coalesce(F.col("first") + (F.col("last") - F.col("first")) * F.col("fraction"), missed).alias("exact"))
+    return exact.groupBy("column_name").agg(*[F.max(F.when(F.col("share") == name, F.col("exact"))).alias(name) for name in shares])
 
 
 def medians(frame: DataFrame, columns: list[str]) -> DataFrame:
     """One row holding the exact median of each column, under the column's own name."""
-    long = exact_percentiles(value_frequencies(frame, columns), {"median": 0.5})
+    long = exact_percentiles(frame, columns, {"median": 0.5})
     return long.agg(*[F.max(F.when(F.col("column_name") == c, F.col("median"))).alias(c) for c in columns])
 
 

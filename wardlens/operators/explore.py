@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.functions.scalars import count_where, lookup, ratio, share_of_total
-from wardlens.functions.stats import exact_percentiles, value_frequencies
+from wardlens.functions.stats import exact_percentiles, long_values
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -32,29 +32,14 @@ def table_shapes(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def describe_numeric(table: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, range and exact quartiles per column.
-
-    Everything is read off the value frequencies, so the facts are scanned and
-    shuffled once.
-    """
-    frequencies = value_frequencies(table, columns)
-    n, v = F.col("n"), F.col("value")
-    total, rows = F.sum(v * n), F.sum(n)
-    moments = frequencies.groupBy("column_name").agg(
-        rows.alias("count"), (total / rows).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
-    )
-    # Deviations are summed about the mean, not by the cancelling sum-of-squares formula.
-    spread = (
-        frequencies.withColumn("mean", lookup(moments, "column_name", F.col("mean"))[F.col("column_name")])
+    """Count, mean, sample deviation, range and exact quartiles per column; one pass for the moments, two for the quartiles."""
+    moments = (
+        long_values(table, columns)
         .groupBy("column_name")
-        .agg(F.sqrt(ratio(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))), F.sum(n) - 1)).alias("std"))
-    )
-    quartiles = exact_percentiles(frequencies, QUARTILES)
-    return (
-        moments.join(spread, "column_name")
-        .join(quartiles, "column_name")
-        .select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+        .agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     )
+    quartiles = exact_percentiles(table, columns, QUARTILES)
+    return moments.join(quartiles, "column_name").select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def value_counts(table: DataFrame, column: str, keep_null: bool = False) -> DataFrame:
