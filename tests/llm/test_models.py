@@ -97,59 +97,111 @@ def test_rules_without_outcomes(make_docs, spark):
 
 
 def tree_rows():
+    """Texts whose next words depend on one, two and three words before."""
     rows = []
     for i in range(300):
         a, b = ("le chat noir", "der hund laut")[i % 2].split()[0], i % 9
-        rows.append((i, " ".join(f"{a} w{(i * j + b) % 23}{i % 2} of the same rare{i}x{j}" for j in range(12))))
+        parts = [f"{a} w{(i * j + b) % 23}{i % 2} of the same rare{i}x{j}" for j in range(12)]
+        parts += [f"kw{(i + j) % 5} on at zw{(i + j) % 5} jw{(i * j) % 4} in yw{(i * j) % 4}" for j in range(6)]
+        rows.append((i, " ".join(parts)))
     return rows
 
 
-def test_base_scores_are_exact_and_states_help(make_docs):
+class PlainTree:
+    """The suffix tree in dictionaries: every gram of a training text counted, every state tested."""
+
+    def __init__(self, texts, depth, least):
+        counts = [Counter(tuple(t[i : i + k]) for t in texts for i in range(len(t) - k + 1)) for k in range(1, depth + 2)]
+        self.c, self.n, self.v = counts[0], sum(map(len, texts)), len(counts[0])
+        self.states = {}
+        for k in range(1, depth + 1):
+            followers = {}
+            for g, n in counts[k].items():
+                if n >= least:
+                    followers.setdefault(g[:-1], {})[g[-1]] = n
+            kept = {}
+            for state, found in followers.items():
+                total = counts[k - 1][state]
+                parent = {w: 10 ** self.log(state[1:], w) for w in found}
+                share = {w: (n - 0.5) / total for w, n in found.items()}
+                left, rest = max(1 - sum(share.values()), 1e-12), max(1 - sum(parent.values()), 1e-12)
+                gain = sum(n * math.log(share[w] / parent[w]) for w, n in found.items()) + (total - sum(found.values())) * math.log(left / rest)
+                if gain > len(found) * math.log(max(total, 2)) / 2:
+                    kept[state] = share, left / rest
+            self.states |= kept
+
+    def root(self, word):
+        return math.log10((self.c.get((word,), 0) + 1) / (self.n + self.v + 1))
+
+    def log(self, state, word):
+        """log10 of a word's probability in the longest state kept, with states of any length falling back."""
+        if not state:
+            return self.root(word)
+        if state not in self.states:
+            return self.log(state[1:], word)
+        share, back = self.states[state]
+        return math.log10(share[word]) if word in share else math.log10(back) + self.log(state[1:], word)
+
+    def score(self, text, depth):
+        return sum(self.log(tuple(text[max(i - depth, 0) : i]), w) for i, w in enumerate(text))
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def split_words(text):
+    return [*(text or "").encode().lower().split(), None]
+
+
+def plain_and_distributed(make_docs, rows, depth, least, **shares):
+    plain = PlainTree([split_words(t) for i, t in rows if not held(i)], depth, least)
+    result = suffix_tree.score(make_docs(rows), depth=depth, least=least, **shares).collect()
+    base = lambda words: sum(plain.root(w) for w in words)
+    want = sorted((i, held(i), len(w), sum((x,) in plain.c for x in w), plain.n, round(base(w), 6), round(plain.score(w, depth), 6)) for i, t in rows for w in [split_words(t)])
+    got = sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in result)
+    return plain, want, got
+
+
+@pytest.mark.parametrize("shares", [{}, {"word_share": 1e-3, "gram_share": 1e-3}, {"word_share": 1.0, "gram_share": 1.0}])
+def test_tree_against_brute_force(make_docs, shares):
+    """Base and tree scores equal a plain tree's, whatever is looked up in arrays and whatever in joins."""
     rows = [*[r for r in ODD if r[0] is not None], *[(1000 + i, t) for i, t in tree_rows()]]
-    words = {i: [] for i, _ in rows}
-    train, n_docs = Counter(), 0
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    for i, t in rows:
-        if not held(i):
-            train.update((t or "").encode().lower().split())
-            n_docs += 1
-    train[None] = n_docs
-    n, v = sum(train.values()), len(train)
-    base = lambda w: math.log10((train.get(w, 0) + 1) / (n + v + 1))
-    want = []
-    for i, t in rows:
-        words = [*(t or "").encode().lower().split(), None]
-        want.append((i, held(i), len(words), sum(train.get(w, 0) > 0 for w in words), n, round(sum(map(base, words)), 6)))
-    result = suffix_tree.score(make_docs(rows), word_share=1e-3, state_share=1e-3, follower_share=1e-4).collect()
-    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in result]
-    assert sorted(got) == sorted(want)
-    fresh = [r for r in result if r.held_out and r.doc_id >= 1000]
-    assert fresh and sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
-
-
-def test_tree_is_a_distribution():
-    """In every state the probabilities of all known words and of one unknown word sum to 1."""
-    words = np.sort(np.append(np.arange(1, 6, dtype=np.uint64) * np.uint64(10**15), suffix_tree.END))
-    count = np.array([50, 30, 10, 5, 3, 2])
-    size, n, v = 6, 100, 6
-    keys = np.array([0 * size + 1, 0 * size + 2, 1 * size + 0])
-    found = np.array([40, 5, 25])
-    root = (count + 1) / (n + v + 1)
-    keep, share, left = suffix_tree.distributions(keys // size, count[keys // size], found, root[keys % size])
-    assert keep.all()
-    back1 = np.full(size, np.nan)
-    back1[keys // size] = left
-    tree = suffix_tree.Tree(words, count, n, v, back1, keys, np.log10(share), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
-
-    class Two:
-        text = np.zeros(2, np.int64)
-
-    for state in (0, 1, 2):
-        total = 0.0
-        for word in [*range(size), -1]:
-            at_root = root[word] if word >= 0 else 1 / (n + v + 1)
-            total += 10 ** tree.corrections(np.array([state, word]), Two, tree.base())[1] * at_root
-        assert total == pytest.approx(1)
+    plain, want, got = plain_and_distributed(make_docs, rows, 3, 3, **shares)
+    assert got == want and {len(s) for s in plain.states} == {1, 2, 3}
+    fresh = [r for r in got if r[1] and r[0] >= 1000]
+    assert fresh and sum(r[6] for r in fresh) > sum(r[5] for r in fresh)
+    # In every state the probabilities of all known words and of one unknown word sum to 1.
+    for state in [(), *list(plain.states)[::50]]:
+        assert sum(10 ** plain.log(state, w) for w in [*[g[0] for g in plain.c], b"unknown"]) == pytest.approx(1)
+
+
+def test_tree_of_one_word_and_without_states(make_docs):
+    rows = [(1000 + i, t) for i, t in tree_rows()]
+    for depth, least in ((1, 2), (2, 10**6), (0, 1)):
+        plain, want, got = plain_and_distributed(make_docs, rows, depth, least)
+        assert got == want and bool(plain.states) == (least == 2)
+
+
+def test_other_documents_drop_no_state(make_docs):
+    """Thresholds are counts: a state stays when documents of other words are added, and the tree grows with them."""
+    rows = [(1000 + i, t) for i, t in tree_rows()]
+    more = [(10_000 + i, t.replace("w", "v").replace("same", "equal")) for i, t in tree_rows()]
+    few = PlainTree([split_words(t) for _, t in rows], 3, 3)
+    many = PlainTree([split_words(t) for _, t in rows + more], 3, 3)
+    gone = [s for s in few.states if s not in many.states and not {b"of", b"the", b"le", b"der"} & set(s)]
+    assert not gone and len(many.states) > 1.5 * len(few.states)
+    _, want, got = plain_and_distributed(make_docs, rows + more, 3, 3, word_share=1e-3, gram_share=1e-3)
+    assert got == want
+
+
+def test_very_long_words_and_only_held_out_rows(make_docs):
+    long = "x" * 100_000
+    rows = [(i, f"{long} b {long}y c") for i in range(40)]
+    _, want, got = plain_and_distributed(make_docs, rows, 2, 2)
+    assert got == want
+    alone = next(i for i in range(100) if held(i))
+    assert [(r.n_known, r.train_tokens, r.score) for r in suffix_tree.score(make_docs([(alone, "a b")])).collect()] == [(0, 0, 0.0)]
 
 
 def test_equal_rows_and_empty_tables(make_docs):

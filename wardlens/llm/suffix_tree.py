@@ -1,22 +1,29 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
-States are the ends of what has been read: nothing, one word, two words. A
-state is kept when its next-word distribution differs from its parent's by more
-than its size explains; a token is scored in the longest state kept, and falls
-back to shorter ones for words that the state has not seen often enough.
-
-Words are 64-bit hashes, counted and looked up in arrays. What tasks hold is
-bounded by shares of the corpus: at most 1 / share words or pairs can have that
-share. All other words meet their counts in a join.
+A state is the end of what has been read: up to ``depth`` words, nothing at the
+root. It is tested if it occurs often enough, and kept when its next-word
+distribution differs from that of the state one word shorter by more than its
+size explains. A token is scored in the longest state kept; words that a state
+has not seen often enough fall back to shorter ones.
+
+The tree is a Spark table of word sequences ("grams") by hash and grows with
+the corpus; thresholds are counts, so what a corpus keeps it also keeps inside a
+larger one, as far as the larger one does not speak against it. Each level is
+one pass over the texts: a sequence is counted only if both its shorter ends
+were frequent. Scores are sums of one term per gram, so that the grams of a
+text meet their terms in one join. Two things of fixed size spare most of the
+shuffling and change no result: the most frequent words and grams (those with a
+share of the corpus, so at most 1 / share) are looked up in arrays, and a bitmap
+of hashes keeps grams that are in no table at home.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm.samples import id_crc
@@ -29,10 +36,15 @@ ship_by_value(__name__)
 END = mixed(np.array([0x5851F42D4C957F2D], np.uint64))[0]
 #: Distinct entries a task gathers before it sends them.
 GATHERED = 2_000_000
+#: Bits of the bitmap of hashes: 8 MB.
+FILTER_BITS = 1 << 26
+#: Factors of a gram's hash.
+BEFORE, LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+RARE = np.uint64(1 << 63)
 
 
 class Tokens:
-    """The words of a slice of texts with one end per text: hashes, the text of each token, and where texts start."""
+    """The words of a slice of texts with one end per text: hashes, the text of each token, its place, and the texts' sizes."""
 
     def __init__(self, part: pa.RecordBatch):
         words = Words(part.column("text"), lower=True)
@@ -42,40 +54,41 @@ class Tokens:
         self.hash = np.full(len(self.text), END, np.uint64)
         self.hash[np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)] = words.hash
         self.counts = counts + 1
+        self.place = np.arange(len(self.text)) - np.repeat(self.first[:-1], self.counts)
         self.own = words.texts()
         self.train = ~part.column("held_out").to_numpy(zero_copy_only=False)
 
 
 class Counts:
-    """Sums per key, folded when many have gathered."""
+    """Sums per key with the columns that go with the key, folded when many have gathered."""
 
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, keys: np.ndarray, *weights: np.ndarray) -> None:
-        names, at = np.unique(keys, return_inverse=True)
-        self.parts.append((names, *[np.bincount(at, w, len(names)).astype(np.int64) for w in weights]))
+    def add(self, keys: np.ndarray, kept: list[np.ndarray], weights: list[np.ndarray]) -> None:
+        names, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        self.parts.append((names, [k[first] for k in kept], [np.bincount(at, w, len(names)).astype(np.int64) for w in weights]))
         self.size += len(names)
 
     def fold(self) -> int:
         if len(self.parts) > 1:
-            keys, *sums = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
-            self.parts, self.size = [], 0
-            self.add(keys, *sums)
+            parts, self.parts, self.size = self.parts, [], 0
+            joined = lambda columns: [np.concatenate(c) for c in zip(*columns, strict=True)]
+            self.add(np.concatenate([p[0] for p in parts]), joined(p[1] for p in parts), joined(p[2] for p in parts))
         return self.size
 
 
-def counted(rows: DataFrame, entries, columns: list[str]) -> DataFrame:
-    """``key`` and sums of ``columns`` over what ``entries`` (part -> keys and weights) finds; folded in tasks first."""
+def counted(rows: DataFrame, entries, kept: list[str], sums: list[str]) -> DataFrame:
+    """``kept`` and sums of ``sums`` over what ``entries`` (part -> keys, kept columns, weights) finds; folded in tasks first."""
 
     def run(batches):
         held = Counts()
 
         def out():
-            keys, *sums = held.parts[0]
+            _, names, totals = held.parts[0]
             held.parts, held.size = [], 0
-            for at in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000].view(np.int64)) for c in (keys, *sums)], ["key", *columns])
+            for at in range(0, len(totals[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000].view(np.int64)) for c in (*names, *totals)], [*kept, *sums])
 
         for batch in batches:
             for part in text_slices(batch, "text"):
@@ -85,8 +98,8 @@ def counted(rows: DataFrame, entries, columns: list[str]) -> DataFrame:
         if held.fold():
             yield from out()
 
-    found = rows.mapInArrow(run, "key bigint, " + ", ".join(f"{c} bigint" for c in columns))
-    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in columns])
+    found = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in (*kept, *sums)))
+    return found.groupBy(*kept).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -97,149 +110,146 @@ def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-def chain(ids: np.ndarray, tokens: Tokens, back: int) -> np.ndarray:
-    """The word number ``back`` tokens before, -1 before the start of the text."""
-    out = np.full(len(ids), -1, np.int64)
-    if len(ids) > back:
-        out[back:] = np.where(tokens.text[back:] == tokens.text[:-back], ids[:-back], -1)
+def per_text(text: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Sums of weights per text; doubles for no weights, too."""
+    return np.bincount(text, weights, n).astype(np.float64)
+
+
+def codes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A frequent word's place among them; a rarer word's hash with the highest bit set."""
+    at = lookup(words, hashes)
+    return np.where(at >= 0, at.astype(np.uint64), hashes | RARE)
+
+
+def gram(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a gram from the key of all its words but the last and the code of the last."""
+    return mixed(mixed(before * BEFORE + LAST) + word * LAST)
+
+
+def longer(keys: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of the grams that end at each token from those one word shorter; of no meaning before a text's n-th token."""
+    out = np.zeros_like(keys)
+    out[1:] = gram(keys[:-1], word[1:])
     return out
 
 
-@dataclass
-class Tree:
-    """Frequent words (sorted hashes, training counts), and the states kept with their followers."""
-
-    words: np.ndarray
-    count: np.ndarray
-    n_tokens: int
-    n_words: int
-    back1: np.ndarray  # per word: log10 of what is left for other words after it; nan where it is no state
-    pairs1: np.ndarray  # sorted word * len(words) + follower
-    log1: np.ndarray
-    state2: np.ndarray  # sorted word * len(words) + next word
-    back2: np.ndarray
-    pairs2: np.ndarray  # sorted place in state2 * len(words) + follower
-    log2: np.ndarray
-
-    def base(self) -> np.ndarray:
-        return np.log10((self.count + 1) / (self.n_tokens + self.n_words + 1))
-
-    def corrections(self, ids: np.ndarray, tokens: Tokens, base: np.ndarray) -> np.ndarray:
-        """What each token's log10 probability in its longest state differs from its probability at the root."""
-        size = max(len(self.words), 1)
-        one, two = chain(ids, tokens, 1), chain(ids, tokens, 2)
-        own = np.where(ids >= 0, base[np.maximum(ids, 0)], 0.0) if len(base) else np.zeros(len(ids))
-        out = np.zeros(len(ids))
-        known1 = np.flatnonzero(one >= 0)
-        back1 = self.back1[one[known1]]
-        known1, back1 = known1[~np.isnan(back1)], back1[~np.isnan(back1)]
-        hit = np.where(ids[known1] >= 0, lookup(self.pairs1, one[known1] * size + ids[known1]), -1)
-        out[known1] = back1
-        seen = known1[hit >= 0]
-        out[seen] = self.log1[hit[hit >= 0]] - own[seen]
-        both = np.flatnonzero((one >= 0) & (two >= 0))
-        state = lookup(self.state2, two[both] * size + one[both])
-        both, state = both[state >= 0], state[state >= 0]
-        hit = np.where(ids[both] >= 0, lookup(self.pairs2, state * size + ids[both]), -1)
-        out[both] += self.back2[state]
-        seen = both[hit >= 0]
-        out[seen] = self.log2[hit[hit >= 0]] - own[seen]
-        return out
-
-
-def distributions(state: np.ndarray, total: np.ndarray, n: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For entries sorted by state: which are of a state to keep, their probabilities, and per entry what its state leaves.
-
-    Half an occurrence of each follower, and all followers too rare to be listed, are left to the other words in the
-    proportions of the parent. The divergence test: the log-likelihood that the state wins over its parent on the training
-    text must exceed half the logarithm of its count for each follower it lists.
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a key may be in the bitmap; never false for one that is."""
+    at = keys & np.uint64(FILTER_BITS - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def bitmap(table: DataFrame) -> np.ndarray:
+    """One bit per remainder of the column ``key``: 8 MB whatever the table's size."""
+    bit = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    blocks = table.select(F.shiftright(bit, 15).alias("block"), bit.bitwiseAND(F.lit(32767)).alias("bit"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in blocks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        out[row.block * 4096 : row.block * 4096 + 4096] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def count_grams(rows: DataFrame, words: np.ndarray, below: DataFrame, size: int, least: int) -> DataFrame:
+    """``prefix, word, n`` of the grams of ``size`` words that training texts hold at least ``least`` times.
+
+    Such a gram's first and last ``size - 1`` words are as frequent, so they are in ``below``.
     """
-    starts = np.flatnonzero(np.concatenate(([True], state[1:] != state[:-1]))) if len(state) else np.zeros(0, int)
-    sizes = np.diff(np.append(starts, len(state)))
-    share = (n - 0.5) / total
-    left = np.maximum(1 - np.add.reduceat(share, starts), 1e-12) if len(starts) else np.zeros(0)
-    rest = np.maximum(1 - np.add.reduceat(parent, starts), 1e-12) if len(starts) else np.zeros(0)
-    gain = np.add.reduceat(n * np.log(share / parent), starts) + (total[starts] - np.add.reduceat(n, starts)) * np.log(left / rest) if len(starts) else left
-    keep = gain > sizes * np.log(np.maximum(total[starts], 2)) / 2
-    return np.repeat(keep, sizes), share, np.repeat(np.log10(left / rest), sizes)
-
-
-def fit(rows: DataFrame, vocabulary: DataFrame, word_share: float, state_share: float, follower_share: float) -> Tree:
-    """A tree from ``id, text, held_out`` and the word counts. Every count is taken over all training texts."""
-    totals = vocabulary.agg(F.sum("c").alias("n"), F.sum("n_all").alias("n_all"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
-    n, n_all = totals.n or 0, totals.n_all or 0
-    # At most 1 / word_share words have that share.
-    frequent = vocabulary.where(F.col("n_all") >= max(word_share * n_all, 1)).select("key", "c").toArrow()
-    words = frequent.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(words)
-    words, count = words[order], frequent.column("c").to_numpy()[order]
-    size = max(len(words), 1)
-    listed = count >= max(follower_share * n, 2)
-    opens = (count >= max(state_share * n, 2)) & (words != END)
-    shared = rows.sparkSession.sparkContext.broadcast((words, listed, opens))
-
-    def pairs(part):
-        names, followers, states = shared.value
-        tokens = Tokens(part)
-        ids = lookup(names, tokens.hash)
-        before = chain(ids, tokens, 1)
-        ok = (ids >= 0) & (before >= 0) & tokens.train[tokens.text]
-        ids, before = ids[ok], before[ok]
-        ok = followers[ids] & states[before]
-        keys = before[ok] * size + ids[ok]
-        return keys, np.ones(len(keys))
-
-    least = max(follower_share * n, 2)
-    table = counted(rows, pairs, ["n"]).where(F.col("n") >= least).toArrow()  # at most 1 / follower_share rows
-    keys1, n1 = table.column("key").to_numpy(), table.column("n").to_numpy()
-    order = np.argsort(keys1)
-    keys1, n1 = keys1[order], n1[order]
-    root = (count + 1) / (n + totals.v + 1) if n else np.ones(len(words))
-    word, follower = keys1 // size, keys1 % size
-    keep1, share1, left1 = distributions(word, count[word] if len(word) else n1, n1, root[follower] if len(follower) else share_none())
-    back1 = np.full(len(words), np.nan)
-    back1[word[keep1]] = left1[keep1]
-    pairs1, log1 = keys1[keep1], np.log10(share1[keep1])
-
-    long_states = n1 >= max(state_share * n, 2)
-    shared2 = rows.sparkSession.sparkContext.broadcast((words, keys1, keys1[long_states & (follower != np.searchsorted(words, END))]))
-
-    def triples(part):
-        names, pairs_known, states = shared2.value
+    shared = rows.sparkSession.sparkContext.broadcast((words, bitmap(below)))
+
+    def entries(part):
+        names, bits = shared.value
         tokens = Tokens(part)
-        ids = lookup(names, tokens.hash)
-        one, two = chain(ids, tokens, 1), chain(ids, tokens, 2)
-        at = np.flatnonzero((ids >= 0) & (one >= 0) & (two >= 0) & tokens.train[tokens.text])
-        state = lookup(states, two[at] * size + one[at])
-        # A follower of two words with that share follows the last of them with that share, too.
-        ok = (state >= 0) & (lookup(pairs_known, one[at] * size + ids[at]) >= 0)
-        keys = state[ok] * size + ids[at[ok]]
-        return keys, np.ones(len(keys))
-
-    states = shared2.value[2]
-    table = counted(rows, triples, ["n"]).where(F.col("n") >= least).toArrow()
-    keys2, n2 = table.column("key").to_numpy(), table.column("n").to_numpy()
-    order = np.argsort(keys2)
-    keys2, n2 = keys2[order], n2[order]
-    state, follower = keys2 // size, keys2 % size
-    last = states[state] % size
-    hit = lookup(pairs1, last * size + follower)
-    back = np.nan_to_num(back1[last])
-    parent = np.where(hit >= 0, share1[keep1][np.maximum(hit, 0)] if len(pairs1) else 0.0, 10.0**back * root[follower])
-    keep2, share2, left2 = distributions(state, n1[np.searchsorted(keys1, states[state])], n2, parent)
-    kept = np.unique(state[keep2])
-    back2 = np.zeros(len(kept))
-    back2[np.searchsorted(kept, state[keep2])] = left2[keep2]
-    pairs2 = np.searchsorted(kept, state[keep2]) * size + follower[keep2]
-    return Tree(words, count, n, totals.v or 0, back1, pairs1, log1, states[kept], back2, pairs2, np.log10(share2[keep2]))
-
-
-def share_none() -> np.ndarray:
-    return np.zeros(0)
+        word = codes(names, tokens.hash)
+        keys = word
+        for _ in range(size - 2):
+            keys = longer(keys, word)
+        # A gram of size - 1 words may end here; one of size words may if it starts in the same text.
+        known = marked(bits, keys)
+        ok = (tokens.place >= size - 1) & tokens.train[tokens.text] & known
+        ok[1:] &= known[:-1]
+        at = np.flatnonzero(ok)
+        prefix, last = keys[at - 1], word[at]
+        return gram(prefix, last), [prefix, last], [np.ones(len(at))]
+
+    return counted(rows, entries, ["prefix", "word"], ["n"]).where(F.col("n") >= least)
+
+
+def grow(found: DataFrame, below: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The grams ``key, suffix, n, logp, delta`` and the states kept, ``prefix, back``, of one level.
+
+    ``logp`` is the probability of a gram's last word after the others in the tree so far, and ``delta`` what it differs by
+    from the state one word shorter and from ``back``, which all words after the state get. Half an occurrence of each
+    follower, and all followers too rare to be listed, are left to the other words in the proportions of the shorter state.
+    The divergence test: the log-likelihood that the state wins over the shorter one on the training text must exceed half
+    the logarithm of its count for each follower it lists.
+    """
+
+    def named(batches):
+        for batch in batches:
+            prefix, tail, word = (batch.column(c).to_numpy().view(np.uint64) for c in ("prefix", "tail", "word"))
+            key = gram(prefix, word).view(np.int64)
+            suffix = (word if size == 2 else gram(tail, word)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("prefix"), pa.array(key), pa.array(suffix), batch.column("n"), batch.column("total")], ["prefix", "key", "suffix", "n", "total"])
+
+    prefixes = below.select(F.col("key").alias("prefix"), F.col("n").alias("total"), F.col("suffix").alias("tail"))
+    grams = found.join(prefixes, "prefix").mapInArrow(named, "prefix bigint, key bigint, suffix bigint, n bigint, total bigint")
+    share = (F.col("n") - 0.5) / F.col("total")
+    rows = stored(
+        grams.join(below.select(F.col("key").alias("suffix"), F.col("logp").alias("parent")), "suffix").withColumn("share", share), "suffix-tree-level"
+    )
+    parent = F.pow(F.lit(10.0), "parent")
+    sums = rows.groupBy("prefix").agg(
+        F.max("total").alias("total"),
+        F.sum("n").alias("listed"),
+        F.count(F.lit(1)).alias("followers"),
+        F.greatest(1 - F.sum("share"), F.lit(1e-12)).alias("left"),
+        F.greatest(1 - F.sum(parent), F.lit(1e-12)).alias("rest"),
+        F.sum(F.col("n") * F.ln(F.col("share") / parent)).alias("won"),
+    )
+    gain = F.col("won") + (F.col("total") - F.col("listed")) * F.ln(F.col("left") / F.col("rest"))
+    diverges = gain > F.col("followers") * F.ln(F.greatest("total", F.lit(2))) / 2
+    kept = stored(sums.where(diverges).select("prefix", F.log10(F.col("left") / F.col("rest")).alias("back")), "suffix-tree-states")
+    own = F.log10("share")
+    level = rows.join(kept, "prefix", "left").select(
+        "key", "suffix", "n", F.when(F.col("back").isNull(), F.col("parent")).otherwise(own).alias("logp"), (own - F.col("parent") - F.col("back")).alias("delta")
+    )
+    return stored(level, "suffix-tree-grams"), kept
+
+
+def fit(rows: DataFrame, vocabulary: DataFrame, words: np.ndarray, at_root: Column, depth: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Terms per gram: ``key, n, c, back`` of all words and ``key, n, term`` of the longer grams that have one."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def coded(batches):
+        for batch in batches:
+            key = codes(shared.value, batch.column("key").to_numpy().view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("c")], ["key", "c"])
+
+    singles = vocabulary.select("key", "c").mapInArrow(coded, "key bigint, c bigint")
+    frequent = singles.where(F.col("c") >= least)
+    levels = [stored(frequent.select("key", F.lit(0).cast("long").alias("suffix"), F.col("c").alias("n"), at_root.alias("logp"), F.lit(None).cast("double").alias("delta")), "suffix-tree-words")]
+    states = []
+    for size in range(2, depth + 2):
+        level, kept = grow(count_grams(rows, words, levels[-1], size, least), levels[-1], size)
+        levels.append(level)
+        states.append(kept.withColumnRenamed("prefix", "key"))
+        if kept.isEmpty():
+            break
+    none = states[0].where("false") if states else rows.sparkSession.createDataFrame([], "key bigint, back double")
+    states.append(none)
+    first = singles.join(states[0], "key", "left").select("key", "c", F.coalesce("back", F.lit(0.0)).alias("term"))
+    zero = F.lit(0.0)
+    others = [
+        level.join(kept, "key", "left").where("delta IS NOT NULL OR back IS NOT NULL")
+        .select("key", "n", (F.coalesce("delta", zero) + F.coalesce("back", zero)).alias("term"))
+        for level, kept in zip(levels[1:], states[1:], strict=True)
+    ]
+    longer_grams = reduce(DataFrame.unionByName, others) if others else none.select("key", F.lit(0).cast("long").alias("n"), F.col("back").alias("term"))
+    return stored(first, "suffix-tree-word-terms"), stored(longer_grams, "suffix-tree-terms")
 
 
 def score(
-    docs: DataFrame, held_out=None, word_share: float = 1e-6, state_share: float = 1e-5, follower_share: float = 4e-6,
+    docs: DataFrame, held_out=None, depth: int = 3, least: int = 8, word_share: float = 1e-6, gram_share: float = 4e-6,
     id_column: str = "doc_id", text_column: str = "text",
 ) -> DataFrame:
     """One row per document: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
@@ -250,8 +260,9 @@ def score(
 
     * Null and empty texts are the end alone. A row without an id is a training row. Texts are read whole.
     * Repeated rows are rows of their own in counts and result. An empty table gives an empty result.
-    * Shares, not numbers, bound what tasks hold: words with ``word_share`` of all tokens, states with ``state_share``,
-      followers of a state with ``follower_share``. Other columns are not read.
+    * States have up to ``depth`` words; a state lists the followers it has at least ``least`` times.
+    * Words with ``word_share`` of all tokens and grams with ``gram_share`` are looked up in arrays, all others in a join;
+      the shares bound what tasks hold and change no result. Other columns are not read.
     """
     if held_out is None:
         held_out = id_crc(F.col(id_column)) % 7 == 2
@@ -261,49 +272,82 @@ def score(
 
     def single(part):
         tokens = Tokens(part)
-        return tokens.hash, tokens.train[tokens.text].astype(np.float64), np.ones(len(tokens.hash))
+        return tokens.hash, [tokens.hash], [tokens.train[tokens.text].astype(np.float64), np.ones(len(tokens.hash))]
 
-    vocabulary = stored(counted(rows, single, ["c", "n_all"]), "word-counts")
-    tree = fit(rows, vocabulary, word_share, state_share, follower_share)
+    vocabulary = stored(counted(rows, single, ["key"], ["c", "n_all"]), "word-counts")
+    totals = vocabulary.agg(F.sum("c").alias("n"), F.sum("n_all").alias("n_all"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
+    n, n_all = totals.n or 0, totals.n_all or 0
+    at_root = F.log10((F.col("c") + 1) / F.lit(float(n + (totals.v or 0) + 1)))
+    # At most 1 / word_share words have that share, and at most 1 / gram_share grams of each size.
+    table = vocabulary.where(F.col("n_all") >= max(word_share * n_all, 1)).select("key", "c", at_root.alias("base")).toArrow()
+    words = table.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    words, count, base = words[order], table.column("c").to_numpy()[order], table.column("base").to_numpy()[order]
+    singles, grams = fit(rows, vocabulary, words, at_root, depth, least)
+    table = singles.where("key >= 0").toArrow()
+    back = np.zeros(len(words))
+    back[table.column("key").to_numpy()] = table.column("term").to_numpy()
+    often = F.col("n") >= max(gram_share * n, 1)
+    table = grams.where(often).select("key", "term").toArrow()
+    keys = table.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
     # Arrays only: a broadcast is unpickled by name, and executors need not have this package.
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(getattr(tree, f.name) for f in fields(tree)))
+    shared = docs.sparkSession.sparkContext.broadcast((words, count, base, back, keys[order], table.column("term").to_numpy()[order], bitmap(grams.where(~often))))
     kind = rows.schema["id"].dataType.simpleString()
     names = ["id", "held_out", "own", "key", "n", "rows", "n_tokens", "n_known", "base", "more"]
 
     def run(batches):
-        tree = Tree(*shared.value)
-        base = tree.base()
+        words, count, base, back, often, terms, bits = shared.value
         for batch in batches:
             for part in text_slices(batch, "text"):
                 tokens = Tokens(part)
-                ids = lookup(tree.words, tokens.hash)
-                known = ids >= 0
-                per_text = lambda weights: np.bincount(tokens.text, weights, len(tokens.counts))  # noqa: B023, E731
-                own_base = np.where(known, base[np.maximum(ids, 0)], 0.0)
-                seen = known & (tree.count[np.maximum(ids, 0)] > 0)
-                more = per_text(tree.corrections(ids, tokens, base))
+                ids = lookup(words, tokens.hash)
+                frequent = np.flatnonzero(ids >= 0)
+                text, at = tokens.text[frequent], ids[frequent]
                 n = len(tokens.counts)
-                whole = [part.column("id"), part.column("held_out"), tokens.own, tokens.own, np.zeros(n, np.int64), np.ones(n, np.int64), tokens.counts]
-                yield record([*whole, per_text(seen).astype(np.int64), per_text(own_base), more])
-                # Rarer words, once per text, on their way to their counts.
-                rare = np.flatnonzero(~known)
-                order = rare[np.lexsort((tokens.hash[rare], tokens.text[rare]))]
+                more = per_text(text, back[at], n)
+                word = codes(words, tokens.hash)
+                away, keys = [np.flatnonzero(ids < 0)], word
+                sent = [word[away[0]]]
+                for size in range(2, depth + 2):
+                    keys = longer(keys, word)
+                    here = np.flatnonzero(tokens.place >= size - 1)
+                    hit = lookup(often, keys[here])
+                    found = here[hit >= 0]
+                    more += per_text(tokens.text[found], terms[hit[hit >= 0]], n)
+                    here = here[(hit < 0) & marked(bits, keys[here])]
+                    away.append(here)
+                    sent.append(keys[here])
+                known = per_text(text, count[at] > 0, n).astype(np.int64)
+                zero = np.zeros(n, np.int64)
+                whole = [part.column("id"), part.column("held_out"), tokens.own, tokens.own, zero, zero + 1, tokens.counts]
+                yield record([*whole, known, per_text(text, base[at], n), more])
+                # All other words and grams, once per text, on their way to their terms.
+                text, sent = tokens.text[np.concatenate(away)], np.concatenate(sent)
+                order = np.lexsort((sent, text))
                 if len(order):
-                    h, t = tokens.hash[order], tokens.text[order]
-                    starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (t[1:] != t[:-1]))))
-                    t, zero = t[starts], np.zeros(len(starts), np.int64)
-                    counts = np.diff(np.append(starts, len(order)))
-                    ids_t, held_t = part.column("id").take(pa.array(t)), part.column("held_out").take(pa.array(t))
-                    yield record([ids_t, held_t, tokens.own[t], h[starts].view(np.int64), counts, zero, zero, zero, zero.astype(float), zero.astype(float)])
+                    h, t_all = sent[order], text[order]
+                    starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (t_all[1:] != t_all[:-1]))))
+                    sizes = np.diff(np.append(starts, len(order)))
+                    for i in range(0, len(starts), 50_000):
+                        some = starts[i : i + 50_000]
+                        t, zero = t_all[some], np.zeros(len(some), np.int64)
+                        ids_t, held_t = part.column("id").take(pa.array(t)), part.column("held_out").take(pa.array(t))
+                        yield record([ids_t, held_t, tokens.own[t], h[some].view(np.int64), sizes[i : i + 50_000], zero, zero, zero, zero.astype(float), zero.astype(float)])
 
     def record(columns):
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
     schema = f"id {kind}, held_out boolean, own bigint, key bigint, n bigint, rows bigint, n_tokens bigint, n_known bigint, base double, more double"
-    found = rows.mapInArrow(run, schema).join(vocabulary.select("key", "c"), "key", "left")
-    at_root = F.log10((F.col("c") + 1) / F.lit(float(tree.n_tokens + tree.n_words + 1)))
+    terms = singles.unionByName(grams.select("key", F.lit(None).cast("long").alias("c"), "term"))
+    found = rows.mapInArrow(run, schema).join(terms, "key", "left")
+    each_n = F.when(F.col("n") > 0, F.col("n")).otherwise(0)
     summed = (
-        found.select("id", "held_out", "own", "rows", "n_tokens", F.expr("n_known + IF(c > 0, n, 0)").alias("n_known"), (F.col("base") + F.when(F.col("n") > 0, F.col("n") * at_root).otherwise(0.0)).alias("base"), "more")
+        found.select(
+            "id", "held_out", "own", "rows", "n_tokens", F.expr("n_known + IF(c > 0, n, 0)").alias("n_known"),
+            (F.col("base") + F.when((F.col("n") > 0) & F.col("c").isNotNull(), F.col("n") * at_root).otherwise(0.0)).alias("base"),
+            (F.col("more") + F.coalesce(each_n * F.col("term"), F.lit(0.0))).alias("more"),
+        )
         .groupBy("id", "own")
         .agg(F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "more")])
     )
@@ -311,6 +355,6 @@ def score(
     each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return each.select(
         F.col("id").alias(id_column), "held_out", (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"),
-        (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"), F.lit(tree.n_tokens).cast("long").alias("train_tokens"),
+        (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("rows")).alias("base_score"), ((F.col("base") + F.col("more")) / F.col("rows")).alias("score"),
     )
