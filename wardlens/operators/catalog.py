@@ -7,6 +7,7 @@ by aggregation to a bounded number of rows per dataset.
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,9 +17,22 @@ from wardlens.functions.scalars import all_of, any_of, count_where, explode_once
 from wardlens.functions.stats import row_numbers
 
 
+def _found(name: Column, pattern: str) -> Column:
+    """``name.rlike(pattern)``; words, beginnings, endings and whole names are compared as text, far faster than a pattern."""
+    if re.fullmatch(r"\^?[a-z_]+(\|\^?[a-z_]+)*", pattern):
+        return any_of([name.startswith(word[1:]) if word.startswith("^") else name.contains(word) for word in pattern.split("|")])
+    whole = re.fullmatch(r"\^\(([a-z_|]+)\)\$", pattern)
+    if whole:
+        return name.isin(*whole[1].split("|"))
+    ending = re.fullmatch(r"([a-z_]+)\(([a-z_|]+)\)\$", pattern)
+    if ending:
+        return any_of([name.endswith(ending[1] + word) for word in ending[2].split("|")])
+    return name.rlike(pattern)
+
+
 def _fits(name: Column, alternatives: list[list[str]]) -> Column:
     def holds(pattern: str) -> Column:
-        return ~name.rlike(pattern[1:]) if pattern.startswith("!") else name.rlike(pattern)
+        return ~_found(name, pattern[1:]) if pattern.startswith("!") else _found(name, pattern)
 
     return any_of([all_of([holds(p) for p in patterns]) for patterns in alternatives])
 
@@ -55,19 +69,25 @@ def dataset_type(catalog: DataFrame) -> DataFrame:
     )
 
 
+#: A candidate's rank in one long: kind of match, order of the alias, position in the table.
+RANKS, PLACES = 1 << 8, 1 << 48
+
+
 def resolve_roles(catalog: DataFrame) -> DataFrame:
     """``(dataset_id, role, column_name)`` for every role some column can play.
 
-    The patterns are tested once per distinct name, of which a catalogue has far
-    fewer than columns, and joined back. Candidates are ranked by (kind of match,
-    alias order, position); a minimum keeps the best, so nothing is sorted and
-    map tasks pre-aggregate. Bare names count only where the same dataset has an
-    equipment column.
+    Every row tests the patterns on its own name, in compiled text comparisons, so names do not meet in a join and a name
+    that most tables share needs no task of its own. Candidates are ranked by (kind of match, alias order,
+    position), which one long holds, and map tasks keep the best of each table and role; only its place is
+    aggregated, so tasks hash and nothing is sorted. The winners read their names from the catalogue. Bare names
+    count only where the same dataset has an equipment column.
     """
     name = F.col("name")
 
+    numbers = {role: i for i, role in enumerate(["", *rules.ROLE_ALIASES])}
+
     def candidate(role: str, tier: int, rank: Column) -> Column:
-        return F.struct(F.lit(role).alias("role"), F.lit(tier).alias("tier"), rank.cast("int").alias("rank"))
+        return F.struct(F.lit(numbers[role]).alias("role"), (rank + F.lit(tier * RANKS)).cast("long").alias("kind"))
 
     candidates = []
     for role, aliases in rules.ROLE_ALIASES.items():
@@ -77,21 +97,21 @@ def resolve_roles(catalog: DataFrame) -> DataFrame:
         if role in rules.BARE_NAMES:
             best = best.when(name.isin(*rules.BARE_NAMES[role]), candidate(role, 3, F.lit(0)))
         candidates.append(best)
-    candidates.append(F.when(name.rlike(rules.EQUIPMENT_WORDS), candidate("", 0, F.lit(0))))
-
-    names = catalog.select("name").distinct().select("name", F.array_compact(F.array(*candidates)).alias("c"))
-    playable = explode_once(names, ["name"], "c").select("name", "item.*")
-    best = (
-        catalog.join(playable, "name")
-        .groupBy("dataset_id", "role")
-        .agg(F.min(F.struct("tier", "rank", "position", "name")).alias("pick"))
-    )
+    candidates.append(F.when(_found(name, rules.EQUIPMENT_WORDS), candidate("", 0, F.lit(0))))
+
+    listed = catalog.select("dataset_id", F.col("position").alias("place"), F.array_compact(F.array(*candidates)).alias("c"))
+    playable = explode_once(listed, ["dataset_id", "place"], "c")
+    packed = F.col("item.kind") * F.lit(PLACES) + F.col("place")
+    best = playable.groupBy("dataset_id", F.col("item.role").alias("number")).agg(F.min(packed).alias("pick"))
     # At most one row per role is left per dataset.
-    has_equipment = F.max(F.col("role") == "").over(Window.partitionBy("dataset_id"))
-    return (
+    has_equipment = F.max((F.col("number") == 0).cast("int")).over(Window.partitionBy("dataset_id"))
+    picked = (
         best.withColumn("has_equipment", has_equipment)
-        .where("role <> '' AND (pick.tier < 3 OR has_equipment)")
-        .select("dataset_id", "role", F.col("pick.name").alias("column_name"))
+        .where((F.col("number") > 0) & ((F.col("pick") < 3 * RANKS * PLACES) | (F.col("has_equipment") == 1)))
+        .select("dataset_id", F.get(F.lit(["", *rules.ROLE_ALIASES]), "number").alias("role"), (F.col("pick") % PLACES).alias("position"))
+    )
+    return picked.join(catalog.select("dataset_id", "position", "name"), ["dataset_id", "position"]).select(
+        "dataset_id", "role", F.col("name").alias("column_name")
     )
 
 
