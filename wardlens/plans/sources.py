@@ -79,6 +79,16 @@ def _(t):
     return t.spark.read.schema(t.equipment.schema).parquet(path).groupBy("equipment_type", "equipment_status").agg(F.count(F.lit(1)).alias("units"))
 
 
+@query("append_batch", "SELECT equipment_type, equipment_status, COUNT(*) AS units FROM equipment GROUP BY ALL")
+def _(t):
+    columns = ["equipment_type", "equipment_status"]
+    path = work_dir(t.spark, "batches")
+    for _ in range(2):  # the repetition adds nothing
+        io.append_batch(t.equipment, columns, path, "equipment")
+    rows = io.read_batches(t.spark, path, "equipment_type string, equipment_status string")
+    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("units"))
+
+
 @query("write_chunk_store", f"WITH {FIXED} SELECT doc_id, chunk_id, chunk_count, text, {WORKSPACE} AS workspace_id FROM fixed")
 def _(t):
     path = work_dir(t.spark, "chunks")

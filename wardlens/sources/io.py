@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +89,38 @@ def append_table(table: DataFrame, columns: list[str], path: str, kind: str = "p
     writer.save() if kind == "jdbc" else writer.save(path)
 
 
+def committed_batches(spark: SparkSession, path: str) -> dict[str, str]:
+    """The folder of each committed batch; as many entries as there were appends. Of a batch committed twice at once, one counts."""
+    try:
+        commits = spark.read.schema("batch string, folder string").parquet(f"{path}/commits/*")
+        return {r.batch: r.folder for r in commits.groupBy("batch").agg(F.min("folder").alias("folder")).collect()}
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+
+
+def append_batch(table: DataFrame, columns: list[str], path: str, batch: str) -> bool:
+    """Append a fixed column list once per ``batch``; false, and nothing written, where the batch is committed already.
+
+    Rows go to a folder of their own that nobody reads; one row in the manifest then makes them visible as a whole. An
+    aborted append leaves no row, and its repetition starts anew.
+    """
+    spark = table.sparkSession
+    if batch in committed_batches(spark, path):
+        return False
+    name = uuid.uuid4().hex
+    table.select(*columns).write.parquet(f"{path}/data/{name}")
+    spark.createDataFrame([(batch, name)], "batch string, folder string").coalesce(1).write.parquet(f"{path}/commits/{name}")
+    return True
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows of the committed batches; none where nothing is committed."""
+    folders = [f"{path}/data/{name}" for name in sorted(committed_batches(spark, path).values())]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def write_chunk_store(chunks: DataFrame, path: str) -> None:
     """Chunk rows by workspace; big workspaces spread over many bounded files."""
     chunks.write.mode("overwrite").partitionBy("workspace_id").option("maxRecordsPerFile", 1_000_000).parquet(path)
