@@ -67,6 +67,7 @@ ROLE_PATTERNS = {
 EQUIPMENT_WORDS = "equipment|device|asset"
 BARE_NAMES = {"equipment_status": ("status", "state", "condition"), "equipment_type": ("type", "category")}
 
+# Names of failure events.
 FAILURE_EVENT_PATTERNS = [["fail", "date|event|type|id"]]
 
 # Module signals, in display order, in the form of the role patterns.
@@ -101,6 +102,7 @@ MODEL_FEATURES = {
     "equipment_priority": {"equipment_id": ("equipment_id", "equipmentid", "equipment", "device_id", "deviceid")},
 }
 
+# Names that may identify a person, for previews and for charts.
 SENSITIVE = "patient|mrn|ssn|email|phone|address|date_of_birth|dob|first_name|last_name"
 PERSON_LEVEL = "patient|name|email|mrn|_id|identifier"
 

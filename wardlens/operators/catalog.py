@@ -263,6 +263,7 @@ def dataset_capabilities(profiles: DataFrame) -> DataFrame:
         count_where(F.col("is_date")).alias("dates"),
         count_where(target).alias("targets"),
     )
+    # Labels in display order.
     ladder = [
         ("Descriptive statistics", "rows > 0 AND columns > 0"),
         ("Missing-value analysis", "missing > 0"),
@@ -283,6 +284,7 @@ def dataset_capabilities(profiles: DataFrame) -> DataFrame:
 
 def document_capabilities(profiles: DataFrame) -> DataFrame:
     """Analyses each document supports, from its character and table counts."""
+    # Labels in display order.
     ladder = [
         ("Document summarization", "total_text_characters > 0"),
         ("Document question answering", "total_text_characters > 0"),

@@ -12,7 +12,9 @@ from wardlens.functions.roles import MODULE_DATES, modules_of, roles_of
 from wardlens.functions.scalars import explode_once, number, scalar, share_of_total, strip, timestamp
 from wardlens.operators.catalog import fallback_category_chart
 
+# Fixed values.
 DEPARTMENT_DIMENSIONS = ("department", "department_id", "department_name", "dept_id", "dept_name")
+# Fixed values.
 MISSED_LABELS = ("no show", "no shows", "missed")
 
 
