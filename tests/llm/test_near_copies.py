@@ -182,16 +182,45 @@ def test_vector_links_equal_brute_force(spark):
     assert hnsw.linked_vectors(frame.where("false")).count() == 0
 
 
-def test_graph_recall_at_size():
-    draw = np.random.default_rng(4)
+def clustered(seed=4):
+    draw = np.random.default_rng(seed)
     base = draw.normal(size=(3000, 32))
     base[1000:1400] = base[1000] + draw.normal(size=(400, 32)) * 0.02
     base[2000:2500] = base[:500] + draw.normal(size=(500, 32)) * 0.05
-    unit = (base / np.linalg.norm(base, axis=1, keepdims=True)).astype(np.float32)
+    return (base / np.linalg.norm(base, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_graph_recall_at_size():
+    unit, limit = clustered(), np.float32(0.93)
+    graph, own = hnsw.Graph(unit), np.arange(len(unit))
+    beam = hnsw.audited(graph, unit, own, limit, 1e-5, 256, 512)
+    found = sum(len(x) for x in graph.within(unit, limit, beam, own))
+    assert found >= 0.999 * int((unit @ unit.T >= 0.93).sum())
+    # Vectors that are no members: no self-hits, and they start where any query starts.
+    foreign = clustered(5)[:300] * 0.02 + unit[:300]
+    foreign /= np.linalg.norm(foreign, axis=1, keepdims=True)
+    beam = hnsw.audited(graph, foreign, None, limit, 1e-5, 300, 512)
+    truth = foreign @ unit.T >= limit + 1e-5
+    assert truth.sum() >= 300 and all(t[f].sum() == t.sum() for t, f in zip(truth, graph.within(foreign, limit - 1e-5, beam), strict=True))
+
+
+def test_audit_counts_every_query_and_no_self_hit():
+    """A graph cut in two parts: the audit fails for the vectors it cannot reach, and the shards are compared whole."""
+    unit = clustered()[1000:1400]
     graph = hnsw.Graph(unit)
-    beam = hnsw.audited(graph, unit, np.float32(0.93), 64, 0.999)
-    found = sum(len(x) for x in graph.within(unit, np.float32(0.93), beam))
-    assert found >= 0.99 * int((unit @ unit.T >= 0.93).sum())
+    for _, links in graph.layers:
+        links[:] = -1
+    graph.both_ways = graph._both_ways()
+    assert hnsw.audited(graph, unit, np.arange(400), np.float32(0.93), 1e-5, 64, 256) is None
+    assert hnsw.proposed(graph, None, np.float32(0.93), 1e-5, 64, 256) is None
+
+
+def test_a_failed_audit_is_compared_whole(spark, monkeypatch):
+    rows = vector_rows()
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    want = sorted(map(tuple, hnsw.linked_vectors(frame, shard_rows=60).collect()))
+    monkeypatch.setattr(hnsw, "audited", lambda *_: None)
+    assert sorted(map(tuple, hnsw.linked_vectors(frame, shard_rows=60).collect())) == want
 
 
 def test_no_link_is_lost_beside_a_large_clique(spark):
@@ -205,8 +234,8 @@ def test_no_link_is_lost_beside_a_large_clique(spark):
     unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
     one, two = np.nonzero(np.triu(unit @ unit.T >= 0.93, 1))
     root = union_find(ids.tolist(), list(zip(ids[one].tolist(), ids[two].tolist(), strict=True)))
-    degree = np.bincount(np.concatenate((ids[one], ids[two])), minlength=len(base))
-    want = sorted((i, int(degree[i]), root[i], root[i] == i) for i in ids.tolist())
+    degree = np.bincount(np.concatenate((one, two)), minlength=len(rows))
+    want = sorted((i, int(d), root[i], root[i] == i) for i, d in zip(ids.tolist(), degree, strict=True))
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
     for shard in (16_384, 700):
         assert sorted(map(tuple, hnsw.linked_vectors(frame, shard_rows=shard).collect())) == want
@@ -217,13 +246,22 @@ def test_a_task_holds_two_shards(spark, monkeypatch):
     draw = np.random.default_rng(22)
     rows = [(i, draw.normal(size=16).tolist(), 1) for i in range(1200)] + [(5000, [1.0] * 16, 1)] * 400
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
-    plain = hnsw.compared
+    plain = hnsw.unpacked
 
-    def watched(rows, *rest):
-        assert len(rows) <= 2 * 150
-        return plain(rows, *rest)
+    def watched(table, *rest):
+        assert table.num_rows == 1
+        shard, graph = plain(table, *rest)
+        assert len(shard["ids"]) <= 150
+        return shard, graph
 
-    monkeypatch.setattr(hnsw, "compared", watched)
+    monkeypatch.setattr(hnsw, "unpacked", watched)
     got = {r.vec_id: r.n_links for r in hnsw.linked_vectors(frame, shard_rows=100).collect()}
-    assert len(got) == 1201 and got[5000] == 400 * 399
+    assert len(got) == 1201 and got[5000] == 399
     assert hnsw.linked_vectors(frame, shard_bytes=100 * 64).count() == len(rows)
+
+
+def test_rows_that_repeat_an_id_keep_links_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 2.0], 1), (3, [1.0, 0.01], 1), (4, [5.0, 0.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = sorted(map(tuple, hnsw.linked_vectors(frame).collect()))
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False)]

@@ -1,10 +1,10 @@
-"""Near-duplicate vectors, exact within each label, and a navigable small-world graph for approximate search.
+"""Near-duplicate vectors: navigable small-world graphs per shard, walked by every shard of the same label.
 
-A shard is a bounded part of one label. A task holds two shards and compares
-them whole by tiles of products; a walk through a graph can miss links at any
-beam, and at this shard size costs more than the products do. A task returns
-counts and the least id that its links reach from each vector, so a clique of n
-vectors costs n rows, not n squared. ``linked_vectors`` does not use ``Graph``.
+A shard is a bounded part of one label. One task builds and stores the graph of a shard. A second task holds two shards:
+the vectors of either walk through the graph of the other, and beams widen until an audit finds every link of every
+audited vector. Where the widest beam fails its audit, the two shards are compared whole. Links are verified in double
+precision where rounding leaves them open. A task returns counts and the least id that its links reach from each vector,
+so a clique of n vectors costs n rows, not n squared.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from wardlens.llm.components import components
 from wardlens.session import ship_by_value, stored
@@ -23,8 +24,13 @@ ship_by_value(__name__)
 class Graph:
     """A layered graph over unit vectors; searches advance many queries together, one expansion at a time."""
 
-    def __init__(self, vectors: np.ndarray, degree: int = 16, beam: int = 64, seed: int = 1):
+    def __init__(self, vectors: np.ndarray, degree: int = 16, beam: int = 64, seed: int = 1, layers: list | None = None):
+        """Built from the vectors, or restored with the ``layers`` of a graph built before."""
         self.vectors, self.degree, self.beam = vectors, degree, beam
+        if layers is not None:
+            self.layers = layers
+            self.both_ways = self._both_ways()
+            return
         n = len(vectors)
         levels = (-np.log(np.random.default_rng(seed).random(n)) / np.log(degree)).astype(int) if n else np.zeros(0, int)
         self.layers: list[tuple[np.ndarray, np.ndarray]] = []
@@ -93,16 +99,21 @@ class Graph:
             entry = members[np.maximum(found, 0)]
         return self._entries(len(self.layers[0][0]), len(queries)) if entry is None else entry.astype(np.int32)
 
-    def within(self, queries: np.ndarray, threshold: float, beam: int) -> list[np.ndarray]:
+    def within(self, queries: np.ndarray, threshold: float, beam: int, own: np.ndarray | None = None) -> list[np.ndarray]:
         """Members whose similarity reaches the threshold.
 
         A beam search finds the first of them; then the beam is widened for as long as it stays above the threshold, by
-        following links both ways from members that reach it. A clique costs its links, not a beam of its size per query.
+        following links both ways from members that reach it, and from ``own``, the queries' places where they are members.
+        A clique costs its links, not a beam of its size per query.
         """
         found, score = search(self.vectors, self.layers[0][1], queries, self.entries(queries), min(beam, len(self.vectors)))
+        hit = (score >= threshold) & (found >= 0)
+        if own is not None:
+            found = np.concatenate((found, own[:, None].astype(found.dtype)), axis=1)
+            hit = np.concatenate((hit, np.ones((len(own), 1), bool)), axis=1)
         out: list[np.ndarray] = []
         for at in range(0, len(queries), 64):
-            out += self._spread(queries[at : at + 64], found[at : at + 64], (score[at : at + 64] >= threshold) & (found[at : at + 64] >= 0), threshold)
+            out += self._spread(queries[at : at + 64], found[at : at + 64], hit[at : at + 64], threshold)
         return out
 
     def _spread(self, queries, found, hit, threshold) -> list[np.ndarray]:
@@ -188,19 +199,75 @@ def _search(vectors, links, queries, entry, beam):
     return np.where(np.isfinite(np.take_along_axis(score, order, 1)), np.take_along_axis(ids, order, 1), -1), np.take_along_axis(score, order, 1)
 
 
-def audited(graph: Graph, vectors: np.ndarray, threshold: float, audit: int, wanted: float) -> int:
-    """The narrowest beam, doubling from the graph's own, whose recall on evenly spaced members is at least ``wanted``."""
-    rows = np.unique(np.linspace(0, len(vectors) - 1, min(audit, len(vectors))).astype(int))
-    truth = [np.flatnonzero(s >= threshold) for s in vectors[rows] @ vectors.T]
-    total, beam = sum(map(len, truth)), graph.beam
-    while beam < len(vectors):
-        found = graph.within(vectors[rows], threshold, beam)
-        if sum(len(np.intersect1d(a, b)) for a, b in zip(truth, found, strict=True)) >= wanted * total:
+def audited(graph: Graph, queries: np.ndarray, own: np.ndarray | None, threshold: float, slack: float, audit: int, widest: int) -> int | None:
+    """The narrowest beam, doubling from the graph's own, that finds every link of every audited query; None beyond ``widest``.
+
+    Audited are ``audit`` evenly spaced queries, each compared with all members. A query's own place does not count.
+    """
+    rows = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
+    truth = queries[rows] @ graph.vectors.T >= threshold + slack
+    if own is not None:
+        truth[np.arange(len(rows)), own[rows]] = False
+    some = truth.any(axis=1)
+    rows, truth = rows[some], truth[some]
+    beam = graph.beam
+    while len(rows):
+        found = graph.within(queries[rows], threshold - slack, beam, None if own is None else own[rows])
+        if all(t[f].sum() == t.sum() for t, f in zip(truth, found, strict=True)):
             break
         beam *= 2
+        if beam > widest:
+            return None
     return beam
 
 
+def reached(graph: Graph, queries: np.ndarray, own: np.ndarray | None, threshold: float, beam: int) -> np.ndarray:
+    """One bit per query and member: the members that the walk of each query proposes."""
+    bits = np.zeros((len(queries), (len(graph.vectors) + 7) // 8), np.uint8)
+    for at in range(0, len(queries), 2048):
+        found = graph.within(queries[at : at + 2048], threshold, beam, None if own is None else own[at : at + 2048])
+        for i, members in enumerate(found, at):
+            row = np.zeros(len(graph.vectors), bool)
+            row[members] = True
+            bits[i] = np.packbits(row)
+    return bits
+
+
+def proposed(one: Graph, two: Graph | None, threshold: float, slack: float, audit: int, widest: int):
+    """Blocks of (rows of ``one``, proposed members of ``two`` for them), or None where an audit fails.
+
+    A pair is proposed if the walk of either of its vectors finds the other. Without ``two`` the graph is asked by itself.
+    """
+    n, m = len(one.vectors), len((two or one).vectors)
+    if two is None:
+        own = np.arange(n)
+        beam = audited(one, one.vectors, own, threshold, slack, audit, widest)
+        if beam is None:
+            return None
+        there = back = reached(one, one.vectors, own, threshold - slack, beam)
+    else:
+        beams = audited(two, one.vectors, None, threshold, slack, audit, widest), audited(one, two.vectors, None, threshold, slack, audit, widest)
+        if None in beams:
+            return None
+        there, back = reached(two, one.vectors, None, threshold - slack, beams[0]), reached(one, two.vectors, None, threshold - slack, beams[1])
+
+    def blocks():
+        for at in range(0, n, 256):
+            part = np.arange(at, min(n, at + 256))
+            hit = np.unpackbits(there[part], axis=1, count=m).astype(bool)
+            hit |= np.unpackbits(back[:, at // 8 : (part[-1] >> 3) + 1], axis=1, count=len(part)).astype(bool).T
+            yield part, hit
+
+    return blocks()
+
+
+def whole(one: np.ndarray, two: np.ndarray, threshold: float, slack: float):
+    """Blocks as ``proposed`` gives them, from the products of all pairs."""
+    for at in range(0, len(one), 256):
+        part = np.arange(at, min(len(one), at + 256))
+        yield part, one[part] @ two.T >= threshold - slack
+
+
 def confirmed(base: np.ndarray, queries: np.ndarray, q: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs of a query and a member have a cosine in double precision that reaches the threshold."""
     keep = np.zeros(len(q), bool)
@@ -224,39 +291,80 @@ def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def compared(rows: np.ndarray, times: np.ndarray, n_one: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of all occurrences of each row, and the number of its component.
-
-    Each of the first ``n_one`` rows meets each of the others, or each of the first where there are no others. Equal rows
-    are compared once, and a row counts as often as ``times`` says. Products in single precision decide but for the pairs
-    that their rounding leaves open.
-    """
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in an order of their own, and the place of each row among them."""
     raw = np.ascontiguousarray(rows + np.float32(0)).view(np.dtype((np.void, rows.shape[1] * 4))).ravel()  # -0.0 becomes 0.0
     _, first, same = np.unique(raw, return_index=True, return_inverse=True)
-    single = rows[first]
-    wide = single.astype(np.float64)
-    unit = (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
-    left = np.bincount(same[:n_one], times[:n_one], len(first))
-    right = left if n_one == len(rows) else np.bincount(same[n_one:], times[n_one:], len(first))
-    a, b = np.flatnonzero(left), np.flatnonzero(right)
-    slack = 1e-6 + (rows.shape[1] + 4) * 2.0**-23
-    links_a, links_b, root = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), np.arange(len(first))
-    for at in range(0, len(a), 256):
-        part = a[at : at + 256]
-        near = unit[part] @ unit[b].T
-        hit = near >= threshold + slack
-        q, m = np.nonzero((near >= threshold - slack) & ~hit)
-        hit[q, m] = confirmed(single, single, part[q], b[m], threshold)
+    return rows[first], same
+
+
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    wide = rows.astype(np.float64)
+    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
+
+
+def near_pairs(unit_a: np.ndarray, unit_b: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    near = np.zeros(len(q), np.float32)
+    for at in range(0, len(q), 50_000):
+        near[at : at + 50_000] = np.einsum("ij,ij->i", unit_a[q[at : at + 50_000]], unit_b[m[at : at + 50_000]])
+    return near
+
+
+def counted(blocks, one: dict, two: dict | None, threshold: float, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each distinct vector of either shard, and the number of its component.
+
+    ``times`` says how many rows a distinct vector stands for. Single precision decides but for the pairs that its
+    rounding leaves open.
+    """
+    other = two or one
+    n, m_first = len(one["single"]), 0 if two is None else len(one["single"])
+    links_a, links_b = np.zeros(n, np.int64), np.zeros(len(other["single"]), np.int64)
+    root = np.arange(n + (0 if two is None else len(other["single"])))
+    for part, hit in blocks:
+        if two is None:
+            hit[np.arange(len(part)), part] = True
         q, m = np.nonzero(hit)
-        links_a[part] += np.bincount(q, right[b[m]], len(part)).astype(np.int64)
-        links_b[b] += np.bincount(m, left[part[q]], len(b)).astype(np.int64)
-        root = merged(root, part[q], b[m])
-    if n_one == len(rows):
-        itself = np.arange(len(first))
-        links = (links_a - confirmed(single, single, itself, itself, threshold))[same]
-    else:
-        links = np.concatenate((links_a[same[:n_one]], links_b[same[n_one:]]))
-    return links * times, root[same]
+        near = near_pairs(one["unit"], other["unit"], part[q], m)
+        keep = near >= threshold + slack
+        open_ = np.flatnonzero((near >= threshold - slack) & ~keep)
+        keep[open_] = confirmed(other["single"], one["single"], part[q[open_]], m[open_], threshold)
+        q, m = part[q[keep]], m[keep]
+        links_a += np.bincount(q, other["times"][m], n).astype(np.int64)
+        if two is not None:
+            links_b += np.bincount(m, one["times"][q], len(links_b)).astype(np.int64)
+        root = merged(root, q, m_first + m)
+    if two is None:
+        itself = np.arange(n)
+        links_a -= confirmed(one["single"], one["single"], itself, itself, threshold)
+    return links_a, links_b, root
+
+
+def packed(table: pa.Table, key: tuple, degree: int, beam: int) -> pa.Table:
+    """One row: a shard's ids, row keys, distinct vectors and how often each occurs, and the layers of its graph."""
+    ids = table.column("id").to_numpy()
+    rows = np.array(table.column("v").combine_chunks().flatten(), np.float32).reshape(len(ids), -1)
+    single, same = distinct(rows)
+    times = np.bincount(same, table.column("n").to_numpy(), len(single)).astype(np.int64)
+    layers = Graph(unit_rows(single), degree, beam).layers
+    parts = {"ids": ids.astype(np.int64), "keys": table.column("key").to_numpy().astype(np.int64), "same": same.astype(np.int32), "single": single, "times": times}
+    fields = {name: pa.array([x.tobytes()], pa.binary()) for name, x in parts.items()}
+    for name, i, kind in (("members", 0, np.int32), ("links", 1, np.int32)):
+        fields[name] = pa.array([[layer[i].astype(kind).tobytes() for layer in layers]], pa.list_(pa.binary()))
+    place = {c: pa.array([k.as_py()], k.type) for c, k in zip(("label", "dim", "shard", "shards"), key, strict=True)}
+    return pa.table({**place, **fields})
+
+
+def unpacked(table: pa.Table, dim: int, degree: int, beam: int) -> tuple[dict, Graph]:
+    row = {c: table.column(c)[0] for c in ("ids", "keys", "same", "single", "times", "members", "links")}
+    kinds = {"ids": np.int64, "keys": np.int64, "same": np.int32, "single": np.float32, "times": np.int64}
+    shard = {c: np.frombuffer(row[c].as_buffer(), kind) for c, kind in kinds.items()}
+    shard["single"] = shard["single"].reshape(-1, dim)
+    shard["unit"] = unit_rows(shard["single"])
+    layers = []
+    for members, links in zip(row["members"], row["links"], strict=True):
+        nodes = np.frombuffer(members.as_buffer(), np.int32).astype(np.int64)
+        layers.append((nodes, np.frombuffer(links.as_buffer(), np.int32).reshape(len(nodes), -1)))
+    return shard, Graph(shard["unit"], degree, beam, layers=layers)
 
 
 def usable(embedding: str) -> str:
@@ -264,23 +372,26 @@ def usable(embedding: str) -> str:
 
 
 def linked_vectors(
-    vectors: DataFrame, threshold: float = 0.93, shard_rows: int = 16_384, shard_bytes: int = 4 << 20,
-    id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
+    vectors: DataFrame, threshold: float = 0.93, shard_rows: int = 16_384, shard_bytes: int = 4 << 20, degree: int = 16, beam: int = 64,
+    widest: int = 512, audit: int = 512, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
 ) -> DataFrame:
     """One row per vector: ``id, n_links, component_id, kept``.
 
     Two vectors are linked when their labels are equal and not null and their cosine in double precision is at least
     ``threshold``. ``n_links`` counts the other vectors linked directly, ``component_id`` is the smallest id reachable.
+    No pair below the threshold is linked. A link is missed only if neither of its vectors finds the other by a walk
+    whose beam passed the audit: ``audit`` vectors of either shard, each of which must find all its links.
 
     * A vector that is null, empty, zero, or holds a null or non-finite component, and one with a null label, links with
       nothing. Vectors of different lengths are not compared.
-    * Rows that repeat an id are one vector each: they link with each other like any two vectors, and every row gets the
-      links of all rows of its id. A row without an id takes no part; its component is null and it is kept.
+    * Rows that repeat an id are one vector each with the links of its own; rows of one id share a component. A row without
+      an id takes no part; its component is null and it is kept.
     * A label is cut into shards of about ``shard_rows`` vectors and ``shard_bytes`` by a hash of id and vector, so a label
-      with a third of all rows has more shards, not larger ones. Each pair of shards is compared whole by one task, which
-      holds these two and nothing else of the label. Rows equal in label, id and vector are one row with a count.
+      with a third of all rows has more shards, not larger ones. Each pair of shards meets in one task, which holds these two
+      with their graphs and nothing else of the label. Rows equal in label, id and vector are one row with a count.
     * Other columns are not read. An empty table gives an empty result.
     """
+    key = F.xxhash64("label", "v")
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<float>").alias("v"), F.col(label_column).alias("label"))
     good = rows.where(f"id IS NOT NULL AND label IS NOT NULL AND {usable('v')}")
     good = good.groupBy("label", "id", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("v"))
@@ -288,31 +399,48 @@ def linked_vectors(
     shards = good.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("shards"))
     number = F.pmod(F.xxhash64("id", "v"), F.col("shards").cast("long")).cast("int")
     # Few rows, one per label and length; adaptive execution broadcasts them when they are small.
-    placed = good.join(shards, ["label", "dim"]).withColumn("own", number)
+    placed = good.join(shards, ["label", "dim"]).withColumns({"shard": number, "key": key})
+    place = ["label", "dim", "shard", "shards"]
+    binary = [StructField(c, BinaryType()) for c in ("ids", "keys", "same", "single", "times")] + [StructField(c, ArrayType(BinaryType())) for c in ("members", "links")]
+    kinds = StructType([placed.schema[c] for c in place] + binary)
+
+    def build(at, table):
+        return packed(table, at, degree, beam)
+
+    graphs = stored(placed.groupBy(*place).applyInArrow(build, kinds), "vector-graphs")
     # Shard s is the first of the pairs (s, s) to (s, last) and the second of (0, s) to (s - 1, s).
-    pairs = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: F.struct(F.least(s, "own").alias("one"), F.greatest(s, "own").alias("two")))
-    asked = placed.select("label", "dim", "id", "v", "n", "own", F.explode(pairs).alias("pair")).select("label", "dim", "id", "v", "n", "own", "pair.*")
-
-    def run(key, table):
-        ids = table.column("id").to_numpy()
-        rows = np.array(table.column("v").combine_chunks().flatten(), np.float32).reshape(len(ids), -1)
-        second = table.column("own").to_numpy() != key[2].as_py()
-        order = np.argsort(second, kind="stable")
-        ids, n_one = ids[order], int((~second).sum())
-        if key[2] != key[3] and n_one in (0, len(ids)):  # one of the two shards got no vector
-            return pa.table({c: pa.array([], pa.int64()) for c in ("id", "links", "other")})
-        links, root = compared(rows[order], table.column("n").to_numpy()[order], n_one, threshold)
-        least = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(least, root, ids)
+    first = graphs.withColumns({"one": F.col("shard"), "two": F.explode(F.sequence(F.col("shard"), F.col("shards") - 1))})
+    second = graphs.where("shard > 0").withColumns({"one": F.explode(F.sequence(F.lit(0), F.col("shard") - 1)), "two": F.col("shard")})
+    out = StructType([StructField(c, LongType()) for c in ("id", "key", "links", "other")])
+
+    def run(at, left, right):
+        dim, itself = at[1].as_py(), at[2] == at[3]
+        if not left.num_rows or (not itself and not right.num_rows):  # one of the two shards got no vector
+            return pa.table({c: pa.array([], pa.int64()) for c in out.names})
+        slack = 1e-6 + (dim + 4) * 2.0**-23
+        one, graph = unpacked(left, dim, degree, beam)
+        two, across = (None, None) if itself else unpacked(right, dim, degree, beam)
+        blocks = proposed(graph, across, threshold, slack, audit, widest)
+        if blocks is None:
+            blocks = whole(one["unit"], (two or one)["unit"], threshold, slack)
+        links_a, links_b, root = counted(blocks, one, two, threshold, slack)
+        parts = [(one, links_a, 0)] + ([] if itself else [(two, links_b, len(links_a))])
+        ids = np.concatenate([shard["ids"] for shard, _, _ in parts])
+        places = np.concatenate([root[offset + shard["same"]] for shard, _, offset in parts])
+        links = np.concatenate([found[shard["same"]] for shard, found, _ in parts])
+        least = np.full(len(root), np.iinfo(np.int64).max)
+        np.minimum.at(least, places, ids)
+        keys = np.concatenate([shard["keys"] for shard, _, _ in parts])
         some = links > 0
-        return pa.table({"id": ids[some], "links": links[some], "other": least[root][some]})
+        return pa.table({"id": ids[some], "key": keys[some], "links": links[some], "other": least[places][some]})
 
-    answers = stored(asked.groupBy("label", "dim", "one", "two").applyInArrow(run, "id long, links long, other long"), "vector-links")
-    counts = answers.groupBy("id").agg(F.sum("links").alias("n_links"))
-    joined = components(answers.where("other IS NOT NULL"), "id", "other").toDF("id", "component")
+    pair = ["label", "dim", "one", "two"]
+    answers = stored(first.groupBy(*pair).cogroup(second.groupBy(*pair)).applyInArrow(run, out), "vector-links")
+    counts = answers.groupBy("id", "key").agg(F.sum("links").alias("n_links"))
+    joined = components(answers, "id", "other").toDF("id", "component")
     return (
-        rows.select("id")
-        .join(counts, "id", "left")
+        rows.select("id", key.alias("key"))
+        .join(counts, ["id", "key"], "left")
         .join(joined, "id", "left")
         .select(
             F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"),
