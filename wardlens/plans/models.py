@@ -4,8 +4,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from wardlens.functions import roles as rules
-from wardlens.operators import charts, features, metrics, models
+from wardlens.operators import charts, features, forests, metrics, models
 from wardlens.plans.catalog import EXPLODED, FLAGS, LISTED, NAMES, NEEDED, ROLES, gate_parts, names
+from wardlens.plans.features import LOS, daily_sql
 from wardlens.plans.registry import query
 from wardlens.session import work_dir
 from wardlens.sources.fixtures import AS_OF
@@ -36,11 +37,30 @@ def _(t):
     return metrics.regression_metrics(models.bed_demand_model(t.beds)[1])
 
 
-@query("encode_features")
+def encode_sql(numeric, categorical):
+    """Filled numbers, code of each category (commoner first, then by name) and the vector's places that hold a one."""
+    common = "(SELECT CAST({0} AS VARCHAR) FROM f WHERE {0} IS NOT NULL GROUP BY {0} ORDER BY COUNT(*) DESC, CAST({0} AS VARCHAR) LIMIT 1)"
+    values = ", ".join(f"COALESCE(CAST({c} AS VARCHAR), {common.format(c)}) AS v_{c}" for c in categorical)
+    tables, offset, slots = [f"f AS ({LOS})", f"g AS (SELECT *, {values} FROM f)"], str(len(numeric)), []
+    for c in categorical:
+        tables.append(f"k_{c} AS (SELECT v_{c}, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, v_{c}) - 1 AS k FROM g GROUP BY v_{c})")
+        slots.append(f"CAST({offset} + k_{c}.k AS VARCHAR)")
+        offset += f" + (SELECT COUNT(*) + 1 FROM k_{c})"
+    filled = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), (SELECT median({c}) FROM f), 0) AS {c}_filled" for c in numeric)
+    codes = ", ".join(f"CAST(k_{c}.k AS DOUBLE) AS {c}_index" for c in categorical)
+    joins = " ".join(f"JOIN k_{c} USING (v_{c})" for c in categorical)
+    return f"WITH {', '.join(tables)} SELECT admission_id, {filled}, {codes}, {offset} AS width, concat_ws(',', {', '.join(slots)}) AS slots FROM g {joins}"
+
+
+@query("encode_features", encode_sql(*models.LOS_FEATURES))
 def _(t):
     numeric, categorical = models.LOS_FEATURES
-    coded = models.encode(features.los_features(t.admissions), numeric, categorical)
-    return coded.select("admission_id", F.size(vector_to_array("features")).alias("width"))
+    coded = models.encode(features.los_features(t.admissions), numeric, categorical).withColumn("x", vector_to_array("features"))
+    places = F.filter(F.sequence(F.lit(len(numeric)), F.size("x") - 1), lambda i: F.col("x")[i] == 1)
+    return coded.select(
+        "admission_id", *[f"{c}_filled" for c in numeric], *[f"{c}_index" for c in categorical], F.size("x").cast("long").alias("width"),
+        F.array_join(places.cast("array<string>"), ",").alias("slots"),
+    )
 
 
 @query("forecast_next_month")
@@ -60,6 +80,60 @@ def _(t):
     return models.forecast_beds(model, t.beds, ["department_id"])
 
 
+STUMPS = [(1, "dayofweek"), (4, "lag_1"), (5, "lag_7"), (6, "lag_30")]
+
+
+def stumps_sql(rows, label, splits):
+    """One row: limit and leaf means of each split."""
+    limits = ", ".join(f"floor(AVG({c})) AS limit_{i}" for i, (_, c) in enumerate(splits))
+    sides = ", ".join(
+        f"limit_{i}, COALESCE(AVG({label}) FILTER (WHERE {c} <= limit_{i}), AVG({label})) AS low_{i}, COALESCE(AVG({label}) FILTER (WHERE {c} > limit_{i}), AVG({label})) AS high_{i}"
+        for i, (_, c) in enumerate(splits)
+    )
+    return f"SELECT {sides} FROM {rows}, (SELECT {limits} FROM {rows}) GROUP BY {', '.join(f'limit_{i}' for i in range(len(splits)))}"
+
+
+def forecast_sql(keys=""):
+    """The forecast one day at a time, each day reading the guesses before it."""
+    group = f"{keys}, " if keys else ""
+    daily = daily_sql(keys)
+    now = {"dayofweek": "isodow(last_date + 1) - 1", "lag_1": "h[len(h)]", "lag_7": "h[len(h) - 6]", "lag_30": "h[len(h) - 29]"}
+    votes = " + ".join(f"CASE WHEN {now[c]} <= limit_{i} THEN low_{i} ELSE high_{i} END" for i, (_, c) in enumerate(STUMPS))
+    return f"""WITH RECURSIVE {daily.removeprefix('WITH ').split('SELECT * FROM f WHERE')[0].rstrip()}, rows AS (SELECT * FROM f WHERE lag_30 IS NOT NULL),
+    forest AS ({stumps_sql('rows', 'occupied_beds', STUMPS)}),
+    s AS (SELECT {group}0 AS day, MAX(record_date) AS last_date, CAST(list(occupied_beds ORDER BY record_date) AS DOUBLE[]) AS h FROM d GROUP BY ALL HAVING COUNT(*) > 30
+      UNION ALL SELECT {group}day + 1, last_date + 1, list_append(h, greatest(ROUND(({votes}) / {len(STUMPS)}, 2), 0)) FROM s, forest WHERE day < {models.FORECAST_DAYS}),
+    p AS (SELECT {group}last_date AS date, h[len(h)] AS predicted_occupied_beds FROM s WHERE day > 0)
+    SELECT *, ROUND(AVG(predicted_occupied_beds) OVER ({f'PARTITION BY {keys}' if keys else ''}), 2) AS average_predicted_occupied_beds FROM p"""
+
+
+@query("forecast_beds_stumps", forecast_sql())
+def _(t):
+    nodes = forests.stumps(features.daily_lag_features(t.beds), "occupied_beds", STUMPS)
+    return forests.forecast_days(nodes, t.beds, 1)
+
+
+@query("forecast_beds_stumps_by_department", forecast_sql("department_id"))
+def _(t):
+    nodes = forests.stumps(features.daily_lag_features(t.beds, ["department_id"]), "occupied_beds", STUMPS)
+    return forests.forecast_days(nodes, t.beds, 1, ["department_id"])
+
+
+UNIT_SPLITS = [(0, "equipment_age_days"), (2, "usage_hours"), (3, "maintenance_count")]
+UNIT_VOTES = " + ".join(f"CASE WHEN {c} <= limit_{i} THEN low_{i} ELSE high_{i} END" for i, (_, c) in enumerate(UNIT_SPLITS))
+
+
+@query("score_equipment_stumps", f"""WITH f AS (SELECT equipment_id, (SELECT MAX(installation_date) FROM equipment) - installation_date AS equipment_age_days,
+      usage_hours, maintenance_count, CAST(failure_count > 0 AS INT) AS failure_risk FROM equipment), forest AS ({stumps_sql('f', 'failure_risk', UNIT_SPLITS)})
+    SELECT f.equipment_id, ROUND(({UNIT_VOTES}) / {len(UNIT_SPLITS)}, 6) AS risk FROM f, forest""")
+def _(t):
+    rows = features.equipment_features(t.equipment)
+    forest = forests.packed(forests.stumps(rows, "failure_risk", UNIT_SPLITS))
+    x = F.array(*[F.col(c).cast("double") for c in models.EQUIPMENT_FEATURES[0]])
+    # The numbers come in the order of the model's features: age, days to maintenance, hours, services.
+    return rows.withColumns({"x": x, "forest": forest}).select("equipment_id", F.round(forests.estimate(F.col("forest"), F.col("x"), 1), 6).alias("risk"))
+
+
 @query("score_equipment")
 def _(t):
     return models.score_equipment(models.equipment_failure_model(t.equipment)[0], t.equipment, AS_OF)
