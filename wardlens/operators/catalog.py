@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wardlens.functions import roles as rules
 from wardlens.functions.scalars import all_of, any_of, count_where, explode_once, ratio, scalar
 from wardlens.functions.stats import row_numbers
+from wardlens.operators.quality import repeats_of
 
 
 def _found(name: Column, pattern: str) -> Column:
@@ -185,15 +186,28 @@ def _is_numeric(kind: str) -> bool:
     return kind in NUMERIC_TYPES or kind.startswith("decimal")
 
 
-def column_frequencies(table: DataFrame, columns: list[str]) -> DataFrame:
-    """``(position, column_name, value, n)``, NULL included, for several columns in one pass."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-            for i, c in enumerate(columns)
-        ]
-    )
-    long = table.select(F.explode(entries).alias("e")).select("e.*")
+def open_columns(table: DataFrame, columns: list[str], most: int) -> Column:
+    """For each column, whether it may hold at most ``most`` distinct values.
+
+    A sketch keeps a bounded number of hashes per column and task. A few distinct
+    hashes are listed one by one, so a column with ``most`` values is never
+    estimated at twice as many or more; what passes is still counted exactly.
+    """
+    estimates = [F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), 10)), F.lit(0)) <= 2 * most for c in columns]
+    return scalar(table, F.array(*estimates))
+
+
+def column_frequencies(table: DataFrame, columns: list[str], wanted: Column | None = None) -> DataFrame:
+    """``(position, column_name, value, n)``, NULL included, for several columns in one pass.
+
+    ``wanted`` says which columns to count, by position.
+    """
+    entries = [
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)
+    ]
+    if wanted is not None:
+        entries = [F.when(wanted[i], e) for i, e in enumerate(entries)]
+    long = table.select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL").select("e.*")
     return long.groupBy("position", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -229,8 +243,7 @@ def profile_dataset(table: DataFrame, name: str) -> DataFrame:
     )
     columns = one.select("rows", F.explode(entries).alias("e")).select("rows", "e.*")
     distinct = column_frequencies(table, table.columns).groupBy("column_name").agg(F.count("value").alias("distinct_values"))
-    copies = table.groupBy(*table.columns).agg(F.count(F.lit(1)).alias("n"))
-    duplicates = scalar(copies, F.coalesce(F.sum(F.col("n") - 1), F.lit(0)))
+    duplicates = scalar(repeats_of(table), F.max("duplicate_rows"))
     return columns.join(distinct, "column_name").select(
         F.lit(name).alias("dataset_id"),
         "position",
@@ -304,9 +317,12 @@ def safe_preview(table: DataFrame, key: str, columns: int = 12, rows: int = 8) -
 
 
 def fallback_category_chart(table: DataFrame, top: int = 12) -> DataFrame:
-    """Counts of the first text column that is not person-level and has 2 to 8 distinct values."""
+    """Counts of the first text column that is not person-level and has 2 to 8 distinct values.
+
+    A first pass closes the columns that hold more; their values never leave the scan of the second.
+    """
     texts = [c for c, kind in table.dtypes if kind == "string" and not rules.re.search(rules.PERSON_LEVEL, c)]
-    counts = column_frequencies(table, texts)
+    counts = column_frequencies(table, texts, open_columns(table, texts, 8))
     eligible = counts.groupBy("position").agg(F.count("value").alias("kinds")).where("kinds BETWEEN 2 AND 8")
     chosen = scalar(eligible, F.min("position"))
     return (

@@ -55,13 +55,16 @@ def _(t):
 BYTES = lambda low, high: f"len(regexp_extract_all(text, '[\\x{{{low}}}-\\x{{{high}}}]'))"
 
 
-@query("repair_double_encoding", f"""SELECT doc_id, changed, CASE WHEN changed THEN text END AS text FROM (SELECT doc_id, text,
+MISREAD = "array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: chr(CAST(concat('0x', b) AS INTEGER))), '')"
+
+
+@query("repair_double_encoding", f"""SELECT doc_id, changed, CASE WHEN changed THEN text ELSE {MISREAD} END AS text FROM (SELECT doc_id, text,
     {BYTES('80', 'ff')} + {BYTES('2000', '2fff')} + {BYTES('10000', '3ffff')} > len(regexp_extract_all(text, '[âÂÃð]')) AS changed FROM documents)""")
 def _(t):
-    # Every document misread once; repair must give the original back wherever it lowers the marker count.
+    # Every document misread once; repair must give the original back wherever it lowers the marker count, and else change nothing.
     misread = t.documents.select("doc_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("misread"))
-    fixed = misread.withColumn("text", op.repair_double_encoding("misread")).withColumn("changed", F.col("text") != F.col("misread"))
-    return fixed.select("doc_id", "changed", F.when(F.col("changed"), F.col("text")).alias("text"))
+    fixed = misread.withColumn("text", op.repair_double_encoding("misread"))
+    return fixed.select("doc_id", (F.col("text") != F.col("misread")).alias("changed"), "text")
 
 
 FLAT = f"flat AS (SELECT doc_id, {COLLAPSE('text')} AS flat FROM documents)"
