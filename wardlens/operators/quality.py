@@ -36,23 +36,9 @@ def remaining_missing(tables: dict[str, DataFrame]) -> DataFrame:
     return missing_percent(tables).select("table_name", "column_name", "missing_count")
 
 
-def row_digest(columns: list[str]) -> list[Column]:
-    """Two 64-bit hashes of a row; which fields are missing counts, as a hash passes over a missing field."""
-    missing = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
-    return [F.xxhash64(missing, *columns).alias("digest_a_"), F.xxhash64(F.lit(1), missing, *columns).alias("digest_b_")]
-
-
 def repeats_of(table: DataFrame) -> DataFrame:
-    """One row: how many rows equal an earlier one.
-
-    Digests are counted first, with map-side combining; whole rows are compared
-    only where a digest occurs twice, so equal digests of different rows count as
-    different. A table without repeats shuffles 24 bytes a row. Without columns there is nothing to compare.
-    """
-    marked = table.select(*row_digest(table.columns), *table.columns)
-    keys = ["digest_a_", "digest_b_"]
-    repeated = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1").select(*keys)
-    copies = marked.join(repeated, keys, "left_semi").groupBy(*table.columns).agg(F.count(F.lit(1)).alias("n_"))
+    """One row: how many rows equal an earlier one. Equal rows collapse in each task before the shuffle."""
+    copies = table.groupBy(*table.columns).agg(F.count(F.lit(1)).alias("n_"))
     return copies.agg(F.coalesce(F.sum(F.col("n_") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
