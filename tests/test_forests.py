@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlens.operators import features, forests, models
+from wardlens.plans.catalogue import PLANS
 
 
 @pytest.mark.parametrize("kind", ["regressor", "classifier"])
@@ -37,3 +38,9 @@ def test_no_forest_and_no_rows(tables):
     assert forests.forecast_days(nodes, tables.beds, 1).count() == 0
     some = forests.stumps(features.daily_lag_features(tables.beds), "occupied_beds", [(1, "dayofweek")])
     assert some.count() == 3 and forests.forecast_days(some, none, 1).count() == 0
+
+
+@pytest.mark.parametrize("name", ["forecast_beds_stumps", "forecast_beds_stumps_by_department", "score_equipment_stumps"])
+def test_forests_join_no_rows(tables, name):
+    plan = PLANS[name](tables)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "PythonUDF" not in plan
