@@ -44,3 +44,14 @@ def test_no_forest_and_no_rows(tables):
 def test_forests_join_no_rows(tables, name):
     plan = PLANS[name](tables)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "PythonUDF" not in plan
+
+
+@pytest.mark.parametrize("kind", ["regressor", "classifier"])
+def test_rows_keep_their_nodes_between_levels(spark, kind):
+    """Else every task of every level is sent the whole forest; the trees are the same."""
+    rows = spark.range(300).selectExpr("CAST(id % 37 AS DOUBLE) AS a", "concat('k', id % 5) AS c", "CAST(id * 7 % 29 AS DOUBLE) AS y", "CAST(id * id % 7 > 2 AS INT) AS z", "CAST(1 + id % 3 AS DOUBLE) AS weight")
+    estimator = models.regressor("y", 5, 6) if kind == "regressor" else models.classifier("z", 5)
+    assert estimator.getCacheNodeIds()
+    kept = models.fit_forest(rows, (["a"], ["c"]), estimator).stages[-1]
+    sent = models.fit_forest(rows, (["a"], ["c"]), estimator.copy().setCacheNodeIds(False)).stages[-1]
+    assert [t.toDebugString.split("\n")[1:] for t in kept.trees] == [t.toDebugString.split("\n")[1:] for t in sent.trees]

@@ -89,14 +89,20 @@ def fit_forest(train: DataFrame, features: tuple[list[str], list[str]], estimato
 
 
 def classifier(label: str, trees: int = 100, depth: int = DEEPEST) -> RandomForestClassifier:
-    """Balanced forest, as deep as the library allows unless a caller wants shallower trees."""
-    return RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=512)
+    """Balanced forest, as deep as the library allows unless a caller wants shallower trees.
+
+    Each row keeps its node in every tree between levels: without that, every task of every level is sent the whole forest.
+    """
+    return RandomForestClassifier(
+        labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED, maxMemoryInMB=512, cacheNodeIds=True
+    )
 
 
 def regressor(label: str, trees: int, depth: int, leaf: int = 1) -> RandomForestRegressor:
     return RandomForestRegressor(
-        labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=SEED, maxMemoryInMB=512
-    )
+        labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=SEED, maxMemoryInMB=512,
+        cacheNodeIds=True,
+    )
 
 
 def _train_and_test(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
