@@ -55,3 +55,9 @@ def test_rows_keep_their_nodes_between_levels(spark, kind):
     kept = models.fit_forest(rows, (["a"], ["c"]), estimator).stages[-1]
     sent = models.fit_forest(rows, (["a"], ["c"]), estimator.copy().setCacheNodeIds(False)).stages[-1]
     assert [t.toDebugString.split("\n")[1:] for t in kept.trees] == [t.toDebugString.split("\n")[1:] for t in sent.trees]
+
+
+def test_encoding_reads_the_tables_once(tables):
+    """Fill values, codes and result read stored rows, not the joins behind them."""
+    plan = PLANS["encode_features"](tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "Join" not in plan

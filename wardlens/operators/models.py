@@ -27,6 +27,7 @@ from wardlens.operators.features import (
     stratified_split,
     time_split,
 )
+from wardlens.session import stored
 
 SEED = 42
 EQUIPMENT_FEATURES = (["equipment_age_days", "days_until_next_maintenance", "usage_hours", "maintenance_count"], ["department_id", "equipment_type"])
@@ -71,7 +72,11 @@ def preprocessing(train: DataFrame, numeric: list[str], categorical: list[str])
 
 
 def encode(frame: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """Adds the model's feature vector."""
+    """Adds the model's feature vector.
+
+    The rows are stored once: the fill values, the codes and the result all read them.
+    """
+    frame = stored(frame, "features")
     return Pipeline(stages=preprocessing(frame, numeric, categorical)).fit(frame).transform(frame)
 
 
