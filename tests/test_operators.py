@@ -5,8 +5,10 @@ import random
 import re
 import unicodedata
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from wardlens.functions import roles
 from wardlens.functions.stats import exact_percentiles, row_numbers
 from wardlens.operators import charts, documents, features, kpis, priority, questions, retrieval
+from wardlens.plans.catalogue import PLANS
 from wardlens.sources import io
 
 ROUTING = [
@@ -196,6 +199,38 @@ def test_repair_and_normal_form(spark):
     assert row["t"] == unicodedata.normalize("NFKC", "ﬁle Ⅷ") + "\nx y"
 
 
+def test_composition_makes_python_strings_of_few_texts_at_a_time(monkeypatch):
+    """A batch of long texts stays in Arrow; only strings that are not ASCII become Python objects, some hundred at once."""
+    seen = []
+    counting = SimpleNamespace(normalize=lambda form, v: seen.append(v) or unicodedata.normalize(form, v))
+    monkeypatch.setattr(documents, "unicodedata", counting)
+    assert documents._composed(pa.array(["ﬁ", "a", None, "", "Ⅷ é"] * 300)).to_pylist() == ["fi", "a", None, "", "VIII é"] * 300
+    assert seen == ["ﬁ", "Ⅷ é"] * 300
+
+
+def test_composition_of_cells_keeps_missing_rows_and_tables(spark):
+    tables = [[["ﬁ", None], [], None, ["plain"]], None, [], [["Ⅷ", "a  b\tc "]]]
+    frame = spark.createDataFrame(list(enumerate(tables)), "id int, rows array<array<string>>").coalesce(1)
+    plain = {i: t and [None if r is None else [c and unicodedata.normalize("NFKC", c) for c in r] for r in t] for i, t in enumerate(tables)}
+    assert dict(frame.select("id", documents.nfkc_cells("rows")).collect()) == plain
+    assert frame.select(documents.clean_table_cells("rows", compatibility=True).alias("r")).where("id = 3").first().r == [["VIII", "a b c"]]
+
+
+def test_tidy_cells_equal_the_full_cleaning(spark):
+    cells = ["", " ", " a b ", "a  b", "\ta\t b", "é à", "âÃ", "caf\u00c3\u00a9", "a\u00a0b", "\u2003x", "a\nb\r\n\n c", "\ufeffx\u200b", "a\x1f", "\x1fa b\x85", "日本 語"]
+    frame = spark.createDataFrame([([[c] for c in cells],)], "rows array<array<string>>")
+    full = F.transform("rows", lambda row: F.transform(row, lambda c: documents.normalize_document_lines(documents.repair_double_encoding(c))))
+    (row,) = frame.select(documents.clean_table_cells("rows").alias("got"), full.alias("want")).collect()
+    assert row.got == row.want
+
+
+@pytest.mark.parametrize("name", ["clean_table_cells", "clean_table_cells_nfkc"])
+def test_cells_are_cleaned_once(tables, name):
+    """An inner explode repeats the cleaning in a filter below it."""
+    plan = PLANS[name](tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.split("Generate", 1)[1]
+
+
 # --- retrieval -------------------------------------------------------------
 
 

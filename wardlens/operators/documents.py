@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,10 @@ FIXED_SIZE, FIXED_OVERLAP = 1000, 200
 PACKED_SIZE, PACKED_OVERLAP, SHORTEST_CHUNK = 1800, 250, 20
 MARKERS = "âÂÃð"
 INVISIBLE = "[\\x{200b}\\x{200c}\\x{200d}\\x{feff}]"
+#: What the repair, the line steps and the trimming act on, but for single spaces.
+UNTIDY = f"  |[{MARKERS}{INVISIBLE[1:-1]}{WHITESPACE[1:-1].replace('{20}', '{1f}')}]"
+#: Strings that become Python objects at once.
+COMPOSED_AT_ONCE = 500
 
 
 def clean_document_text(value: str | Column) -> Column:
@@ -41,16 +47,34 @@ def normalize_document_lines(value: str | Column) -> Column:
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(values: pd.Series) -> pd.Series:
+def _composed(values: pa.Array) -> pa.Array:
+    """Compatibility composition of the strings that are not ASCII, a few at a time: the batch itself stays in Arrow."""
+    parts = []
+    for start in range(0, len(values), COMPOSED_AT_ONCE):
+        part = values.slice(start, COMPOSED_AT_ONCE)
+        wide = pc.fill_null(pc.invert(pc.string_is_ascii(part)), False)
+        texts = [unicodedata.normalize("NFKC", v) for v in part.filter(wide).to_pylist()]
+        parts.append(pc.replace_with_mask(part, wide, pa.array(texts, part.type)) if texts else part)
+    return pa.concat_arrays(parts) if parts else values
+
+
+@F.arrow_udf(T.StringType())
+def nfkc(values: pa.Array) -> pa.Array:
     """Compatibility composition, which no SQL function offers (Arrow batches)."""
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
+    return _composed(values)
+
 
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def nfkc_cells(tables: pa.Array) -> pa.Array:
+    rows = tables.flatten()
+    # Offsets count from the first string that is left, as flattening drops what missing rows and tables hold.
+    lists = lambda of, values: type(of).from_arrays(_offsets(of), values, mask=of.is_null())
+    return lists(tables, lists(rows, _composed(rows.flatten())))
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def nfkc_cells(tables: pd.Series) -> pd.Series:
-    one = lambda cell: None if cell is None else unicodedata.normalize("NFKC", cell)
-    return tables.map(lambda rows: [[one(cell) for cell in row] for row in rows], na_action="ignore")
+
+def _offsets(lists: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    return pa.array(np.concatenate(([0], np.cumsum(sizes))), lists.offsets.type)
 
 
 def repair_double_encoding(value: str | Column) -> Column:
@@ -191,7 +215,12 @@ def section_chunks(documents: DataFrame, key: str = "doc_id", size: int = FIXED_
 def clean_table_cells(rows: str | Column, compatibility: bool = False) -> Column:
     """Every cell cleaned, missing cells empty; ``compatibility`` adds the NFKC step."""
     cells = nfkc_cells(col(rows)) if compatibility else col(rows)
-    clean = lambda cell: normalize_document_lines(repair_double_encoding(F.coalesce(cell, F.lit(""))))
+
+    def clean(cell: Column) -> Column:
+        text = F.coalesce(cell, F.lit(""))
+        # One look tells the cells in which no step but the last, the trimming, has anything to do.
+        return F.when(text.rlike(UNTIDY), normalize_document_lines(repair_double_encoding(text))).otherwise(F.trim(text))
+
     return F.transform(cells, lambda row: F.transform(row, clean))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wardlens.functions.scalars import WHITESPACE
+from wardlens.functions.scalars import WHITESPACE, explode_once
 from wardlens.operators import catalog
 from wardlens.operators import documents as op
 from wardlens.plans.registry import query
@@ -142,13 +142,13 @@ def _(t):
 def _(t):
     # Pseudo-French text holds no double-encoding; the repair step leaves it alone.
     tables = sectioned(t).select("doc_id", op.clean_table_cells(F.col("tables")[0].getField("rows")).alias("rows"))
-    return tables.select("doc_id", F.posexplode("rows").alias("p", "cells")).select("doc_id", (F.col("p") + 1).alias("row_id"), F.array_join("cells", "|").alias("cells"))
+    return explode_once(tables, ["doc_id"], "rows").select("doc_id", (F.col("position") + 1).alias("row_id"), F.array_join("item", "|").alias("cells"))
 
 
 @query("clean_table_cells_nfkc")
 def _(t):
     tables = sectioned(t).select("doc_id", op.clean_table_cells(F.col("tables")[0].getField("rows"), compatibility=True).alias("rows"))
-    return tables.select("doc_id", F.explode("rows").alias("cells")).select("doc_id", F.array_join("cells", "|").alias("cells"))
+    return explode_once(tables, ["doc_id"], "rows").select("doc_id", F.array_join("item", "|").alias("cells"))
 
 
 PROFILE = f"""profiled AS (SELECT doc_id, CAST(length(text) - len({LINES}) + 1 AS BIGINT) AS total_text_characters, 1 AS total_tables, CAST(NULL AS INT) AS total_pages,
