@@ -58,3 +58,17 @@ def test_empty_sides_and_text_ids(spark, tmp_path):
     hits, _ = vector_index.indexed_search(again, named.withColumnRenamed("vec_id", "query_id"), top=2)
     got = sorted(tuple(r) for r in hits.collect())
     assert got == [(f"v{i}", rank, v, s) for i in range(4) for rank, v, s in ((1, f"v{i}", 1.0), (2, "v1" if i == 0 else "v0", 0.0))]
+
+
+def test_only_the_best_of_a_group_of_blocks_go_on(spark, tmp_path):
+    """Hits were kept per (query, block), and a query travelled once per block."""
+    vectors = spark.range(300).selectExpr("id AS vec_id", "transform(array(1, 2, 3, 5), k -> CAST(pmod(xxhash64(id, k), 1000) - 500 AS FLOAT)) AS embedding")
+    index = vector_index.write_index(vectors, str(tmp_path / "few"), block_bytes=10 * 4 * 8)
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "q")
+    pairs = asked.select("q").join(index.blocks.select("block", "n"))
+    hits = {}
+    for packs, groups in ((1, 1), (3, 4)):
+        hits[groups] = vector_index._meet(index, asked, pairs, 5, packs, groups).toPandas()
+        assert len(hits[groups]) <= 15 * 5 * groups
+    best = lambda h: h.sort_values(["q", "score", "vec_id"], ascending=[True, False, True]).groupby("q").head(5).values.tolist()
+    assert best(hits[1]) == best(hits[4]) and index.blocks.count() > 20
