@@ -36,3 +36,16 @@ def test_roles_of_one_name_everywhere(spark):
         assert got.get(dataset, {}) == want
     assert catalog.resolve_roles(frame.where("false")).count() == 0
     assert "SortAggregate" not in found._jdf.queryExecution().toString()
+
+
+def test_the_gate_does_not_read_the_names_again(spark):
+    """Which roles are played decides; the join that fetches their names shuffled the whole catalogue."""
+    frame = spark.createDataFrame([(1, 0, "record_date"), (1, 1, "occupied_beds"), (2, None, "occupied_beds")], "dataset_id long, position long, name string")
+    gate = catalog.feature_gate(frame)
+    assert gate._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert {(r.dataset_id, r.missing) for r in gate.where("model = 'bed_forecast'").collect()} == {(1, ""), (2, "date,occupied_beds")}
+
+
+def test_large_positions_are_kept_apart(spark):
+    frame = spark.createDataFrame([(1, (1 << 50) + 3, "admission_date"), (1, 5, "note")], "dataset_id long, position long, name string")
+    assert [tuple(r) for r in catalog.resolve_roles(frame).where("role = 'date'").collect()] == [(1, "date", "admission_date")]

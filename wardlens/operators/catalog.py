@@ -71,7 +71,7 @@ def dataset_type(catalog: DataFrame) -> DataFrame:
 
 
 #: A candidate's rank in one long: kind of match, order of the alias, position in the table.
-RANKS, PLACES = 1 << 8, 1 << 48
+RANKS, PLACES = 1 << 8, 1 << 52
 
 
 def resolve_roles(catalog: DataFrame) -> DataFrame:
@@ -83,6 +83,13 @@ def resolve_roles(catalog: DataFrame) -> DataFrame:
     aggregated, so tasks hash and nothing is sorted. The winners read their names from the catalogue. Bare names
     count only where the same dataset has an equipment column.
     """
+    return played_roles(catalog).join(catalog.select("dataset_id", "position", "name"), ["dataset_id", "position"]).select(
+        "dataset_id", "role", F.col("name").alias("column_name")
+    )
+
+
+def played_roles(catalog: DataFrame) -> DataFrame:
+    """``(dataset_id, role, position)`` of the column that plays each role; its name would need the catalogue again."""
     name = F.col("name")
 
     numbers = {role: i for i, role in enumerate(["", *rules.ROLE_ALIASES])}
@@ -106,14 +113,12 @@ def resolve_roles(catalog: DataFrame) -> DataFrame:
     best = playable.groupBy("dataset_id", F.col("item.role").alias("number")).agg(F.min(packed).alias("pick"))
     # At most one row per role is left per dataset.
     has_equipment = F.max((F.col("number") == 0).cast("int")).over(Window.partitionBy("dataset_id"))
-    picked = (
+    return (
         best.withColumn("has_equipment", has_equipment)
+        .where("pick IS NOT NULL")
         .where((F.col("number") > 0) & ((F.col("pick") < 3 * RANKS * PLACES) | (F.col("has_equipment") == 1)))
         .select("dataset_id", F.get(F.lit(["", *rules.ROLE_ALIASES]), "number").alias("role"), (F.col("pick") % PLACES).alias("position"))
     )
-    return picked.join(catalog.select("dataset_id", "position", "name"), ["dataset_id", "position"]).select(
-        "dataset_id", "role", F.col("name").alias("column_name")
-    )
 
 
 def failure_event_role(catalog: DataFrame) -> DataFrame:
@@ -133,7 +138,7 @@ def feature_gate(catalog: DataFrame) -> DataFrame:
             else:
                 by_name.append(F.when(name.isin(*source), entry))
     named = explode_once(catalog.select("dataset_id", F.array_compact(F.array(*by_name)).alias("f")), ["dataset_id"], "f")
-    played = explode_once(resolve_roles(catalog).select("dataset_id", F.array_compact(F.array(*by_role)).alias("f")), ["dataset_id"], "f")
+    played = explode_once(played_roles(catalog).select("dataset_id", F.array_compact(F.array(*by_role)).alias("f")), ["dataset_id"], "f")
     named, played = named.select("dataset_id", "item.*"), played.select("dataset_id", "item.*")
     found = named.unionByName(played).distinct()
 
