@@ -19,6 +19,7 @@ from wardlens.functions.stats import exact_percentiles, row_numbers
 from wardlens.operators import charts, documents, features, kpis, priority, questions, retrieval
 from wardlens.plans.catalogue import PLANS
 from wardlens.sources import io
+from wardlens.sources.fixtures import QUESTION_TEMPLATES
 
 ROUTING = [
     ("What is the average length of stay?", "sql", "average_length_of_stay"),
@@ -231,6 +232,15 @@ def test_cells_are_cleaned_once(tables, name):
     assert "Filter" not in plan.split("Generate", 1)[1]
 
 
+def test_only_questions_of_an_sql_pattern_are_routed_for_answers(spark):
+    """Answers need no other question; the routes of those left are the same."""
+    asked = [*QUESTION_TEMPLATES, None, "PREDICTED bed demand and how many beds are occupied?", "what is the  AVERAGE\n length of stay for the ICU?"]
+    frame = spark.createDataFrame([(i, q and q.replace("#D#", "Asia")) for i, q in enumerate(asked)], "question_id int, question string")
+    some = questions.sql_candidates(frame)
+    whole, left = (sorted(map(tuple, questions.classify_questions(f).where("intent = 'sql'").collect())) for f in (frame, some))
+    assert left == whole and 0 < len(whole) <= some.count() < len(asked) / 2
+
+
 # --- retrieval -------------------------------------------------------------
 
 

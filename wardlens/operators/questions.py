@@ -75,6 +75,12 @@ def classify_questions(questions: DataFrame, key: str = "question_id", text: str
     return routed.select(key, "route.intent", "route.confidence", "route.model", department.alias("department"))
 
 
+def sql_candidates(questions: DataFrame, key: str = "question_id", text: str = "question") -> DataFrame:
+    """Questions that some SQL pattern matches, ``(key, text)``: no other can be routed to SQL, so the rest need no more patterns."""
+    clean = compute_once(questions, [key], {text: collapse_whitespace(F.coalesce(F.col(text), F.lit("")))})
+    return clean.where(any_of([_says(F.col(text), p) for _, p in routing.SQL_PATTERNS]))
+
+
 def extract_department(questions: DataFrame, key: str = "question_id", text: str = "question") -> DataFrame:
     return questions.select(key, department_in(collapse_whitespace(F.coalesce(F.col(text), F.lit("")))).alias("department"))
 

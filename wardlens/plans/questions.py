@@ -141,5 +141,5 @@ def _(t):
       UNION ALL SELECT 'operational_equipment', '', NULL, CAST(COUNT(*) AS DOUBLE) FROM equipment WHERE lower(trim(equipment_status)) IN ('operational', 'active', 'working', 'in service'))
     SELECT question_id, r.model, department, label, value FROM routed r LEFT JOIN figures f ON r.model = f.model AND COALESCE(lower(r.department), '') = f.place WHERE intent = 'sql'""")
 def _(t):
-    routed = op.classify_questions(t.question_log)
+    routed = op.classify_questions(op.sql_candidates(t.question_log))
     return op.answer_questions(routed, t.admissions, t.appointments, t.beds, t.equipment, t.departments, AS_OF)
