@@ -1,6 +1,8 @@
 """Forests applied by expressions equal the fitted model on every row, and so does the recursive forecast."""
 
 import pytest
+from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.param.shared import HasLabelCol, HasWeightCol
 from pyspark.sql import functions as F
 
 from wardlens.operators import features, forests, models
@@ -61,3 +63,23 @@ def test_encoding_reads_the_tables_once(tables):
     """Fill values, codes and result read stored rows, not the joins behind them."""
     plan = PLANS["encode_features"](tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "Join" not in plan
+
+
+class Counting(Estimator, HasLabelCol, HasWeightCol):
+    """Keeps the number of partitions and of rows that it is fitted on."""
+
+    def _fit(self, dataset):
+        self.seen = dataset.rdd.getNumPartitions(), dataset.count()
+        return PipelineModel([])
+
+
+@pytest.mark.parametrize("scattered", [1, 90])
+def test_forests_read_no_more_partitions_than_rows_fill(spark, monkeypatch, scattered):
+    """Every task of a pass sends the statistics of a whole level, so a few rows must not be spread over many."""
+    rows = spark.range(0, 1000, 1, scattered).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS y")
+    for each, parts in ((50_000, 1), (400, 3), (1, spark.sparkContext.defaultParallelism)):
+        monkeypatch.setattr(models, "ROWS_A_TASK", each)
+        seen = Counting()._set(labelCol="y")
+        models.fit_forest(rows, (["a"], []), seen)
+        assert seen.seen == (parts, 1000)
+    assert models.gathered(rows.where("false")).count() == 0

@@ -40,6 +40,7 @@ MONTH_FEATURES = (["time_index", "year", "month", "lag_1", "lag_2", "lag_3"], []
 DAY_FEATURES = (["time_index", "dayofweek", "month", "dayofyear", "lag_1", "lag_7", "lag_30"], [])
 FORECAST_DAYS, HISTORY_DAYS = 7, 30
 DEEPEST = 30  # the deepest tree Spark grows
+ROWS_A_TASK = 50_000  # fewer rows cost less than the statistics of one more task
 
 
 def preprocessing(train: DataFrame, numeric: list[str], categorical: list[str]) -> list:
@@ -80,6 +81,16 @@ def encode(frame: DataFrame, numeric: list[str], categorical: list[str]) -> Data
     return Pipeline(stages=preprocessing(frame, numeric, categorical)).fit(frame).transform(frame)
 
 
+def gathered(held: DataFrame) -> DataFrame:
+    """Rows that many passes read, in as many partitions as they fill, at most one per core.
+
+    Every task of a forest's pass makes and sends the statistics of all nodes of a level, however few rows it has.
+    """
+    cores, parts = held.sparkSession.sparkContext.defaultParallelism, held.rdd.getNumPartitions()
+    wanted = max(min(cores, -(-held.count() // ROWS_A_TASK)), 1)
+    return held.coalesce(wanted) if wanted <= parts else held.repartition(wanted)
+
+
 def fit_forest(train: DataFrame, features: tuple[list[str], list[str]], estimator) -> PipelineModel:
     """Fit on rows held once in memory or on executor disk for the passes a forest makes."""
     numeric, categorical = features
@@ -88,7 +99,7 @@ def fit_forest(train: DataFrame, features: tuple[list[str], list[str]], estimato
         needed.append(estimator.getWeightCol())
     held = train.select(*needed).persist()
     try:
-        return Pipeline(stages=[*preprocessing(held, numeric, categorical), estimator]).fit(held)
+        return Pipeline(stages=[*preprocessing(held, numeric, categorical), estimator]).fit(gathered(held))
     finally:
         held.unpersist()
 
