@@ -83,3 +83,12 @@ def test_forests_read_no_more_partitions_than_rows_fill(spark, monkeypatch, scat
         models.fit_forest(rows, (["a"], []), seen)
         assert seen.seen == (parts, 1000)
     assert models.gathered(rows.where("false")).count() == 0
+
+
+def test_both_parts_read_rows_stored_once(spark):
+    """Facts are joined and split once, not for each part; every row with a stratum is in one part."""
+    rows = spark.range(100).selectExpr("id", "id % 10 < 8 AS is_train").union(spark.range(1).selectExpr("id", "CAST(NULL AS BOOLEAN)"))
+    train, test = models._train_and_test(rows)
+    assert (train.count(), test.count()) == (80, 20)
+    for part in (train, test):
+        assert part.inputFiles() and "Range" not in part._jdf.queryExecution().executedPlan().toString()

@@ -122,6 +122,8 @@ def regressor(label: str, trees: int, depth: int, leaf: int = 1) -> RandomForest
 
 
 def _train_and_test(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both parts of rows stored once: each part else joins the facts and finds the cut again."""
+    frame = stored(frame, "split")
     return frame.where("is_train"), frame.where("NOT is_train")
 
 
