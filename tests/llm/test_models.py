@@ -204,6 +204,30 @@ def test_very_long_words_and_only_held_out_rows(make_docs):
     assert [(r.n_known, r.train_tokens, r.score) for r in suffix_tree.score(make_docs([(alone, "a b")])).collect()] == [(0, 0, 0.0)]
 
 
+def test_grams_travel_in_packs(make_docs):
+    """What counting and asking send grows with packs, not with a row per gram, and a pack gives back what went in."""
+    docs = make_docs([(i, " ".join(f"w{(i * j) % 97}" for j in range(200))) for i in range(200)])
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.lit(False).alias("held_out"))
+    shared = docs.sparkSession.sparkContext.broadcast((*[np.zeros(0, np.uint64)] + [np.zeros(0)] * 3, np.zeros(0, np.uint64), np.zeros(0), *[np.full(1 << 10, 255, np.uint8)] * 2))
+    packs = suffix_tree.asked(rows, shared, 3, 5).where("keys IS NOT NULL").collect()
+    assert len(packs) <= 5 * rows.rdd.getNumPartitions()
+    # One entry per text and gram of up to four words, the end being a word, as often as it is there.
+    want = sum(len({tuple(t[i : i + size]) for i in range(len(t) - size + 1)}) for r in docs.collect() for t in [split_words(r.text)] for size in (1, 2, 3, 4))
+    assert sum(len(suffix_tree.stepped(r.keys)) for r in packs) == want
+    assert sum(int(suffix_tree.unplaned(r.n).sum()) for r in packs) == 200 * (201 + 200 + 199 + 198)
+    assert sum(len(r.keys) + len(r.text) + len(r.n) for r in packs) < 12 * want
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 1_000, np.uint64))
+    assert (suffix_tree.stepped(suffix_tree.steps(keys)) == keys).all() and len(suffix_tree.stepped(suffix_tree.steps(keys[:0]))) == 0
+    sums = np.array([-1.5, 0.0, 1e-300])
+    assert (suffix_tree.unplaned(suffix_tree.planes(sums), np.float64) == sums).all()
+
+
+def test_arrays_hold_the_most_frequent_grams(spark):
+    grams = spark.createDataFrame([(i, n) for i, n in enumerate([9, 8, 8, 7, 7, 7, 3])], "key bigint, n bigint")
+    got = [suffix_tree.most_frequent(grams, share, most) for share, most in ((9, 3), (9, 2), (9, 1), (8.5, 6), (8, 100), (20, 0))]
+    assert got == [8, 9, 9, 7, 3, 20]
+
+
 def test_equal_rows_and_empty_tables(make_docs):
     docs = make_docs([(3, "a b c"), (3, "a b c"), (3, "other"), (None, None)])
     got = sorted((str(r.doc_id), r.n_tokens) for r in suffix_tree.score(docs).collect())
