@@ -40,6 +40,25 @@ def test_forgetting_pieces_changes_nothing(monkeypatch):
     assert few(LONG) == many(LONG)
 
 
+def test_remembered_pieces_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 100_000)
+    pieces = bpe.Pieces(bpe.read_vocabulary(PATH))
+    for i in range(600):
+        assert pieces[f"{'x' * 200}{i}"] == pieces.merged(f"{'x' * 200}{i}")
+    assert pieces["y" * 5_000] == pieces.merged("y" * 5_000)
+    kept = [*pieces.items(), *pieces.older.items()]
+    assert kept and sum(len(piece) + len(ids) + bpe.PLACE_BYTES for piece, ids in kept) <= 100_000
+    assert max(len(piece) for piece, _ in kept) < 5_000
+
+
+def test_both_ways_take_one_worker(make_docs):
+    rows = make_docs([*ODD, (30, "Don't <|startoftext|> STOP")])
+    both, apart = bpe.encode(rows, PATH, and_decode=True), bpe.decode(bpe.encode(rows, PATH), PATH)
+    assert both.columns == apart.columns and sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
+    plan = bpe.round_trip(rows, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_round_trip_query(make_docs, library):
     rows = [*ODD, (30, "Don't <|startoftext|> STOP"), (31, "x" * 30_000)]
     want = []

@@ -41,6 +41,20 @@ def test_chain_finds_words_and_stems(make_docs, spark):
     assert kept.columns == fresh.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in ODD} | {91}
 
 
+def test_fit_takes_one_worker_a_task(make_docs, spark, monkeypatch):
+    seen = []
+
+    def stored(frame, label, store=toxicity.stored):
+        seen.append((label, frame._jdf.queryExecution().executedPlan().toString()))
+        return store(frame, label)
+
+    monkeypatch.setattr(toxicity, "stored", stored)
+    docs, labels = labelled(make_docs, spark)
+    chain = toxicity.fit_chain(docs, labels, toxicity.standard_categories())
+    assert {"toxicity-vectors", "toxicity-folds"} <= {label for label, _ in seen} and len(chain.lexicon) > 1
+    assert all(plan.count("MapInArrow") + plan.count("EvalPython") <= 1 for _, plan in seen)
+
+
 def test_chain_uses_earlier_probabilities():
     chain = toxicity.Chain(("a", "b"), {"x": 0}, (0.0, -1.0), np.array([[2.0], [0.0]]), ((), (4.0,)))
     (a, b), (c, d) = chain.probabilities(["x", ""])

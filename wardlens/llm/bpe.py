@@ -16,15 +16,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlens.llm.words import text_slices
 from wardlens.session import ship_by_value
 
 ship_by_value(__name__)
 
 # White space as the tokenizer's own pattern engine has it (fixed values); Python's \s holds four more.
 WHITE = r"\t-\r \x85\xa0  -     　"
-#: Pieces remembered by a task; older ones are forgotten, which costs time, never results.
-REMEMBERED = 400_000
-#: Rows decoded or encoded at a time inside an Arrow batch.
+#: Bytes of memory for the pieces that a task remembers; older ones are forgotten, which costs time, never results.
+REMEMBERED = 64_000_000
+#: What Python takes for a remembered piece besides its letters and ids: two objects and a place in a table.
+PLACE_BYTES = 200
+#: Longer pieces are merged each time they occur.
+LONGEST_REMEMBERED = 256
+#: Rows decoded at a time inside an Arrow batch; texts are encoded by slices of their bytes.
 SLICE = 256
 
 
@@ -96,21 +101,27 @@ def merge(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[in
 
 
 class Pieces(dict):
-    """Ids of a piece as little-endian bytes, with two generations of remembered pieces."""
+    """Ids of a piece as little-endian bytes, with two generations of remembered pieces bounded by their bytes."""
 
     def __init__(self, vocabulary: dict):
         super().__init__()
-        self.vocabulary, self.older = vocabulary, {}
+        self.vocabulary, self.older, self.bytes = vocabulary, {}, 0
+
+    def merged(self, piece: str) -> bytes:
+        raw = piece.encode()
+        symbols = [*map(self.vocabulary["inner"].__getitem__, raw[:-1]), self.vocabulary["last"][raw[-1]]]
+        return array("I", merge(symbols, self.vocabulary["ranks"], self.vocabulary["made"])).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
+        if len(piece) > LONGEST_REMEMBERED:
+            return self.merged(piece)
         ids = self.older.get(piece)
         if ids is None:
-            raw = piece.encode()
-            symbols = [*map(self.vocabulary["inner"].__getitem__, raw[:-1]), self.vocabulary["last"][raw[-1]]]
-            ids = array("I", merge(symbols, self.vocabulary["ranks"], self.vocabulary["made"])).tobytes()
+            ids = self.merged(piece)
+        self.bytes += PLACE_BYTES + len(piece) + len(ids)
+        if self.bytes > REMEMBERED // 2:
+            self.older, self.bytes = dict(self), PLACE_BYTES + len(piece) + len(ids)
+            self.clear()
         self[piece] = ids
         return ids
 
@@ -137,27 +148,37 @@ def encoder(vocabulary: dict):
     return encode
 
 
-def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def texts_of(ids: list[bytes | None], names: list[str]) -> list[str | None]:
+    """The vocabulary strings of each row's ids, put together with one space between them."""
+    name = names.__getitem__
+    return [None if row is None else " ".join(map(name, array("I", row))) for row in ids]
+
+
+def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", and_decode: bool = False) -> DataFrame:
     """Per document: ``id, n_tokens, ids`` (binary, little-endian unsigned 32-bit integers).
 
     Null and empty texts have no tokens. Texts are encoded whole. Added tokens written in a text become their ids, as in
     the library of the file. Repeated rows and rows without ids are encoded like any other; other columns are not read.
+    With ``and_decode`` a column ``decoded`` follows, as :func:`decode` gives it: the worker that holds a slice's ids
+    decodes them, so a task has one worker and one vocabulary, and ids do not travel for it.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    columns = ["id", "n_tokens", "ids", *["decoded"] * and_decode]
 
     def run(batches):
         to_ids = encoder(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in text_slices(batch, "text"):
                 ids = [to_ids(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"]
-                )
+                found = [part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if and_decode:
+                    found.append(pa.array(texts_of(ids, shared.value["names"]), pa.string()))
+                yield pa.RecordBatch.from_arrays(found, columns)
 
-    return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary").withColumnRenamed("id", id_column)
+    encoded = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids binary" + ", decoded string" * and_decode)
+    return encoded.withColumnRenamed("id", id_column)
 
 
 def decode(encoded: DataFrame, path: str, ids_column: str = "ids") -> DataFrame:
@@ -171,11 +192,10 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "ids") -> DataFrame:
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches):
-        name = shared.value.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = [None if ids is None else " ".join(map(name, array("I", ids))) for ids in part.column(ids_column).to_pylist()]
+                texts = texts_of(part.column(ids_column).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return rows.mapInArrow(run, f"{columns}, `decoded` string")
@@ -183,5 +203,5 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "ids") -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Digests of both directions: ``id, n_tokens, ids_sha256, decoded_sha256``."""
-    both = decode(encode(docs, path, id_column, text_column), path)
+    both = encode(docs, path, id_column, text_column, and_decode=True)
     return both.select(id_column, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

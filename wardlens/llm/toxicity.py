@@ -17,9 +17,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -155,14 +154,15 @@ def fit_chain(
 
     def vectors(batches):
         for batch in batches:
-            hits = [sorted(lexicon[f] for f in features(t) & lexicon.keys()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[batch.column(n) for n in names], pa.array(hits, pa.list_(pa.int32()))], ["id", *names, "hits"])
+            hits = [sorted(features(t) & lexicon.keys()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[batch.column(n) for n in names], pa.array(hits, pa.list_(pa.string()))], ["id", *names, "hits"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    as_vector = F.udf(lambda hits: Vectors.sparse(width, hits, [1.0] * len(hits)), VectorUDT())  # the bounded sample only
-    table = rows.mapInArrow(vectors, f"id {kind}, " + ", ".join(f"{n} int" for n in names) + ", hits array<int>")
+    # Vectors are made by Spark: a Python function on top of the pass would give each task a second worker, which stays.
+    as_vector = CountVectorizerModel.from_vocabulary(sorted(lexicon, key=lexicon.get) or [""], inputCol="hits", outputCol="words", binary=True)
+    table = as_vector.transform(rows.mapInArrow(vectors, f"id {kind}, " + ", ".join(f"{n} int" for n in names) + ", hits array<string>"))
     fold = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fold")), F.lit(folds)).cast("int").alias("fold")
-    table = stored(table.select("id", *names, fold, as_vector("hits").alias("words")), "toxicity-vectors")
+    table = stored(table.select("id", *names, fold, F.col("words").alias("words", metadata={})), "toxicity-vectors")
 
     bias, weights, chain = [], np.zeros((len(names), width)), []
     for k, name in enumerate(names):
