@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from wardlens.operators import vector_index
+from wardlens.plans.catalogue import ORACLES, PLANS
 
 
 def frame(spark, name, matrix, ids=None):
@@ -72,3 +73,14 @@ def test_only_the_best_of_a_group_of_blocks_go_on(spark, tmp_path):
         assert len(hits[groups]) <= 15 * 5 * groups
     best = lambda h: h.sort_values(["q", "score", "vec_id"], ascending=[True, False, True]).groupby("q").head(5).values.tolist()
     assert best(hits[1]) == best(hits[4]) and index.blocks.count() > 20
+
+
+def test_every_vector_is_asked(spark):
+    """The query once asked only with the ids divisible by 100."""
+
+    class Own:
+        embeddings = frame(spark, "vec_id", np.random.default_rng(3).normal(size=(30, 4)), range(1, 31)).selectExpr("vec_id", "CAST(embedding AS array<float>) AS embedding")
+
+    hits = PLANS["vector_search_indexed"](Own).collect()
+    assert sorted({r.query_id for r in hits}) == list(range(1, 31)) and len(hits) == 30 * 5
+    assert "%" not in ORACLES["vector_search_indexed"]
