@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlens.functions.roles import MODEL_FEATURES
 from wardlens.operators import catalog as schema
+from wardlens.operators import growth
 from wardlens.operators.features import (
     balanced_weights,
     calendar_features,
@@ -121,6 +122,18 @@ def regressor(label: str, trees: int, depth: int, leaf: int = 1) -> RandomForest
     )
 
 
+def grow_forest(train: DataFrame, features: tuple[list[str], list[str]], label: str, weight: str | None = None, trees: int = 100, depth: int = DEEPEST, leaf: int = 1, classes: int = 0) -> PipelineModel:
+    """Like ``fit_forest``, but tasks grow the trees and neither rows nor nodes pass the driver: for models that grow with their rows.
+
+    Classes look at a random square root of the places of the vector at each node, numbers at all of them.
+    """
+    numeric, categorical = features
+    prepared = Pipeline(stages=preprocessing(train, numeric, categorical)).fit(train)
+    kinds = [len(labels) + 1 for s in prepared.stages if isinstance(s, StringIndexerModel) for labels in s.labelsArray]
+    rules = growth.Rules(trees, depth, leaf, classes, 0 if classes else len(numeric) + sum(kinds), SEED)
+    return PipelineModel([*prepared.stages, growth.fit(prepared.transform(train), numeric, categorical, kinds, rules, label, weight)])
+
+
 def _train_and_test(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both parts of rows stored once: each part else joins the facts and finds the cut again."""
     frame = stored(frame, "split")
@@ -129,9 +142,9 @@ def _train_and_test(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def equipment_failure_model(equipment: DataFrame, trees: int = 100, depth: int = DEEPEST) -> tuple[PipelineModel, DataFrame]:
     """Model and its predictions on the held-out fifth."""
-    rows = stratified_split(equipment_impute(equipment_features(equipment)), "equipment_id", "failure_risk")
+    rows = stratified_split(equipment_impute(stored(equipment_features(equipment), "units")), "equipment_id", "failure_risk")
     train, test = _train_and_test(rows)
-    model = fit_forest(balanced_weights(train, "failure_risk"), EQUIPMENT_FEATURES, classifier("failure_risk", trees, depth))
+    model = grow_forest(balanced_weights(train, "failure_risk"), EQUIPMENT_FEATURES, "failure_risk", "weight", trees, depth, classes=2)
     return model, model.transform(test).select("equipment_id", F.col("failure_risk").alias("label"), F.col("prediction").cast("int").alias("prediction"))
 
 
