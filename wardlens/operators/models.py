@@ -229,7 +229,7 @@ def score_equipment(model: PipelineModel, equipment: DataFrame, as_of: str, most
     rows = equipment_features(equipment, as_of).na.drop(subset=[*numeric, *categorical])
     if most:
         rows = rows.orderBy("equipment_id").limit(most)
-    return model.transform(rows).agg(
+    return model.transform(stored(rows, "scored")).agg(
         F.count(F.when(F.col("prediction") == 1, 1)).alias("predicted_high_risk"), F.count(F.lit(1)).alias("records_scored")
     )
 
