@@ -149,9 +149,9 @@ def equipment_failure_model(equipment: DataFrame, trees: int = 100, depth: int =
 
 
 def no_show_model(appointments: DataFrame, trees: int = 100, depth: int = DEEPEST) -> tuple[PipelineModel, DataFrame]:
-    rows = stratified_split(no_show_features(appointments), "appointment_id", "no_show")
+    rows = stratified_split(stored(no_show_features(appointments), "appointments"), "appointment_id", "no_show")
     train, test = _train_and_test(rows)
-    model = fit_forest(balanced_weights(train, "no_show"), NO_SHOW_FEATURES, classifier("no_show", trees, depth))
+    model = grow_forest(balanced_weights(train, "no_show"), NO_SHOW_FEATURES, "no_show", "weight", trees, depth, classes=2)
     return model, model.transform(test).select("appointment_id", F.col("no_show").alias("label"), F.col("prediction").cast("int").alias("prediction"))
 
 
