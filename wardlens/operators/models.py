@@ -156,9 +156,9 @@ def no_show_model(appointments: DataFrame, trees: int = 100, depth: int = DEEPES
 
 
 def los_model(admissions: DataFrame, trees: int = 30, depth: int = 12, leaf: int = 3) -> tuple[PipelineModel, DataFrame]:
-    rows = stratified_split(los_features(admissions), "admission_id")
+    rows = stratified_split(stored(los_features(admissions), "admissions"), "admission_id")
     train, test = _train_and_test(rows)
-    model = fit_forest(train, LOS_FEATURES, regressor("length_of_stay", trees, depth, leaf))
+    model = grow_forest(train, LOS_FEATURES, "length_of_stay", trees=trees, depth=depth, leaf=leaf)
     return model, model.transform(test).select("admission_id", F.col("length_of_stay").alias("label"), "prediction")
 
 
