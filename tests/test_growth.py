@@ -85,6 +85,15 @@ def test_rows_in_files_give_the_tree_of_rows_in_memory(tmp_path, monkeypatch):
     assert not list(tmp_path.iterdir())
 
 
+def test_leaves_that_say_the_same_are_joined():
+    """Bottom up, with the shares of the node above them."""
+    low = np.array([1, 3, 5, -1, -1, -1, 7, -1, -1], np.int32)
+    value = np.array([[0.5, 0.5], [0.4, 0.6], [0.7, 0.3], [0.3, 0.7], [0.45, 0.55], [0.2, 0.8], [0.9, 0.1], [0.8, 0.2], [1.0, 0.0]])
+    column, code, low, value = growth.pruned(np.where(low < 0, -1, 0).astype(np.int16), np.arange(9, dtype=np.int32), low, value)
+    assert low.tolist() == [1, -1, 3, -1, -1] and column.tolist() == [0, -1, 0, -1, -1] and code.tolist() == [0, 1, 2, 5, 6]
+    assert value[:, 1].tolist() == [0.5, 0.6, 0.3, 0.8, 0.1]
+
+
 def test_places_are_drawn_without_repeats():
     marks = growth.chosen_places(np.random.default_rng(1), 5_000, 12, 4)
     assert (marks.sum(1) == 4).all() and np.abs(marks.mean(0) - 4 / 12).max() < 0.03

@@ -3,7 +3,8 @@
 Spark's own forest lives on the driver: noisy labels let a deep tree grow with the rows, and every pass sends the statistics of a
 level there. Here a task grows a whole tree, its nodes go into a table in the shared folder, and the driver holds neither rows nor nodes.
 The rules are those of Spark's forest: Poisson bootstraps, a random subset of the places of the vector at each node, at most 32 bins
-of a number, one place per category, Gini impurity or variance, the mean of the leaves' shares or values.
+of a number, one place per category, Gini impurity or variance, leaves joined where both say the same class, the mean of the
+leaves' shares or values.
 
 Rows become cells: the bins and codes of all columns as one key (several where one number does not hold them). Equal cells are
 counted, and a bootstrap draws the number of times that a counted row is taken (the sum of n Poisson draws is one draw with mean n),
@@ -183,7 +184,28 @@ class Nodes:
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         order = np.argsort(np.concatenate(self.ids), kind="stable")
-        return tuple(np.concatenate(x)[order] for x in (self.column, self.code, self.low, self.value))
+        return pruned(*(np.concatenate(x)[order] for x in (self.column, self.code, self.low, self.value)))
+
+
+def pruned(column: np.ndarray, code: np.ndarray, low: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As Spark does, a node becomes a leaf where both its children are leaves that say the same, from the lowest nodes up."""
+    says = value.argmax(1) if value.shape[1] > 1 else value[:, 0]
+    inner = np.flatnonzero(low >= 0)
+    while len(inner):
+        a, b = low[inner], low[inner] + 1
+        merged = (low[a] < 0) & (low[b] < 0) & (says[a] == says[b])
+        if not merged.any():
+            break
+        column[inner[merged]] = low[inner[merged]] = -1
+        inner = inner[~merged]
+    kept, level = np.zeros(len(low), bool), np.array([0])
+    while len(level):
+        kept[level] = True
+        first = low[level][low[level] >= 0]
+        level = np.concatenate((first, first + 1))
+    number = np.cumsum(kept) - 1
+    low = np.where(low >= 0, number[np.maximum(low, 0)], -1).astype(np.int32)
+    return column[kept], code[kept], low[kept], value[kept]
 
 
 class Grower:
